@@ -1,9 +1,15 @@
 """The registered queries of the subpackage and their SQL."""
 
-from . import bpe
+from . import bpe, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
+    "op2_quality_rules": quality_rules.query,
     "op7_byte_bpe": bpe.query,
+    "op8_sharding": sharding.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
+    "op2_quality_rules": quality_rules.ORACLE,
+}
