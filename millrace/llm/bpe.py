@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Entries held by the new and by the old half of each of a worker's caches.
-CACHE = 150_000
+CACHE = 300_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -40,6 +40,10 @@ def load_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+#: Stands for a chunk that cannot be encoded by itself; cannot be added up or joined.
+CROSSED = (None, None, None)
+
+
 class Cache(dict):
     """Results by text; computes what is missing and holds at most 2 * CACHE entries."""
 
@@ -165,6 +169,7 @@ class Tokenizer:
         self.space = regex.compile(r"\s")
         self.pieces = Cache(lambda piece: self.merges.encode(piece.encode("utf-8")))
         self.chunks = Cache(self._chunk)
+        self.names = [str(i) for i in range(len(tokens))]
 
     def _ids(self, text: str) -> list[int]:
         out: list[int] = []
@@ -174,33 +179,33 @@ class Tokenizer:
 
     def _result(self, text: str) -> tuple[int, str, bytes]:
         ids = self._ids(text)
-        return len(ids), " ".join(map(str, ids)), self.merges.decode(ids)
+        names = self.names
+        return len(ids), " ".join([names[i] for i in ids]), self.merges.decode(ids)
 
-    def _chunk(self, chunk: str) -> tuple | None:
-        """Result of a chunk with the space before it; None where white space meets that space.
+    def _chunk(self, chunk: str) -> tuple:
+        """Result of a chunk with the space before it; CROSSED where white space meets that space.
 
         A plain space between two characters that are not white space always
         begins a match, so text may be cut before it; beside other white space
         it may not.
         """
         if not chunk or self.space.match(chunk[0]) or self.space.match(chunk[-1]):
-            return None
+            return CROSSED
         return self._result(" " + chunk)
 
-    def runs(self, text: str) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by spaces, decoded bytes) of consecutive parts of a text."""
-        if not text:
-            return []
+    def result(self, text: str) -> tuple[int, str, bytes]:
+        """Number of ids, ids joined by spaces, and the bytes decoded from them."""
         first, *rest = text.split(" ")
-        if rest and (not first or self.space.match(first[-1])):
-            return [self._result(text)]
-        out = [*map(self.chunks.__getitem__, rest)]
-        if None in out:
-            return [self._result(text)]
-        return [self._result(first), *out]
+        if not rest or not first or self.space.match(first[-1]):
+            return self._result(text)
+        counts, ids, decoded = zip(self._result(first), *map(self.chunks.__getitem__, rest), strict=True)
+        try:
+            return sum(counts), " ".join(ids), b"".join(decoded)
+        except TypeError:  # some chunk is CROSSED
+            return self._result(text)
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self.runs(text) for x in ids.split()]
+        return [int(x) for x in self.result(text)[1].split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return self.merges.decode(ids)
@@ -253,11 +258,11 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str = public_tokenizers.
         t = tokenizer(ranks_path, pattern)
         for b in batches:
             n_tokens, ids_sha, decoded_sha = [], [], []
-            for i in range(b.num_rows):
-                runs = t.runs(b.column(1)[i].as_py() or "")
-                n_tokens.append(sum([r[0] for r in runs]))
-                ids_sha.append(hashlib.sha256(" ".join([r[1] for r in runs]).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join([r[2] for r in runs])).hexdigest())
+            for text in b.column(1):
+                n, ids, decoded = t.result(text.as_py() or "")
+                n_tokens.append(n)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
