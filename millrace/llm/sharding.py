@@ -13,6 +13,7 @@ group too large for that is cut, by the hash of the id.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,94 +26,110 @@ from .common import cut, table
 #: Bytes below a splitter may differ from its target by this share of a shard.
 TOLERANCE = 0.01
 #: Candidate boundaries tried for each target in a round.
-PROBES = 31
+PROBES = 63
 #: Rows that one task numbers within a shard.
 ROWS_PER_SLICE = 200_000
 
-_SIGN = np.uint64(1 << 63)
+LEAST = -(1 << 63)
+Bound = tuple[int, int]
 
 
-def _unsigned(x) -> np.ndarray:
-    """Signed longs as unsigned integers of the same order."""
-    return np.asarray(x, dtype=np.int64).view(np.uint64) ^ _SIGN
+def place(group: np.ndarray, tie: np.ndarray, bounds: list[Bound]) -> np.ndarray:
+    """Number of boundaries (sorted) at or before each key (group, tie)."""
+    high = np.array([b[0] for b in bounds], dtype=np.int64)
+    low = np.array([b[1] for b in bounds], dtype=np.int64)
+    first = np.searchsorted(high, group, "left")
+    out = np.searchsorted(high, group, "right")
+    (among,) = np.nonzero(first < out)  # some boundary lies within this very group
+    for i in among:
+        out[i] = first[i] + np.searchsorted(low[first[i] : out[i]], tie[i], "right")
+    return out
 
 
-def _below(keys: DataFrame, bounds: list[tuple[int, int]]) -> list[int]:
-    """Exact bytes of the rows that sort before each boundary (group, tie), boundaries in order.
+def histogram(keys: DataFrame, bounds: list[Bound]) -> dict[int, dict]:
+    """Exact bytes, least and greatest key of the rows in each interval between sorted boundaries.
 
-    Each partition adds up its own rows; one row for each partition and
-    interval meets, and one for each boundary goes to the driver.
+    Each partition adds up its own rows; a row for each partition and interval
+    that has rows is exchanged, and one for each interval goes to the driver.
     """
-    high = np.array([b[0] for b in bounds], dtype=np.uint64)
-    low = np.array([b[1] for b in bounds], dtype=np.uint64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(high) + 1, dtype=np.int64)
         for b in batches:
-            at = place(_unsigned(b.column(0)), _unsigned(b.column(1)), high, low)
-            np.add.at(sums, at, b.column(2).to_numpy())
-        (used,) = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(sums[used])], ["at", "bytes"])
+            group, tie, size = (c.to_numpy() for c in b.columns)
+            at = place(group, tie, bounds)
+            order = np.argsort(at, kind="stable")
+            used, start = np.unique(at[order], return_index=True)
+            if not len(used):
+                continue
+            g, t = group[order], tie[order]
+            columns = [used, np.add.reduceat(size[order], start), np.minimum.reduceat(g, start), np.maximum.reduceat(g, start), np.minimum.reduceat(t, start), np.maximum.reduceat(t, start)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names)
 
-    got = keys.select("group", "tie", "size").mapInArrow(count, "at long, bytes long").groupBy("at").agg(F.sum("bytes").alias("bytes")).collect()
-    sums = np.zeros(len(high) + 1, dtype=object)
-    for r in got:
-        sums[r["at"]] = r["bytes"]
-    return list(np.cumsum(sums)[:-1])
+    names = ["at", "bytes", "min_group", "max_group", "min_tie", "max_tie"]
+    parts = keys.select("group", "tie", "size").mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    merged = parts.groupBy("at").agg(F.sum("bytes").alias("bytes"), *[F.min(n).alias(n) for n in names if n[:4] == "min_"], *[F.max(n).alias(n) for n in names if n[:4] == "max_"])
+    return {r["at"]: r.asDict() for r in merged.collect()}
 
 
-def place(group: np.ndarray, tie: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Number of boundaries (high, low) at or before each key (group, tie)."""
-    first = np.searchsorted(high, group, "left")
-    last = np.searchsorted(high, group, "right")
-    out = last.copy()
-    (among,) = np.nonzero(first < last)  # some boundary cuts this very group
-    for i in among:
-        out[i] = first[i] + np.searchsorted(low[first[i] : last[i]], tie[i], "right")
-    return out
+def _narrow(keys: DataFrame, targets: list[int], spans: dict[int, list[int]], group: dict[int, int] | None, tolerance: int) -> dict[int, list[int]]:
+    """Rounds of counting until each span is as narrow as need be.
 
+    ``spans[i]`` is [low, bytes below low, high, bytes below high] around
+    target i, in group hashes or, with ``group``, in ties within that group. A
+    span is done when one of its ends is within the tolerance of its target or
+    when one key alone is left in it.
+    """
+    done: dict[int, list[int]] = {}
+    key = "tie" if group else "group"
+    while open_ := [i for i in spans if i not in done]:
+        bounds: set[Bound] = set()
+        for i in open_:
+            lo, _, hi, _ = spans[i]
+            probes = {lo + (hi - lo) * k // (PROBES + 1) for k in range(PROBES + 1)} | ({hi} if hi < -LEAST else set())
+            bounds |= {(group[i], x) for x in probes} | {(group[i] + 1, LEAST)} if group else {(x, LEAST) for x in probes}
+        order = sorted(bounds)
+        found = histogram(keys, order)
+        below, total = [], 0
+        for j in range(len(order)):
+            total += found[j]["bytes"] if j in found else 0
+            below.append(total)
+        for i in open_:
+            at = bisect.bisect_right(below, targets[i]) - 1
+            lo, at_lo = (order[at][1] if group else order[at][0]), below[at]
+            inside = found.get(at + 1)
+            if inside is None or at_lo == targets[i]:
+                hi, at_hi = lo, at_lo
+            else:
+                lo, hi, at_hi = inside[f"min_{key}"], inside[f"max_{key}"] + 1, at_lo + inside["bytes"]
+            spans[i] = [lo, at_lo, hi, at_hi]
+            if hi - lo <= 1 or min(targets[i] - at_lo, at_hi - targets[i]) <= tolerance:
+                done[i] = spans[i]
+    return done
+
+
+def splitters(keys: DataFrame, total: int, targets: list[int], tolerance: int) -> list[Bound]:
+    """A boundary for each target number of bytes, at most ``tolerance`` off if the rows allow.
+
+    Boundaries are first sought between groups; where both ends of the group
+    at a target are too far from it, that group is cut at a tie.
+    """
+    out: dict[int, Bound] = {}
+    group: dict[int, int] = {}
+    spans: dict[int, list[int]] = {}
 
-def splitters(keys: DataFrame, total: int, targets: list[int], tolerance: int) -> list[tuple[int, int]]:
-    """A boundary (group, tie) for each target number of bytes, at most ``tolerance`` off if the rows allow.
+    def nearest(i: int, lo: int, at_lo: int, hi: int, at_hi: int) -> tuple[int, int]:
+        return (lo, targets[i] - at_lo) if targets[i] - at_lo <= at_hi - targets[i] else (hi, at_hi - targets[i])
 
-    First boundaries lie between groups; where the nearest two are both too
-    far from the target, the group between them is cut.
-    """
-    top = 1 << 64
-    found: list[tuple[int, int] | None] = [None] * len(targets)
-    # for each target: (lower, its bytes, upper, its bytes) in units of the level searched
-    spans = [(0, 0, top, total) for _ in targets]
-    level = ["group"] * len(targets)
-    group = [0] * len(targets)
-    while any(f is None for f in found):
-        asked: dict[tuple[int, int], None] = {}
-        probes: list[list[int]] = []
-        for i, (lo, _, hi, _) in enumerate(spans):
-            steps = sorted({lo + (hi - lo) * k // (PROBES + 1) for k in range(1, PROBES + 1)} - {lo, hi}) if found[i] is None else []
-            probes.append(steps)
-            asked |= {((x, 0) if level[i] == "group" else (group[i], x)): None for x in steps}
-        order = sorted(asked)
-        bytes_below = dict(zip(order, _below(keys, order), strict=True)) if order else {}
-        for i, target in enumerate(targets):
-            if found[i] is not None:
-                continue
-            lo, at_lo, hi, at_hi = spans[i]
-            for x in probes[i]:
-                n = bytes_below[(x, 0) if level[i] == "group" else (group[i], x)]
-                if n <= target:
-                    lo, at_lo = x, n
-                else:
-                    hi, at_hi = x, n
-                    break
-            spans[i] = (lo, at_lo, hi, at_hi)
-            near, off = (lo, target - at_lo) if target - at_lo <= at_hi - target else (hi, at_hi - target)
-            if off <= tolerance or (hi - lo <= 1 and level[i] == "tie"):
-                found[i] = (near, 0) if level[i] == "group" else (group[i], near)
-                if found[i][0] >= top or found[i][1] >= top:
-                    found[i] = (top - 1, top - 1) if level[i] == "group" else ((group[i] + 1, 0) if group[i] + 1 < top else (top - 1, top - 1))
-            elif hi - lo <= 1:  # only the group at lo is left between the two
-                level[i], group[i], spans[i] = "tie", lo, (0, at_lo, top, at_hi)
-    return sorted(found)
+    for i, found in _narrow(keys, targets, {i: [LEAST, 0, -LEAST, total] for i in range(len(targets))}, None, tolerance).items():
+        at, off = nearest(i, *found)
+        if off <= tolerance:
+            out[i] = (at, LEAST)
+        else:
+            group[i], spans[i] = found[0], [LEAST, found[1], -LEAST, found[3]]
+    for i, found in _narrow(keys, targets, spans, group, tolerance).items():
+        out[i] = (group[i], nearest(i, *found)[0])
+    # a boundary past the last number stands one below the end of the numbers
+    return sorted((min(g, -LEAST - 1), min(t, -LEAST - 1)) for g, t in out.values())
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -137,12 +154,10 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     slices = max(1, -(-facts["n"] // (rows_per_slice * shards)))
     targets = [total * k // (shards * slices) for k in range(1, shards * slices)]
     bounds = splitters(keys, total, targets, int(total / shards * tolerance)) if total else []
-    high = np.array([b[0] for b in bounds], dtype=np.uint64)
-    low = np.array([b[1] for b in bounds], dtype=np.uint64)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = place(_unsigned(b.column(3)), _unsigned(b.column(4)), high, low)
+            at = place(b.column(3).to_numpy(), b.column(4).to_numpy(), bounds)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], [*b.schema.names, "slice"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -155,7 +170,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         base += counts.get(s, 0)
     first = F.get(F.lit(before).cast("array<long>"), F.col("slice").cast("int"))
 
-    def number(key, part: pa.Table) -> pa.Table:
+    def number(part: pa.Table) -> pa.Table:
         part = part.sort_by([("group", "ascending"), ("tie", "ascending")])
         return part.append_column("rank", pa.array(np.arange(part.num_rows), pa.int64()))
 
