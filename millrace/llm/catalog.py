@@ -1,12 +1,14 @@
 """The registered queries of the subpackage and their SQL."""
 
-from . import bpe, quality_rules, sharding, url_filter
+from . import bpe, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_toxicity": toxicity.query,
     "op7_byte_bpe": bpe.query,
     "op8_sharding": sharding.query,
+    "op9_quality_classifier": quality_classifier.query,
 }
 
 ORACLES = {
