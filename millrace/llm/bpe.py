@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Entries held by the new and by the old half of each of a worker's caches.
-CACHE = 300_000
+CACHE = 450_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -130,14 +130,18 @@ class Merges:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        lengths, shorter, n = self.lengths, self.shorter, len(piece)
+        lengths, shorter, n, mapped = self.lengths, self.shorter, len(piece), piece.decode("latin-1")
+        # longest tokens from the left, if they fit together, are the only sequence that does
+        out = [i for _, i in self.automaton.iter_long(mapped)]
+        if all(map(self.compatible, out, out[1:])) and sum([lengths[i] for i in out]) == n:
+            return out
         longest = [-1] * n
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
+        for end, i in self.automaton.iter(mapped):
             start = end + 1 - lengths[i]
             if longest[start] < 0 or lengths[longest[start]] < lengths[i]:
                 longest[start] = i
         dead = bytearray(n + 1)  # positions from which no compatible rest exists
-        out: list[int] = []
+        out = []
         pos, token = 0, longest[0]
         while pos < n:
             while token >= 0:
