@@ -24,15 +24,19 @@ SHRINKAGE = 0.05
 #: Documents are kept from this score on.
 THRESHOLD = 0.3
 
+#: Bytes counted by class, and how many a word of plain prose has of each.
 _CLASSES = {
-    "symbols": b"#*$%&|<>",
-    "shouts": b"!",
-    "capitals": bytes(range(65, 91)),
-    "digits": bytes(range(48, 58)),
-    "lines": b"\n",
-    "stops": b".,;:?",
+    "symbols": (b"#*$%&|<>", 0.0),
+    "shouts": (b"!", 0.0),
+    "capitals": (bytes(range(65, 91)), 0.1),
+    "digits": (bytes(range(48, 58)), 0.02),
+    "lines": (b"\n", 0.02),
+    "stops": (b".,;:?", 0.15),
 }
-_MASKS = {k: np.isin(np.arange(256), np.frombuffer(v, dtype=np.uint8)) for k, v in _CLASSES.items()}
+#: Words of plain prose that are added to each text, so that a few words are no evidence.
+_PRIOR = 10
+_PRIOR_LENGTH, _PRIOR_SHORT = 6.0, 0.35
+_MASKS = {k: np.isin(np.arange(256), np.frombuffer(v, dtype=np.uint8)) for k, (v, _) in _CLASSES.items()}
 #: Distances at which a repeated word is looked for.
 _LAGS = (1, 2, 3, 4)
 
@@ -42,17 +46,20 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     w = Words(data, offsets)
     n = w.counts()
     size = np.diff(offsets)
-    per_word = 1 / np.maximum(n, 1)
-    columns = [np.log1p(n), np.log1p(np.bincount(w.doc, w.length, w.n_docs) * per_word)]
-    for mask in _MASKS.values():
+    letters = np.bincount(w.doc, w.length, w.n_docs)
+
+    def share(count: np.ndarray, prior: float) -> np.ndarray:
+        return np.sqrt(np.minimum(9.0, (count + _PRIOR * prior) / (n + _PRIOR)))
+
+    columns = [np.log1p(n), share(letters, _PRIOR_LENGTH)]
+    for name, mask in _MASKS.items():
         below = np.concatenate(([0], np.cumsum(mask[data])))
-        columns.append(np.sqrt(np.minimum(4.0, (below[offsets[1:]] - below[offsets[:-1]]) * per_word)))
+        columns.append(share(below[offsets[1:]] - below[offsets[:-1]], _CLASSES[name][1]))
     for lag in _LAGS:
         same = (w.hash[lag:] == w.hash[:-lag]) & (w.doc[lag:] == w.doc[:-lag])
-        columns.append(np.sqrt(np.bincount(w.doc[lag:][same], minlength=w.n_docs) * per_word))
-    columns.append(np.sqrt(np.bincount(w.doc[w.length <= 3], minlength=w.n_docs) * per_word))
-    spaces = size - np.bincount(w.doc, w.length, w.n_docs)
-    columns.append(np.sqrt(np.minimum(4.0, spaces * per_word)))
+        columns.append(share(np.bincount(w.doc[lag:][same], minlength=w.n_docs), 0.01))
+    columns.append(share(np.bincount(w.doc[w.length <= 3], minlength=w.n_docs), _PRIOR_SHORT))
+    columns.append(share(size - letters, 1.0))
     return np.column_stack(columns)
 
 
