@@ -1,11 +1,12 @@
 """The registered queries of the subpackage and their SQL."""
 
-from . import bpe, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
+from . import bpe, embedding_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_quality_rules": quality_rules.query,
     "op3_toxicity": toxicity.query,
+    "op4_embedding_dedup": embedding_dedup.query,
     "op5_packing": packing.query,
     "op7_byte_bpe": bpe.query,
     "op8_sharding": sharding.query,
