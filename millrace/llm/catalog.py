@@ -1,6 +1,6 @@
 """The registered queries of the subpackage and their SQL."""
 
-from . import bpe, embedding_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
+from . import bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_embedding_dedup": embedding_dedup.query,
     "op5_packing": packing.query,
+    "op6_jaccard_join": jaccard_join.query,
     "op7_byte_bpe": bpe.query,
     "op8_sharding": sharding.query,
     "op9_quality_classifier": quality_classifier.query,

@@ -61,6 +61,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """The table made by :func:`cut` read anew, so that it can be joined with itself."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._millrace_path)
+    out._millrace_path = df._millrace_path
+    return out
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by :func:`cut` that no live DataFrame reads any more."""
     for df in frames:
