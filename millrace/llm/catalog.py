@@ -1,6 +1,6 @@
 """The registered queries of the subpackage and their SQL."""
 
-from . import bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
+from . import bpe, embedding_dedup, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.query,
     "op8_sharding": sharding.query,
     "op9_quality_classifier": quality_classifier.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 
 ORACLES = {
