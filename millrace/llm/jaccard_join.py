@@ -196,7 +196,8 @@ class Region:
             if len(np.unique(self.roots(members))) == 1:
                 continue
             window = d <= d.min(axis=1, keepdims=True) + 2 * self.reach
-            if window.sum() > 0.7 * PIVOTS * len(members):  # cells that hold nearly all
+            cells = window.sum(axis=0)
+            if cells.sum() > 2 * len(members) or cells.max() > 0.7 * len(members):  # cells would not be smaller work
                 self.compare(members, d)
             else:
                 todo += [members[window[:, k]] for k in range(PIVOTS)]
@@ -291,20 +292,17 @@ def _large_regions(sets: DataFrame, similar: int, block_bytes: int) -> DataFrame
     return first.unionByName(second)
 
 
-def join(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
+def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(doc_id, text_hash, n_shingles, cluster, component_id)`` for each row of ``docs``.
 
-    A text's set holds its distinct shingles; of a text with fewer words the
-    whole sequence is one. Sets are linked when ``similar`` hundredths of their
-    union are common to both. component_id is the smallest id that links reach,
-    the own one included; rows without an id have none to give. Null and
-    empty texts have no shingles, link with nothing and are their own
-    component. Repeated rows are equal and so linked. An empty table gives an
-    empty one; other columns are ignored.
+    ``cluster`` is a number for the rows that links connect, null for a text
+    without shingles; the rest is as :func:`join` has it.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    keyed = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -315,10 +313,10 @@ def join(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: st
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(u, u + n, dtype=np.int64)), b.column(0).slice(first, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), flat], ["u", "doc_id", "n", "h1", "h2", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(u, u + n, dtype=np.int64)), b.column(0).slice(first, n), b.column(2).slice(first, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), flat], ["u", "doc_id", "text_hash", "n", "h1", "h2", "sigs"])
                 u += n
 
-    rows = cut(own.mapInArrow(sketch, f"u long, doc_id {kind}, n long, h1 long, h2 long, sigs array<long>"), "sketches")
+    rows = cut(keyed.mapInArrow(sketch, f"u long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, sigs array<long>"), "sketches")
     # equal sets are one node, named by the least number of its rows
     nodes = cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("u").alias("node"), F.min("doc_id").alias("first_id"), F.min("n").alias("n")), "sets")
     held = rows.select(F.col("u").alias("node"), "sigs").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("sigs").alias("sig"))
@@ -358,9 +356,48 @@ def join(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: st
     joined = components(links)
     release(sets)
     first = joined.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(joined.join(first, "component").select("node", "component_id"), "node", "left").select("h1", "h2", F.coalesce("component_id", "first_id").alias("component_id"), F.lit(True).alias("some"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", (F.col("n") > 0).alias("some")).join(named, ["h1", "h2", "some"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = nodes.join(joined.join(first, "component").select("node", "component", "component_id"), "node", "left")
+    named = named.select("h1", "h2", F.coalesce("component", "node").alias("cluster"), F.coalesce("component_id", "first_id").alias("component_id"), F.lit(True).alias("some"))
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "h1", "h2", (F.col("n") > 0).alias("some")).join(named, ["h1", "h2", "some"], "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "cluster", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
+
+    A text's set holds its distinct shingles; of a text with fewer words the
+    whole sequence is one. Sets are linked when ``similar`` hundredths of their
+    union are common to both. component_id is the smallest id that links reach,
+    the own one included; rows without an id have none to give. Null and
+    empty texts have no shingles, link with nothing and are their own
+    component. Repeated rows are equal and so linked. An empty table gives an
+    empty one; other columns are ignored.
+    """
+    return clusters(docs, similar, words, id_col, text_col, block_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without all but one of each cluster, in all their columns.
+
+    The row of the least id stays (rows without an id last; of texts with one
+    id the least hash). Of repeated rows one stays. Texts without shingles all
+    stay. Rows whose id and text no removed row may have are never shuffled.
+    """
+    options = options or {}
+    rows = cut(clusters(docs, **options).where("cluster is not null"), "clusters")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    best = again(rows).groupBy("cluster").agg(F.min(key).alias("best"))
+    judged = rows.join(best, "cluster").select("doc_id", "text_hash", (~key.eqNullSafe(F.col("best"))).alias("gone"))
+    fates = judged.groupBy("doc_id", "text_hash").agg(F.max("gone").alias("gone"), F.count("*").alias("k")).where("gone or k > 1")
+    fates = cut(fates.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "gone", F.xxhash64("doc_id", "text_hash").alias("key")), "fates")
+    log2 = bloom.log2_blocks(fates.count())
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    maybe = bloom.may_hold(bloom.build(fates, "key", log2), F.xxhash64("doc_id", "_hash"), log2)
+    sure = hashed.where(~maybe).select(docs.columns)
+    met = hashed.where(maybe).join(fates, (F.col("_hash") == F.col("f_hash")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left")
+    alone = met.where("gone is null").select(docs.columns)
+    once = met.where("not gone").dropDuplicates(["f_id", "f_hash"]).select(docs.columns)
+    return sure.unionByName(alone).unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

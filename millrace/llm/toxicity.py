@@ -29,6 +29,8 @@ SAMPLE = {1: 4_000, 0: 8_000}
 FEATURES = 20_000
 #: Least significance (standard errors of the log odds) and least number of texts of a feature.
 SIGNIFICANCE, LEAST_TEXTS = 3.5, 4
+#: Texts count as toxic from this score on.
+THRESHOLD = 0.5
 #: Weight of the squared weights, and of the squared changes by counterfactual swaps.
 RIDGE, FAIRNESS = 0.02, 5.0
 #: Pairs of a sentence and its rewriting that are used at most.
@@ -235,7 +237,7 @@ def _regress(rows, pairs, width: int, fairness: float, steps: int = 400, rate: f
     return params[:-1], params[-1]
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``.
 
     A null text counts as empty, and an empty text has the bias alone; null and
