@@ -2,32 +2,32 @@
 
 Jaccard distance is a metric on shingle sets, so a set near a pivot cannot be
 near a set far from it. Texts of a corpus, however, are nearly all at distance
-one from each other: between them no pivot tells anything apart and a window of
-twice the distance sought takes in everything. Regions are therefore formed in
-two levels.
-
-1. Annuli. Under the metric \\|x - y\\| (size of the symmetric difference) around
-   the empty set, a set's distance is its size. Sets of a range of sizes are a
-   region, and those in the window below its lower border are replicated into it.
-2. Classes. A region fixes by how many shingles linked sets may differ, and cuts
-   the range of shingle hashes into more classes than that: linked sets agree
-   in a whole class. Sets that agree in a class are in one region, and regions
-   that share a set are joined.
-
-Within a region pivots do their work: every set is compared with them exactly,
-goes to the cell of the nearest, and is replicated to each cell whose pivot is at
-most twice the distance sought farther; cells are joined recursively. Sets that
-a chain of links already connects are not compared. A region too large for one
-task is first compared with common pivots, which connect the bulk of a tight
-group, and then in blocks: all its sets against those not connected with the bulk.
-Equal sets are one node from the start. All this is exact, up to the equality of
-64-bit hashes of shingles and 128-bit hashes of sets.
+one from each other: between them no pivot tells anything apart, and a window of
+twice the distance sought takes in everything. The coarse regions are therefore
+formed by counting, the fine ones by pivots.
+
+1. Shingles are put in one order for all sets, those known to be common last. If
+   two sets are linked, then of their first shingles, as many as can differ and
+   ``least_shared`` more, that many are common to both. A set of which fewer are
+   held by any other set links with nothing and goes. What is left are the sets
+   with a near neighbour and a few more; those that share first shingles form a
+   region.
+2. Within a region every set is compared with pivots exactly, goes to the cell of
+   the nearest, and is replicated to each cell whose pivot is at most twice the
+   distance sought farther; cells are joined recursively. Sets that a chain of
+   links already connects are not compared, nor are those that sizes or the
+   triangle inequality over the pivots keep apart.
+
+A region too large for one task is first compared with common pivots, which
+connect the bulk of a tight group, and then in blocks: all its sets against
+those not connected with the bulk. Equal sets are one node from the start. All
+this is exact, up to the equality of 64-bit hashes of shingles and 128-bit hashes
+of sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,13 @@ from .words import Words, chunks, mix
 #: Words of a shingle; linked sets have SIMILAR hundredths of their union in common.
 WORDS = 3
 SIMILAR = 90
-#: Ratio of the sizes at a region's upper and lower border.
-RATIO = 1.5
-#: Classes beyond those that differences can touch; so many may be empty.
-SLACK = 2
+#: Shingles are put last if at least COMMON of the sampled texts hold them; one
+#: text in SAMPLED is sampled. That changes how much work is done, not its result.
+SAMPLED, COMMON = 16, 3
+#: Bits of the table of common shingles (2 MB); others may fall on its entries.
+COMMON_BITS = 24
+#: Rounds in which sets that share too little are taken out.
+TRIMS = 2
 #: Bytes of sets that one task holds for each side of a comparison.
 BLOCK_BYTES = 24_000_000
 #: Pivots of a region, and sets that are compared without pivots.
@@ -81,52 +84,19 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[
     return out
 
 
-@lru_cache(maxsize=8)
-def _annuli(similar: int) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """(lower border, upper border, differences, class borders, class names) by size.
-
-    If the union of two linked sets is u, they differ in at most
-    (100 - similar) * u // 100 shingles, and u is at most 100 * n // similar
-    for the smaller size n. Smaller sets than the first border link only if equal.
-    """
-    out = []
-    low = -(-similar // (100 - similar)) if similar < 100 else 1 << 62
-    for number in range(60):
-        high = max(low + 1, int(low * RATIO))
-        most = (100 - similar) * (high - 1) // similar
-        classes = most + 1 + SLACK
-        borders = np.array([(k << 64) // classes for k in range(1, classes)], dtype=np.uint64)
-        names = mix(np.arange(classes, dtype=np.uint64) + _U(number << 32) + _U(1))
-        out.append((low, high, most, borders, names))
-        if classes > 1_000_000 or low >= 1 << 62:
-            break
-        low = high
-    return out
+def least_shared(n, similar: int):
+    """Shingles that two linked sets have in common at their beginnings, besides the first; for sizes n or larger."""
+    return np.maximum(1, (n - -(-similar * n // 100)) // 2)
 
 
-def signatures(s: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """Hashes of the set's classes: linked, unequal sets have one in common.
-
-    Linked sets differ in at most ``most`` shingles, so of the classes that
-    hold a shingle of one of them, if more than ``most``, one is equal in both.
-    Empty classes are therefore left out, unless more than SLACK are empty.
-    """
-    out = []
+def beginning(s: np.ndarray, common: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """The set's first shingles: as many as a linked set may lack, and ``least_shared`` more; common ones come last."""
     n = len(s)
-    values = mix(s ^ _FIRST)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
-    for low, high, _, borders, names in _annuli(similar):
-        # the region's own sets, and those of the window below it
-        if n < high and 100 * n >= similar * low:
-            at = np.concatenate(([0], np.searchsorted(s, borders), [n]))
-            held = np.diff(at) > 0
-            sums = total[at[1:]] - total[at[:-1]]
-            if np.count_nonzero(~held) <= SLACK:
-                sums, own = sums[held], names[held]
-            else:
-                own = names
-            out.append(mix(sums ^ own))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    k = n - -(-similar * n // 100) + int(least_shared(n, similar))
+    at = s & _U((1 << COMMON_BITS) - 1)
+    late = (common[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
+    first = s[~late][:k]
+    return first if len(first) == k else np.concatenate((first, s[late][: k - len(first)]))
 
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -292,6 +262,24 @@ def _large_regions(sets: DataFrame, similar: int, block_bytes: int) -> DataFrame
     return first.unionByName(second)
 
 
+def _common(texts: DataFrame, words: int) -> np.ndarray:
+    """Bits, eight to a byte, by the last bits of a shingle's hash: whether it is common in a sample of distinct texts."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, data, offsets in chunks(b.column(0)):
+                at, k = np.unique(np.concatenate(shingles(data, offsets, words)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(k.astype(np.int64))], ["shingle", "k"])
+
+    sample = texts.where(F.pmod("text_hash", F.lit(SAMPLED)) == 0).groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
+    counts = sample.mapInArrow(found, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k")).where(F.col("k") >= COMMON)
+    slot = F.col("shingle").bitwiseAND(F.lit((1 << COMMON_BITS) - 1))
+    bits = counts.groupBy(F.shiftright(slot, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.expr("1L"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << (COMMON_BITS - 5), dtype=np.uint32)
+    out[bits["at"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
 def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, cluster, component_id)`` for each row of ``docs``.
 
@@ -302,6 +290,7 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     keyed = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    common = _common(keyed, words)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = TaskContext.get().partitionId() << 33
@@ -309,7 +298,7 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
             for first, data, offsets in chunks(b.column(1)):
                 sets = shingles(data, offsets, words)
                 hashes = np.array([_set_hash(s) for s in sets], dtype=np.int64)
-                sigs = [signatures(s, similar).view(np.int64) for s in sets]
+                sigs = [beginning(s, common, similar).view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))
                 n = len(sets)
@@ -319,11 +308,22 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     rows = cut(keyed.mapInArrow(sketch, f"u long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, sigs array<long>"), "sketches")
     # equal sets are one node, named by the least number of its rows
     nodes = cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("u").alias("node"), F.min("doc_id").alias("first_id"), F.min("n").alias("n")), "sets")
-    held = rows.select(F.col("u").alias("node"), "sigs").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("sigs").alias("sig"))
-    shared = cut(held.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig", "low"), "classes")
-    log2 = bloom.log2_blocks(shared.count())
-    likely = held.where(bloom.may_hold(bloom.build(shared, "sig", log2), F.col("sig"), log2))
-    regions = components(likely.join(shared, "sig").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    held = rows.select(F.col("u").alias("node"), "n", "sigs").join(nodes.select("node"), "node", "left_semi").select("node", "n", F.explode("sigs").alias("sig"))
+    hubs = cut(held.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "shared")
+    log2 = bloom.log2_blocks(hubs.count())
+    likely = held.where(bloom.may_hold(bloom.build(hubs, "sig", log2), F.col("sig"), log2))
+    hits = cut(likely.join(hubs, "sig"), "hits")
+    # the least partner of a set of n has similar hundredths of n
+    smallest = F.ceil(F.col("n") * similar / F.lit(100))
+    enough = F.greatest(F.lit(1), F.floor((smallest - F.ceil(smallest * similar / F.lit(100))) / 2))
+    for _ in range(TRIMS):
+        alive = hits.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("node")
+        left = cut(hits.join(alive, "node", "left_semi"), "hits")
+        still = left.groupBy("sig").agg(F.count("*").alias("k"), F.min("node").alias("low")).where("k > 1").select("sig", "low")
+        release(hits)
+        hits = cut(again(left).drop("low").join(still, "sig"), "hits")
+        release(left)
+    regions = components(hits.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
     members = cut(regions.select("node", F.col("component").alias("region")).join(nodes, "node"), "members")
 
     # the sets themselves, of members only: likely rows by id, then exactly by hash
