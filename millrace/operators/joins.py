@@ -1,13 +1,40 @@
-"""Joins: equi joins over the star schema."""
+"""Joins: equi, outer, semi, anti, range, interval and as-of."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import read
 
 
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], tie: str) -> DataFrame:
+    """Each left row with the values of the latest right row of its key at or before its time.
+
+    Both sides are put in one stream and the last right row is carried forward:
+    one exchange by key and no pair of rows. Of right rows at one time the one
+    with the greatest ``tie`` counts. Left rows without such a row have nulls.
+    """
+    packed = F.struct(*[F.col(v) for v in values])
+    kind = right.select(packed.alias("p")).schema["p"].dataType
+    rows = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.lit(None).cast(kind).alias("_p"), F.struct(*left.columns).alias("_row"))
+    rows = rows.unionByName(right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"), packed.alias("_p"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
+    order = Window.partitionBy("_k").orderBy("_t", "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = rows.withColumn("_last", F.last("_p", ignorenulls=True).over(order)).where("_side = 1")
+    return carried.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs with low <= at < high, by cells of a width: an equi join instead of a nested loop.
+
+    A range is replicated to the cells it covers, so the width should be near
+    the typical length of a range.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    spread = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    return points.withColumn("_cell", cell(at)).join(spread, "_cell").where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop("_cell")
+
+
 def region_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue of 1996 by region: filter on orders first, then the fact table, then dimensions."""
     orders = read(spark, sf_dir, "orders").where((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1997-01-01"))
@@ -22,7 +49,49 @@ def region_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"region_revenue": region_revenue}
+def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = read(spark, sf_dir, "orders").where(F.col("o_orderdate") >= "2001-06-01")
+    return read(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+def customers_with_large_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = read(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return read(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
+
+
+def orders_left_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+    return read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderpriority").agg(F.count("*").alias("n_orders"), F.count("l_orderkey").alias("n_matched"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
+
+
+def nations_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = read(spark, sf_dir, "customer").where("c_acctbal > 9900").groupBy("c_nationkey").agg(F.count("*").alias("n_customers"))
+    poor = read(spark, sf_dir, "supplier").where("s_acctbal < 0").groupBy("s_nationkey").agg(F.count("*").alias("n_suppliers"))
+    return rich.join(poor, F.col("c_nationkey") == F.col("s_nationkey"), "full").select(F.coalesce("c_nationkey", "s_nationkey").alias("nationkey"), "n_customers", "n_suppliers")
+
+
+def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by price band, as a range join."""
+    bands = spark.range(20).select(F.col("id").alias("band"), (F.col("id") * 100.0).alias("low"), ((F.col("id") + 1) * 100.0).alias("high"))
+    return range_join(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 100.0).groupBy("band").agg(F.count("*").alias("n"))
+
+
+def errors_after_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a user in the hour after a purchase: an equi join with an interval."""
+    events = read(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("ts").alias("t0"), F.col("event_id").alias("purchase_id"))
+    return events.where("event_type = 'error'").join(bought, (F.col("user_id") == F.col("u")) & (F.col("ts") >= F.col("t0")) & (F.col("ts") < F.col("t0") + F.expr("interval 1 hour"))).select("event_id", "purchase_id")
+
+
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's last click at or before it."""
+    events = read(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return asof_backward(bought, clicks, "user_id", "ts", "click_ts", ["click_id"], "click_id").select("event_id", "click_id")
+
+
+QUERIES = {f.__name__: f for f in (region_revenue, customers_without_orders, customers_with_large_orders, orders_left_outer, nations_full_outer, price_bands, errors_after_purchases, asof_events)}
 
 ORACLES = {
     "region_revenue": """
@@ -31,5 +100,28 @@ ORACLES = {
           join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
         where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01'
         group by r_name
-    """
+    """,
+    "customers_without_orders": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderdate >= timestamp '2001-06-01')",
+    "customers_with_large_orders": "select c_custkey, c_mktsegment from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
+    "orders_left_outer": """
+        select o_orderpriority, count(*) as n_orders, count(l_orderkey) as n_matched, coalesce(sum(n_lines), 0)::bigint as n_lines
+        from orders left join (select l_orderkey, count(*) as n_lines from lineitem where l_quantity > 45 group by 1) on o_orderkey = l_orderkey
+        group by 1
+    """,
+    "nations_full_outer": """
+        select coalesce(c_nationkey, s_nationkey) as nationkey, n_customers, n_suppliers
+        from (select c_nationkey, count(*) as n_customers from customer where c_acctbal > 9900 group by 1)
+        full join (select s_nationkey, count(*) as n_suppliers from supplier where s_acctbal < 0 group by 1) on c_nationkey = s_nationkey
+    """,
+    "price_bands": "select band::bigint as band, count(*) as n from part join (select range as band from range(20)) on p_retailprice >= band * 100 and p_retailprice < (band + 1) * 100 group by 1",
+    "errors_after_purchases": """
+        select e.event_id, p.event_id as purchase_id from events e join events p
+          on e.user_id = p.user_id and e.ts >= p.ts and e.ts < p.ts + interval 1 hour
+        where e.event_type = 'error' and p.event_type = 'purchase'
+    """,
+    "asof_events": """
+        select p.event_id, c.event_id as click_id
+        from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c
+          on p.user_id = c.user_id and p.ts >= c.ts
+    """,
 }

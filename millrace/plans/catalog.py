@@ -1,7 +1,11 @@
 """All registered queries outside ``millrace.llm`` and their SQL."""
 
-from ..operators import joins
+from ..functions import scalars
+from ..operators import aggregates, joins, sets, windows
+from ..streaming import event_time
+from . import sql_text
 
 FLAGSHIP = "region_revenue"
-QUERIES = {**joins.QUERIES}
-ORACLES = {**joins.ORACLES}
+_FAMILIES = (joins, aggregates, windows, sets, scalars, event_time, sql_text)
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLES = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
