@@ -10,13 +10,17 @@ formed by counting, the fine ones by pivots.
    two sets are linked, then of their first shingles, as many as can differ and
    ``least_shared`` more, that many are common to both. A set of which fewer are
    held by any other set links with nothing and goes. What is left are the sets
-   with a near neighbour and a few more; those that share first shingles form a
-   region.
-2. Within a region every set is compared with pivots exactly, goes to the cell of
+   with a near neighbour and a few more; those of a ring that share first
+   shingles form a region.
+2. Under the metric \|x - y\| (size of the symmetric difference) around the empty
+   set, a set's distance is its size. Regions are rings of sizes; the window of
+   sets below a ring that may be linked with sets in it is replicated into it.
+3. Within a region every set is compared with pivots exactly, goes to the cell of
    the nearest, and is replicated to each cell whose pivot is at most twice the
    distance sought farther; cells are joined recursively. Sets that a chain of
-   links already connects are not compared, nor are those that sizes or the
-   triangle inequality over the pivots keep apart.
+   links already connects are not compared, nor are those that sizes, the
+   triangle inequality over the pivots or the count of first shingles in common
+   keep apart.
 
 A region too large for one task is first compared with common pivots, which
 connect the bulk of a tight group, and then in blocks: all its sets against
@@ -50,6 +54,8 @@ SAMPLED, COMMON = 16, 3
 COMMON_BITS = 24
 #: Rounds in which sets that share too little are taken out.
 TRIMS = 2
+#: Ratio of the sizes at a ring's borders, at least; more where linked sizes differ more.
+RING = 1.3
 #: Bytes of sets that one task holds for each side of a comparison.
 BLOCK_BYTES = 24_000_000
 #: Pivots of a region, and sets that are compared without pivots.
@@ -85,8 +91,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[
 
 
 def least_shared(n, similar: int):
-    """Shingles that two linked sets have in common at their beginnings, besides the first; for sizes n or larger."""
-    return np.maximum(1, (n - -(-similar * n // 100)) // 2)
+    """Shingles that two linked sets have in common at their beginnings, for sizes n or larger."""
+    return np.maximum(1, n - -(-similar * n // 100))
 
 
 def beginning(s: np.ndarray, common: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
@@ -112,12 +118,39 @@ def linked(common: np.ndarray, n: np.ndarray, m, similar: int) -> np.ndarray:
 class Region:
     """Sets that are joined in memory; ``root`` tells which are connected."""
 
-    def __init__(self, sets: list[np.ndarray], similar: int = SIMILAR):
-        self.sets, self.similar = sets, similar
+    def __init__(self, sets: list[np.ndarray], common: np.ndarray, similar: int = SIMILAR):
+        self.sets, self.similar, self.late = sets, similar, common
         self.n = np.array([len(s) for s in sets])
         self.parent = np.arange(len(sets))
         self.reach = 1 - similar / 100 + 1e-12
 
+    def index(self) -> None:
+        """Which sets hold each shingle that is among the first of two sets or more."""
+        first = [beginning(x, self.late, self.similar) for x in self.sets]
+        flat, owner = np.concatenate(first), np.repeat(np.arange(len(first)), [len(x) for x in first])
+        order = np.lexsort((owner, flat))
+        flat, owner = flat[order], owner[order]
+        start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        size = np.diff(np.concatenate((start, [len(flat)])))
+        of = np.repeat(np.arange(len(start)), size)
+        shared = (size > 1)[of]
+        self.owners, self.start, self.size = owner, start, size
+        by_set = np.argsort(owner[shared], kind="stable")
+        self.groups = of[shared][by_set]
+        self.group_at = np.searchsorted(owner[shared][by_set], np.arange(len(first) + 1))
+        self.need = least_shared(-(-self.similar * self.n // 100), self.similar)
+
+    def sharing(self, x: int) -> np.ndarray:
+        """The sets that have as many first shingles in common with x as linked sets must."""
+        mine = self.groups[self.group_at[x] : self.group_at[x + 1]]
+        if not len(mine):
+            return mine
+        sizes = self.size[mine]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.start[mine] - (ends - sizes), sizes)
+        other, k = np.unique(self.owners[at], return_counts=True)
+        return other[(k >= np.minimum(self.need[other], self.need[x])) & (other != x)]
+
     def root(self, x: int) -> int:
         p = self.parent
         while p[x] != x:
@@ -152,6 +185,7 @@ class Region:
 
     def solve(self, members: np.ndarray | None = None) -> None:
         """Connects all linked members, by pivots, cells, windows and recursion."""
+        self.index()
         todo = [np.arange(len(self.sets)) if members is None else members]
         while todo:
             members = todo.pop()
@@ -173,16 +207,24 @@ class Region:
                 todo += [members[window[:, k]] for k in range(PIVOTS)]
 
     def compare(self, members: np.ndarray, d: np.ndarray) -> None:
-        """Every two members that are not connected, unless sizes or distances to pivots keep them apart."""
+        """Every two members that are not connected, unless something keeps them apart; d has distances to pivots."""
         roots = self.roots(members)
         names, counts = np.unique(roots, return_counts=True)
         loose = np.flatnonzero(roots != names[np.argmax(counts)])
+        place = np.full(len(self.sets), -1)
+        place[members] = np.arange(len(members))
         for i in loose:
             x = members[i]
-            other = self.candidates(self.n[x], d[i], self.n[members], d)
-            other &= self.roots(members) != self.root(x)
-            if other.any():
-                self.against(x, members[other])
+            at = place[self.sharing(x)]
+            self.verify(x, members, at[at >= 0], d[i], d)
+
+    def verify(self, x: int, members: np.ndarray, at: np.ndarray, own: np.ndarray, d: np.ndarray) -> None:
+        """Compares x, at distances ``own`` from pivots, with members[at] as far as need be."""
+        at = at[self.candidates(self.n[x], own, self.n[members[at]], d[at])]
+        if len(at):
+            at = at[self.roots(members[at]) != self.root(x)]
+            if len(at):
+                self.against(x, members[at])
 
     def candidates(self, n: int, d: np.ndarray, sizes: np.ndarray, distances: np.ndarray) -> np.ndarray:
         """Which sets the sizes and the triangle inequality do not keep apart from one of size n at distances d."""
@@ -202,13 +244,13 @@ def _links(node: np.ndarray, region: Region) -> pa.Table:
     return pa.table({"a": pa.array(node[roots[own]], pa.int64()), "b": pa.array(node[own], pa.int64())})
 
 
-def _solve(part: pa.Table, similar: int) -> pa.Table:
-    region = Region(_sets(part["shingles"]), similar)
+def _solve(part: pa.Table, common: np.ndarray, similar: int) -> pa.Table:
+    region = Region(_sets(part["shingles"]), common, similar)
     region.solve()
     return _links(part["node"].to_numpy(), region)
 
 
-def _large_regions(sets: DataFrame, similar: int, block_bytes: int) -> DataFrame:
+def _large_regions(sets: DataFrame, common: np.ndarray, similar: int, block_bytes: int) -> DataFrame:
     """Links ``(a, b)`` that connect what is linked in regions of ``sets(region, node, n, shingles, bytes)`` too large for a task."""
     blocks = F.ceil(F.col("bytes") / block_bytes)
     rows = cut(sets.select("region", "node", "shingles", blocks.alias("blocks"), F.octet_length("shingles").alias("size")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "large-regions")
@@ -221,7 +263,7 @@ def _large_regions(sets: DataFrame, similar: int, block_bytes: int) -> DataFrame
 
     def near_pivots(part: pa.Table, pivot: pa.Table) -> pa.Table:
         names, own = pivot["node"].to_numpy(), part["node"].to_numpy()
-        region = Region([*_sets(pivot["shingles"]), *_sets(part["shingles"])], similar)
+        region = Region([*_sets(pivot["shingles"]), *_sets(part["shingles"])], common, similar)
         at = np.arange(len(names), len(names) + len(own))
         for p in range(len(names)):
             region.against(p, at)
@@ -242,7 +284,8 @@ def _large_regions(sets: DataFrame, similar: int, block_bytes: int) -> DataFrame
         own, other = part["node"].to_numpy(), loose["node"].to_numpy()
         if not len(own) or not len(other):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        region = Region([*_sets(part["shingles"]), *_sets(loose["shingles"])], similar)
+        region = Region([*_sets(part["shingles"]), *_sets(loose["shingles"])], common, similar)
+        region.index()
         labels = np.concatenate((part["label"].to_numpy(), loose["label"].to_numpy()))
         for name in np.unique(labels):
             same = np.flatnonzero(labels == name)
@@ -253,9 +296,8 @@ def _large_regions(sets: DataFrame, similar: int, block_bytes: int) -> DataFrame
         everyone = np.arange(len(region.sets))
         d = np.column_stack([region.against(p, everyone) for p in pivots])
         for x in range(len(own), len(region.sets)):
-            near = region.candidates(region.n[x], d[x], region.n[at], d[at]) & (region.roots(at) != region.root(x))
-            if near.any():
-                region.against(x, at[near])
+            other_side = region.sharing(x)
+            region.verify(x, at, other_side[other_side < len(own)], d[x], d[: len(own)])
         return _links(np.concatenate((own, other)), region)
 
     second = left.groupBy("region", "block", "chunk").cogroup(right.groupBy("region", "block", "chunk")).applyInArrow(across, "a long, b long")
@@ -312,19 +354,28 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     hubs = cut(held.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "shared")
     log2 = bloom.log2_blocks(hubs.count())
     likely = held.where(bloom.may_hold(bloom.build(hubs, "sig", log2), F.col("sig"), log2))
-    hits = cut(likely.join(hubs, "sig"), "hits")
+    hits = likely.join(hubs, "sig")
+    # rings of sizes: a set is in its own and, if sets of the next may be linked with it, in that
+    ratio = max(RING, 102 / similar)
+    ring = F.floor(F.log("n") / np.log(ratio))
+    beyond = F.col("n") * 100 >= similar * F.pow(F.lit(ratio), ring + 1) * (1 - 1e-9)
+    rings = F.when(beyond, F.array(ring, ring + 1)).otherwise(F.array(ring))
+    placed = hits.select("node", "n", "sig", F.explode(rings).alias("ring"))
+    hits = cut(placed.select("node", "n", "ring", F.xxhash64("sig", "ring").alias("sig"), F.xxhash64("node", "ring").alias("id")), "hits")
     # the least partner of a set of n has similar hundredths of n
     smallest = F.ceil(F.col("n") * similar / F.lit(100))
-    enough = F.greatest(F.lit(1), F.floor((smallest - F.ceil(smallest * similar / F.lit(100))) / 2))
+    enough = F.greatest(F.lit(1), smallest - F.ceil(smallest * similar / F.lit(100)))
     for _ in range(TRIMS):
-        alive = hits.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("node")
-        left = cut(hits.join(alive, "node", "left_semi"), "hits")
-        still = left.groupBy("sig").agg(F.count("*").alias("k"), F.min("node").alias("low")).where("k > 1").select("sig", "low")
+        shared = again(hits).groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+        alive = again(hits).join(shared, "sig", "left_semi").groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("id")
+        left = cut(hits.join(alive, "id", "left_semi"), "hits")
         release(hits)
-        hits = cut(again(left).drop("low").join(still, "sig"), "hits")
-        release(left)
-    regions = components(hits.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-    members = cut(regions.select("node", F.col("component").alias("region")).join(nodes, "node"), "members")
+        hits = left
+    still = again(hits).groupBy("sig").agg(F.count("*").alias("k"), F.min("id").alias("low")).where("k > 1")
+    regions = components(hits.join(still, "sig").where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    ids = again(hits).select("id", F.col("node").alias("set_node")).distinct()
+    inside = cut(regions.select(F.col("node").alias("id"), F.col("component").alias("region")).join(ids, "id").select("region", F.col("set_node").alias("node")), "inside")
+    members = cut(nodes.join(again(inside).select("node").distinct(), "node", "left_semi"), "members")
 
     # the sets themselves, of members only: likely rows by id, then exactly by hash
     ids = members.select(F.col("first_id").cast("string").alias("id"))
@@ -341,20 +392,20 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     found = wanted.mapInArrow(full, f"doc_id {kind}, h1 long, h2 long, shingles binary").alias("f")
     m = members.alias("m")
     sets = found.join(m, (F.col("f.h1") == F.col("m.h1")) & (F.col("f.h2") == F.col("m.h2")) & F.col("f.doc_id").eqNullSafe(F.col("m.first_id")))
-    sets = cut(sets.select("m.region", "m.node", "m.n", "f.shingles").groupBy("region", "node", "n").agg(F.first("shingles").alias("shingles")), "region-sets")
-    sizes = sets.groupBy("region").agg(F.sum(F.col("n") * 8).alias("bytes"))
-    sized = sets.join(sizes, "region")
+    sets = sets.select("m.node", "m.n", "f.shingles").groupBy("node", "n").agg(F.first("shingles").alias("shingles"))
+    sizes = inside.join(members.select("node", "n"), "node").groupBy("region").agg(F.sum(F.col("n") * 8).alias("bytes"))
+    sized = cut(sets.join(again(inside).join(sizes, "region"), "node"), "region-sets")
     schema = "a long, b long"
 
     def solve(part: pa.Table) -> pa.Table:
-        return _solve(part, similar)
+        return _solve(part, common, similar)
 
     links = sized.where(F.col("bytes") <= block_bytes).select("region", "node", "shingles").groupBy("region").applyInArrow(solve, schema)
     large = sized.where(F.col("bytes") > block_bytes)
     if not large.isEmpty():
-        links = links.unionByName(_large_regions(large, similar, block_bytes))
+        links = links.unionByName(_large_regions(large, common, similar, block_bytes))
     joined = components(links)
-    release(sets)
+    release(sized)
     first = joined.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = nodes.join(joined.join(first, "component").select("node", "component", "component_id"), "node", "left")
     named = named.select("h1", "h2", F.coalesce("component", "node").alias("cluster"), F.coalesce("component_id", "first_id").alias("component_id"), F.lit(True).alias("some"))
