@@ -42,7 +42,7 @@ ROUNDS = 3
 #: Added to the expected counts that scale a step, as smoothing.
 DAMPING = 5.0
 #: Tokens of a batch, and of a task's counts before they are handed on.
-BATCH, HELD = 1_000_000, 4_000_000
+BATCH, HELD = 500_000, 2_000_000
 #: Words whose counts are sent to all executors, at most; 16 bytes each.
 FREQUENT = 1 << 19
 
@@ -145,11 +145,12 @@ def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> tuple[
             for _, part in _batches(b.column(0)):
                 some = True
                 class_, history = np.concatenate([t[1] for t in part]), np.concatenate([t[2] for t in part])
-                joint = np.bincount(history * CLASSES + class_, minlength=_CONTEXTS * CLASSES).reshape(-1, CLASSES)
-                times = joint.sum(axis=1)
+                times = np.bincount(history, minlength=_CONTEXTS)
                 (used,) = np.nonzero(times)
+                place = np.zeros(_CONTEXTS, dtype=np.int64)
+                place[used] = np.arange(len(used))
                 p = class_probabilities(weights, bias, used) * times[used, None]
-                seen = joint[used]
+                seen = np.bincount(place[history] * CLASSES + class_, minlength=len(used) * CLASSES).reshape(-1, CLASSES)
                 for f in _features(used):
                     order = np.argsort(f, kind="stable")
                     rows, start = np.unique(f[order], return_index=True)
