@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 READERS = ("parquet", "orc", "csv", "json", "text")
 
@@ -24,6 +25,6 @@ def save(df: DataFrame, path: str, kind: str, partition_by: tuple[str, ...] = ()
     df.write.format(kind).mode(mode).options(**options).partitionBy(*partition_by).save(path)
 
 
-def load_stream(spark: SparkSession, path: str, kind: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
+def load_stream(spark: SparkSession, path: str, kind: str, schema: str | StructType, files_per_trigger: int = 1000) -> DataFrame:
     """A stream of the files that appear under a path."""
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
