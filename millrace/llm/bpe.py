@@ -118,6 +118,7 @@ class Merges:
                 before, b = b + 1, self.left[b]
 
     def compatible(self, a: int, b: int) -> bool:
+        """Memoised ``_compatible``."""
         key = a << 32 | b
         known = self.fits.get(key)
         if known is None:
@@ -130,35 +131,35 @@ class Merges:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        lengths, shorter, n, mapped = self.lengths, self.shorter, len(piece), piece.decode("latin-1")
-        # longest tokens from the left, if they fit together, are the only sequence that does
-        out = [i for _, i in self.automaton.iter_long(mapped)]
-        if all(map(self.compatible, out, out[1:])) and sum([lengths[i] for i in out]) == n:
-            return out
-        longest = [-1] * n
-        for end, i in self.automaton.iter(mapped):
-            start = end + 1 - lengths[i]
-            if longest[start] < 0 or lengths[longest[start]] < lengths[i]:
-                longest[start] = i
-        dead = bytearray(n + 1)  # positions from which no compatible rest exists
-        out = []
-        pos, token = 0, longest[0]
-        while pos < n:
+        lengths, shorter, fits, compatible = self.lengths, self.shorter, self.fits, self.compatible
+        n, mapped, longest = len(piece), piece.decode("latin-1"), self.automaton.iter_long
+        ahead = longest(mapped)  # longest tokens from a position on, each beginning where the last ends
+        out: list[int] = []
+        dead = set()  # positions from which no compatible rest exists
+        last, pos, token, aligned = -1, 0, next(ahead)[1], True
+        while True:
             while token >= 0:
                 end = pos + lengths[token]
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = shorter[token]
+                if end not in dead:
+                    if last < 0:
+                        break
+                    fit = fits.get(last << 32 | token)
+                    if compatible(last, token) if fit is None else fit:
+                        break
+                token, aligned = shorter[token], False
             if token >= 0:
                 out.append(token)
-                pos = end
-                token = longest[pos] if pos < n else -1
+                if end == n:
+                    return out
+                last, pos = token, end
+                if not aligned:
+                    ahead, aligned = longest(mapped, pos), True
+                token = next(ahead)[1]
             else:
-                dead[pos] = 1
-                token = out.pop()
-                pos -= lengths[token]
-                token = shorter[token]
-        return out
+                dead.add(pos)
+                given_up = out.pop()
+                pos, token, aligned = pos - lengths[given_up], shorter[given_up], False
+                last = out[-1] if out else -1
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])

@@ -12,7 +12,7 @@ formed by counting, the fine ones by pivots.
    held by any other set links with nothing and goes. What is left are the sets
    with a near neighbour and a few more; those of a ring that share first
    shingles form a region.
-2. Under the metric \|x - y\| (size of the symmetric difference) around the empty
+2. Under the metric |x - y| (size of the symmetric difference) around the empty
    set, a set's distance is its size. Regions are rings of sizes; the window of
    sets below a ring that may be linked with sets in it is replicated into it.
 3. Within a region every set is compared with pivots exactly, goes to the cell of
