@@ -30,7 +30,7 @@ WIDTH = 2.0
 #: Share of the pairs just at the cosine that all tables together may miss.
 MISSED = 0.03
 #: Vectors of a block.
-BLOCK = 1024
+BLOCK = 256
 
 
 def _same_cell(distance: float, width: float) -> float:
