@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,8 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTIT
                     delta.append(d[d != 0].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), pa.array(delta, pa.list_(pa.float64()))], ["at", "x"])
 
-    rows = texts.select("text", "y").mapInArrow(found, "y int, at array<long>, x array<double>").collect()
-    pairs = texts.select("text").mapInArrow(changed, "at array<long>, x array<double>").limit(PAIRS).collect()
+    rows = texts.select("text", "y").mapInArrow(found, "y int, at array<long>, x array<double>").toArrow()
+    pairs = texts.select("text").mapInArrow(changed, "at array<long>, x array<double>").limit(PAIRS).toArrow()
     release(texts)
     weights, bias = _regress(rows, pairs, len(hashes), fairness)
     # the sample's shares of the labels are not those of the table
@@ -210,15 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTIT
     return Linear(hashes, weights, float(bias))
 
 
-def _sparse(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, column and value of each entry."""
-    lengths = [len(r["at"]) for r in rows]
-    return np.repeat(np.arange(len(rows)), lengths), np.array([i for r in rows for i in r["at"]], dtype=np.int64), np.array([v for r in rows for v in r["x"]])
+    at, x = (rows[name].combine_chunks() for name in ("at", "x"))
+    lengths = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lengths)), lengths), at.flatten().to_numpy(), x.flatten().to_numpy()
 
 
-def _regress(rows, pairs, width: int, fairness: float, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def _regress(rows: pa.Table, pairs: pa.Table, width: int, fairness: float, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias by full gradients with Adam's step sizes."""
-    y = np.array([r["y"] for r in rows], dtype=float)
+    y = rows["y"].to_numpy().astype(float)
     row, col, val = _sparse(rows)
     p_row, p_col, p_val = _sparse(pairs)
     params = np.zeros(width + 1)
@@ -228,9 +230,9 @@ def _regress(rows, pairs, width: int, fairness: float, steps: int = 400, rate: f
         logits = b + np.bincount(row, w[col] * val, len(y))
         off = (1 / (1 + np.exp(-np.clip(logits, -500, 500))) - y) / len(y)
         grad = np.append(np.bincount(col, off[row] * val, width) + RIDGE * w / len(y) * 10, off.sum())
-        if len(pairs):
-            change = np.bincount(p_row, w[p_col] * p_val, len(pairs))
-            grad[:-1] += fairness * 2 / len(pairs) * np.bincount(p_col, change[p_row] * p_val, width)
+        if pairs.num_rows:
+            change = np.bincount(p_row, w[p_col] * p_val, pairs.num_rows)
+            grad[:-1] += fairness * 2 / pairs.num_rows * np.bincount(p_col, change[p_row] * p_val, width)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         params -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
