@@ -52,8 +52,6 @@ SIMILAR = 90
 SAMPLED, COMMON = 16, 3
 #: Bits of the table of common shingles (2 MB); others may fall on its entries.
 COMMON_BITS = 24
-#: Rounds in which sets that share too little are taken out.
-TRIMS = 2
 #: Ratio of the sizes at a ring's borders, at least; more where linked sizes differ more.
 RING = 1.3
 #: Bytes of sets that one task holds for each side of a comparison.
@@ -350,31 +348,32 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     rows = cut(keyed.mapInArrow(sketch, f"u long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, sigs array<long>"), "sketches")
     # equal sets are one node, named by the least number of its rows
     nodes = cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("u").alias("node"), F.min("doc_id").alias("first_id"), F.min("n").alias("n")), "sets")
-    held = rows.select(F.col("u").alias("node"), "n", "sigs").join(nodes.select("node"), "node", "left_semi").select("node", "n", F.explode("sigs").alias("sig"))
-    hubs = cut(held.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "shared")
-    log2 = bloom.log2_blocks(hubs.count())
-    likely = held.where(bloom.may_hold(bloom.build(hubs, "sig", log2), F.col("sig"), log2))
-    hits = likely.join(hubs, "sig")
     # rings of sizes: a set is in its own and, if sets of the next may be linked with it, in that
     ratio = max(RING, 102 / similar)
     ring = F.floor(F.log("n") / np.log(ratio))
     beyond = F.col("n") * 100 >= similar * F.pow(F.lit(ratio), ring + 1) * (1 - 1e-9)
     rings = F.when(beyond, F.array(ring, ring + 1)).otherwise(F.array(ring))
-    placed = hits.select("node", "n", "sig", F.explode(rings).alias("ring"))
-    hits = cut(placed.select("node", "n", "ring", F.xxhash64("sig", "ring").alias("sig"), F.xxhash64("node", "ring").alias("id")), "hits")
     # the least partner of a set of n has similar hundredths of n
     smallest = F.ceil(F.col("n") * similar / F.lit(100))
-    enough = F.greatest(F.lit(1), smallest - F.ceil(smallest * similar / F.lit(100)))
-    for _ in range(TRIMS):
-        shared = again(hits).groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-        alive = again(hits).join(shared, "sig", "left_semi").groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("id")
-        left = cut(hits.join(alive, "id", "left_semi"), "hits")
-        release(hits)
-        hits = left
-    still = again(hits).groupBy("sig").agg(F.count("*").alias("k"), F.min("id").alias("low")).where("k > 1")
-    regions = components(hits.join(still, "sig").where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    ids = again(hits).select("id", F.col("node").alias("set_node")).distinct()
-    inside = cut(regions.select(F.col("node").alias("id"), F.col("component").alias("region")).join(ids, "id").select("region", F.col("set_node").alias("node")), "inside")
+    enough = F.greatest(F.lit(1), smallest - F.ceil(smallest * similar / F.lit(100))).cast("int")
+    placed = nodes.select("node", F.explode(rings).alias("ring")).select("node", F.xxhash64("node", "ring").alias("id"))
+
+    # shingles that some other set has among its first; false ones that the filter lets through count for nothing below
+    held = rows.select(F.col("u").alias("node"), "n", "sigs").join(nodes.select("node"), "node", "left_semi").select("node", "n", F.explode("sigs").alias("sig"))
+    hubs = cut(held.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "shared")
+    log2 = bloom.log2_blocks(hubs.count())
+    likely = held.where(bloom.may_hold(bloom.build(hubs, "sig", log2), F.col("sig"), log2))
+    hits = cut(likely.select("node", "sig", enough.alias("enough"), F.explode(rings).alias("ring")).select(F.xxhash64("sig", "ring").alias("sig"), F.xxhash64("node", "ring").alias("id"), "enough"), "hits")
+    release(hubs)
+    # sets that share too little with the others of their ring go
+    shared = again(hits).groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    alive = again(hits).join(shared, "sig", "left_semi").groupBy("id", "enough").agg(F.count("*").alias("k")).where("k >= enough").select("id")
+    left = cut(hits.join(alive, "id", "left_semi").select("sig", "id"), "hits")
+    release(hits)
+    still = again(left).groupBy("sig").agg(F.count("*").alias("k"), F.min("id").alias("low")).where("k > 1").select("sig", "low")
+    regions = components(left.join(still, "sig").where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    inside = cut(regions.select(F.col("node").alias("id"), F.col("component").alias("region")).join(placed.select("id", F.col("node").alias("set_node")), "id").select("region", F.col("set_node").alias("node")), "inside")
+    release(left)
     members = cut(nodes.join(again(inside).select("node").distinct(), "node", "left_semi"), "members")
 
     # the sets themselves, of members only: likely rows by id, then exactly by hash
