@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: f
 
     Texts are turned into statistics before the join, so only numbers are
     shuffled; two rows of sums come to the driver. Null ids and labels are left
-    out; a row labelled twice counts twice. Where a class has no example the
+    out; an id with both labels counts for both, a repeated label once. Where a class has no example the
     model gives all rows the share of label 1, or 0.5 without any example.
     """
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: f
         flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, N_STATISTICS, dtype=np.int32)), pa.array(flat))
 
-    training = labels.where(~in_fold(F.col(id_col), 5, 0) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
+    training = labels.where(~in_fold(F.col(id_col), 5, 0) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).distinct()
     x = docs.where(~in_fold(F.col(id_col), 5, 0)).select(F.col(id_col).alias("id"), stats(F.col(text_col)).alias("x")).join(training, "id")
 
     def sums(batches):

@@ -123,10 +123,11 @@ def swaps(text: str, groups=IDENTITY) -> Iterator[tuple[str, str]]:
 def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]) -> DataFrame:
     """``(text, y)`` of a sample, by hash of the id, of labelled rows that are not held out; distinct texts.
 
-    The ids come from ``labels`` alone and their number is bounded by
-    ``sizes``, so they may be sent to all executors.
+    The ids come from ``labels`` alone, each once (with label 1 if it has both),
+    and their number is bounded by ``sizes``, so they may be sent to all
+    executors.
     """
-    training = labels.where(~in_fold(F.col("doc_id"), 5, 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropna()
+    training = labels.where(~in_fold(F.col("doc_id"), 5, 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in training.groupBy("y").agg(F.count("*").alias("n")).collect()}
     grain = 1 << 30
     share = [(F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(grain)) < int(grain * min(1.0, sizes[y] / n))) for y, n in counts.items()]
