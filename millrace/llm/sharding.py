@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -170,11 +170,8 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         base += counts.get(s, 0)
     first = F.get(F.lit(before).cast("array<long>"), F.col("slice").cast("int"))
 
-    def number(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("group", "ascending"), ("tie", "ascending")])
-        return part.append_column("rank", pa.array(np.arange(part.num_rows), pa.int64()))
-
-    numbered = placed.groupBy("slice").applyInArrow(number, f"doc_id {kind}, size long, text_crc32 long, group long, tie long, slice long, rank long")
+    order = Window.partitionBy("slice").orderBy("group", "tie")  # sorts on disk if need be
+    numbered = placed.withColumn("rank", F.row_number().over(order) - 1)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("slice") / slices).cast("int").alias("shard"), (first + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
