@@ -18,4 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
+    "op4_embedding_dedup": embedding_dedup.ORACLE,
+    "op6_jaccard_join": jaccard_join.ORACLE,
 }

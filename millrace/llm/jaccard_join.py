@@ -452,3 +452,17 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as set_ from d),
+e as (select r, len(set_) as n, unnest(set_) as g from s),
+links as (select a.r as a, b.r as b from e a join e b on a.g = b.g group by a.r, b.r, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)
+select s.doc_id, len(s.set_)::bigint as n_shingles, coalesce(min(o.doc_id), s.doc_id) as component_id
+from s left join reach on s.r = reach.a left join s o on o.r = reach.b group by s.r, s.doc_id, s.set_
+"""

@@ -21,6 +21,11 @@ def test_components_of_chains_stars_and_loops(spark):
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("module", [embedding_dedup, jaccard_join])
+def test_equals_sql(module, same):
+    same(module.query, module.ORACLE)
+
+
 def brute_vectors(rows, cosine):
     sound = [v is not None and lab is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, lab in rows]
     unit = [np.array(v, float) / np.linalg.norm(v) if s else None for (_, v, _), s in zip(rows, sound, strict=True)]
