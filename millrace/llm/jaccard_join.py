@@ -433,7 +433,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     id the least hash). Of repeated rows one stays. Texts without shingles all
     stay. Rows whose id and text no removed row may have are never shuffled.
     """
-    options = options or {}
     rows = cut(clusters(docs, **options).where("cluster is not null"), "clusters")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
     best = again(rows).groupBy("cluster").agg(F.min(key).alias("best"))
