@@ -4,8 +4,14 @@ The probability of a token is that of its class given the history times that of
 the token within its class. Classes are named by the end of a word, so unseen
 words have one too. The first factor is a softmax over classes of the summed
 weights of hashed features of the history: the word before (n-gram), its class,
-the class of the word before that (skip), and the two together. The second is a
-softmax of one weight for each word, for which counts are the exact solution.
+the class of the word before that (skip), and the two together.
+
+The second factor is a tree of softmaxes: the hash of a word, a digit at a time,
+leads from its class to a leaf (:class:`Tree`). Each decision starts from the
+counts below it and adds hashed features of the history: the word before
+(n-gram) and the word before that (skip), each with the node. Words of a leaf
+share its probability by counts. What has not been seen in training keeps the
+probability that counts give it.
 
 Counts come from all training texts. Feature weights are trained by gradient
 updates that cover all training texts once: each round's gradients are added up
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +51,13 @@ DAMPING = 5.0
 BATCH, HELD = 500_000, 2_000_000
 #: Words whose counts are sent to all executors, at most; 16 bytes each.
 FREQUENT = 1 << 19
+#: Children of a node of a tree of words, as bits, and levels at most.
+FAN_BITS, LEVELS = 4, 4
+FAN = 1 << FAN_BITS
+#: Bits of the number of rows of a tree's features: one row for so many training tokens, within limits.
+ROW_BITS, TOKENS_A_ROW = (10, 16), 64
+#: Tokens that a tree works on together.
+PART = 1 << 16
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _CONTEXTS = CLASSES * BUCKETS * CLASSES
@@ -90,6 +103,94 @@ def class_probabilities(weights: np.ndarray, bias: np.ndarray, history: np.ndarr
     return p / p.sum(axis=1, keepdims=True)
 
 
+def contexts(hash_: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that, as hashes; the end of a text stands before its start."""
+    before = np.concatenate(([END], hash_[:-1]))
+    skip = np.concatenate(([END, END], hash_[:-2]))[: len(hash_)]
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    skip[starts] = 0
+    return before, skip
+
+
+class Tree:
+    """Words within their classes, by the digits of their hashes.
+
+    ``shares[k]`` has a row for each node of level k: the shares of its children
+    in the counts below it, a word counting as one more than it occurs.
+    ``forks[k]`` tells the nodes with more than one child; others decide nothing.
+    The last level has about one leaf for each distinct word, 4,194,304 at most.
+    """
+
+    def __init__(self, levels: int, leaf: np.ndarray, mass: np.ndarray, bits: int):
+        self.levels, self.bits = levels, bits
+        below = np.zeros(CLASSES << (FAN_BITS * levels))
+        below[leaf] = mass
+        self.known = below > 0
+        self.shares, self.forks = [], []
+        for _ in range(levels):
+            children = below.reshape(-1, FAN)
+            below = children.sum(axis=1)
+            self.shares.insert(0, (children / np.maximum(below, 1)[:, None]).astype(np.float32))
+            self.forks.insert(0, (children > 0).sum(axis=1) > 1)
+
+    @staticmethod
+    def levels_of(distinct: int) -> int:
+        k = 1
+        while k < LEVELS and CLASSES << (FAN_BITS * k) < distinct:
+            k += 1
+        return k
+
+    @staticmethod
+    def bits_of(tokens: int) -> int:
+        return min(max((tokens // TOKENS_A_ROW).bit_length(), ROW_BITS[0]), ROW_BITS[1])
+
+    def decisions(self, weights: np.ndarray, hash_: np.ndarray, class_: np.ndarray, before: np.ndarray, skip: np.ndarray) -> Iterator[tuple]:
+        """(tokens, rows of weights of each kind, child taken, summed weights, shares times their exponentials) of each level and part."""
+        odd, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - self.bits)
+        for a in range(0, len(hash_), PART):
+            h, node = hash_[a : a + PART], class_[a : a + PART]
+            history = mix(before[a : a + PART] + np.uint64(1)), mix(skip[a : a + PART] + np.uint64(2))
+            leaf = (node << (FAN_BITS * self.levels)) + (h >> np.uint64(64 - FAN_BITS * self.levels)).astype(np.int64)
+            has_leaf = self.known[leaf]
+            for k in range(self.levels):
+                child = (h >> np.uint64(64 - FAN_BITS * (k + 1))).astype(np.int64) & (FAN - 1)
+                at = np.flatnonzero(has_leaf & self.forks[k][node])
+                if len(at):
+                    own = mix(node[at].astype(np.uint64) * np.uint64(LEVELS) + np.uint64(k))
+                    rows = [(((x[at] ^ own) * odd) >> shift).astype(np.int64) for x in history]
+                    total = weights[rows[0]] + weights[rows[1]]
+                    yield a + at, rows, child[at], total, self.shares[k][node[at]] * np.exp(total)
+                node = node * FAN + child
+
+    def lifts(self, weights: np.ndarray, *tokens: np.ndarray) -> np.ndarray:
+        """log10 of how much more probable the history makes each token within its class than counts alone; 0 without a leaf."""
+        out = np.zeros(len(tokens[0]), dtype=np.float32)
+        for at, _, child, total, e in self.decisions(weights, *tokens):
+            out[at] += total[np.arange(len(at)), child] - np.log(e.sum(axis=1))
+        return out / np.float32(math.log(10))
+
+    def gradients(self, weights: np.ndarray, *tokens: np.ndarray) -> np.ndarray:
+        """Counts of (row, found or expected, child)."""
+        size = FAN << self.bits
+        out = np.zeros((2, size))
+        for _, rows, child, _, e in self.decisions(weights, *tokens):
+            e /= e.sum(axis=1, keepdims=True)
+            row = np.concatenate(rows)
+            out[0] += np.bincount(row * FAN + np.tile(child, 2), minlength=size)
+            order = np.argsort(row)
+            row, start = np.unique(row[order], return_index=True)
+            out[1].reshape(-1, FAN)[row] += np.add.reduceat(e[order % len(e)], start, axis=0)
+        return out.reshape(2, -1, FAN).transpose(1, 0, 2)
+
+
+def plant(words: DataFrame, distinct: int, tokens: int) -> Tree:
+    """The tree of ``words(word, class, c)``."""
+    levels = Tree.levels_of(distinct)
+    leaf = F.col("class").cast("long") * (1 << (FAN_BITS * levels)) + F.shiftrightunsigned("word", 64 - FAN_BITS * levels)
+    got = words.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()
+    return Tree(levels, got["leaf"].to_numpy(), got["mass"].to_numpy(), Tree.bits_of(tokens))
+
+
 def _batches(texts: pa.Array) -> Iterator[tuple[int, list]]:
     """(first row, chunks of tokens) of about BATCH tokens at a time."""
     held, size, start = [], 0, 0
@@ -134,22 +235,28 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, class int, c long").groupBy("word").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
 
 
-def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (feature, class) in ``docs(text)``: as found, and as the weights expect them."""
-    width = 128  # rows of weights that are added up together
+def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, tree: Broadcast, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in ``docs(text)``, as found and as the weights expect them: (feature, both, class) and (row, both, child)."""
+    width = 1 << 14  # numbers that are added up together
+    outer_size, inner_size = _ROWS * 2 * CLASSES, inner.size * 2
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((weights, bias, inner))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights_, bias_, inner_ = sent.value
         found, expected = np.zeros((_ROWS, CLASSES)), np.zeros((_ROWS, CLASSES))
+        within = np.zeros((len(inner_), 2, FAN))
         some = False
         for b in batches:
             for _, part in _batches(b.column(0)):
                 some = True
-                class_, history = np.concatenate([t[1] for t in part]), np.concatenate([t[2] for t in part])
+                hash_, class_, history, lengths = (np.concatenate([t[k] for t in part]) for k in range(4))
+                within += tree.value.gradients(inner_, hash_, class_, *contexts(hash_, lengths))
                 times = np.bincount(history, minlength=_CONTEXTS)
                 (used,) = np.nonzero(times)
                 place = np.zeros(_CONTEXTS, dtype=np.int64)
                 place[used] = np.arange(len(used))
-                p = class_probabilities(weights, bias, used) * times[used, None]
+                p = class_probabilities(weights_, bias_, used) * times[used, None]
                 seen = np.bincount(place[history] * CLASSES + class_, minlength=len(used) * CLASSES).reshape(-1, CLASSES)
                 for f in _features(used):
                     order = np.argsort(f, kind="stable")
@@ -157,36 +264,43 @@ def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> tuple[
                     found[rows] += np.add.reduceat(seen[order], start, axis=0)
                     expected[rows] += np.add.reduceat(p[order], start, axis=0)
         if some:
-            both = np.stack([found, expected], axis=1).astype(np.float32)
-            for k in range(0, _ROWS, width):
-                part = both[k : k + width].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([part.tolist()], pa.list_(pa.float32()))], ["at", "part", "v"])
+            both = np.concatenate([np.stack([found, expected], axis=1).ravel(), within.ravel()]).astype(np.float32)
+            for k in range(0, len(both), width):
+                part = both[k : k + width]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], ["at", "part", "v"])
 
     def add(part: pa.Table) -> pa.Table:
         v = part["v"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).sum(axis=0, dtype=np.float64).astype(np.float32)
-        return pa.table({"at": part["at"][:1], "part": part["part"][:1], "v": pa.array([v.tolist()], pa.list_(pa.float32()))})
+        return pa.table({"at": part["at"][:1], "part": part["part"][:1], "v": pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))})
 
     schema = "at int, part int, v array<float>"
     parts = docs.select("text").mapInArrow(count, schema)
-    got = parts.groupBy("at", "part").applyInArrow(add, schema).groupBy("at").applyInArrow(add, schema).collect()
-    both = np.zeros((_ROWS, 2, CLASSES))
-    for r in got:
-        both[r["at"] : r["at"] + width] = np.array(r["v"]).reshape(-1, 2, CLASSES)
-    return both[:, 0], both[:, 1]
+    got = parts.groupBy("at", "part").applyInArrow(add, schema).groupBy("at").applyInArrow(add, schema).toArrow()
+    both = np.zeros(outer_size + inner_size, dtype=np.float32)
+    for batch in got.to_batches():
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            both[k : k + width] = v.values.to_numpy()
+    sent.destroy()
+    return both[:outer_size].reshape(_ROWS, 2, CLASSES).astype(float), both[outer_size:].reshape(-1, 2, FAN)
 
 
-def train(docs: DataFrame, bias: np.ndarray, rounds: int = ROUNDS, id_col: str = "doc_id") -> np.ndarray:
-    """Weights after ``rounds`` updates, over as many parts of ``docs`` that together are all of it.
+def train(docs: DataFrame, bias: np.ndarray, tree: Broadcast, rounds: int = ROUNDS, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of the tree after ``rounds`` updates, over as many parts of ``docs`` that together are all of it.
 
-    A step is the gradient over its expected curvature, divided by the number
-    of features that act together.
+    A step for classes is the gradient over its expected curvature, one for the
+    tree the log of found over expected counts (iterative scaling), each
+    divided by the number of features that act together.
     """
     weights = np.zeros((_ROWS, CLASSES))
+    inner = np.zeros((1 << tree.value.bits, FAN), dtype=np.float32)
     for r in range(rounds):
         part = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(rounds)) == r)
-        found, expected = _gradients(part, weights, bias)
+        classes, within = _gradients(part, weights, bias, tree, inner)
+        found, expected = classes[:, 0], classes[:, 1]
         weights += np.clip((found - expected) / (expected + DAMPING), -0.99, 4.0) / _KINDS
-    return weights
+        inner += np.log((within[:, 0] + DAMPING) / (within[:, 1] + DAMPING)) / 2
+    return weights, inner
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
@@ -211,7 +325,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
         n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
     total, distinct = int(n_class.sum()), int(v_class.sum())
     bias = np.log((n_class + 1) / (total + CLASSES))
-    weights = train(training, bias, rounds)
+    tree = spark.sparkContext.broadcast(plant(words, distinct, total))
+    weights, inner = train(training, bias, tree, rounds)
 
     # the least count of the frequent words, from a histogram of counts
     level = F.floor(8 * F.log2("c")).cast("int")
@@ -225,10 +340,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
     top = chosen.select("word", "c").toArrow()
     hashes = np.asarray(top["word"].to_numpy(), dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    sent = spark.sparkContext.broadcast((hashes[order], np.asarray(top["c"].to_numpy(), dtype=np.int64)[order], weights, bias, np.log10(n_class + v_class + 1)))
+    sent = spark.sparkContext.broadcast((hashes[order], np.asarray(top["c"].to_numpy(), dtype=np.int64)[order], weights, bias, np.log10(n_class + v_class + 1), inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, w, bias_, size = sent.value
+        known, count, w, bias_, size, inner_ = sent.value
         gain = np.log10(count + 1.0)
         u = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -241,7 +356,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
                 place = np.zeros(_CONTEXTS, dtype=np.int64)
                 place[used] = np.arange(len(used))
                 log_p = np.log10(class_probabilities(w, bias_, used))
-                model = np.bincount(doc, log_p[place[history], class_] - size[class_], n)
+                lift = tree.value.lifts(inner_, h, class_, *contexts(h, lengths)) if rounds else np.zeros(len(h), np.float32)
                 word, at = np.unique(h, return_inverse=True)
                 if len(known):
                     near = np.minimum(np.searchsorted(known, word), len(known) - 1)
@@ -250,18 +365,19 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
                 else:
                     is_known, value = np.zeros(len(word), bool), np.zeros(len(word))
                 found = is_known[at]
+                model = np.bincount(doc, log_p[place[history], class_] - size[class_] + np.where(found, lift, 0), n)
                 rest = np.flatnonzero(~found)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc[rest], minlength=n)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rest].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(lift[rest])], ["word", "lift"]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(u, u + n, dtype=np.int64)), b.column(0).slice(first, n), pa.array(lengths.astype(np.int64)), pa.array(np.bincount(doc, value[at], n)), pa.array(np.bincount(doc[found], minlength=n).astype(np.int64)), pa.array(model), lists],
                     ["u", "doc_id", "n_tokens", "gain", "known", "model", "rare"],
                 )
                 u += n
 
-    rows = cut(own.mapInArrow(run, f"u long, doc_id {kind}, n_tokens long, gain double, known long, model double, rare array<long>"), "scored")
-    joined = rows.select("u", F.explode("rare").alias("word")).join(words.select("word", "c"), "word")
-    extra = joined.groupBy("u").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more_gain"), F.count("*").alias("more_known"))
+    rows = cut(own.mapInArrow(run, f"u long, doc_id {kind}, n_tokens long, gain double, known long, model double, rare array<struct<word: long, lift: float>>"), "scored")
+    joined = rows.select("u", F.inline("rare")).join(words.select("word", "c"), "word")
+    extra = joined.groupBy("u").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more_gain"), F.count("*").alias("more_known"), F.sum("lift").alias("more_lift"))
     gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
     return rows.drop("rare").join(extra, "u", "left").select(
         "doc_id",
@@ -270,7 +386,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (gain - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (gain + F.col("model")).alias("score"),
+        (gain + F.col("model") + F.coalesce("more_lift", F.lit(0.0))).alias("score"),
     )
 
 

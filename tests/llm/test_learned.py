@@ -104,3 +104,39 @@ def test_class_probabilities_sum_to_one_and_training_helps(documents):
     trained = [r for r in lm_scoring.score(documents).collect() if r["held_out"]]
     untrained = [r for r in lm_scoring.score(documents, rounds=0).collect() if r["held_out"]]
     assert sum(r["score"] for r in trained) > sum(r["score"] for r in untrained)
+
+
+def test_words_of_a_class_depend_on_the_history():
+    """Two words of one class, of equal counts, that only the word before tells apart; probabilities over the class sum to one."""
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    class_, mass = np.full(40, 5), np.full(40, 301)
+    levels = lm_scoring.Tree.levels_of(5000)
+    leaf = (class_ << (4 * levels)) + (hashes >> np.uint64(64 - 4 * levels)).astype(np.int64)
+    once, place = np.unique(leaf, return_inverse=True)
+    tree = lm_scoring.Tree(levels, once, np.bincount(place, mass), 12)
+    a, b = hashes[np.unique(leaf, return_index=True)[1][:2]]
+    word, before = np.tile([a, b], 300), np.tile([np.uint64(11), np.uint64(22)], 300)
+    skip = np.zeros(600, np.uint64)
+    weights = np.zeros((1 << 12, lm_scoring.FAN), np.float32)
+    for _ in range(3):
+        g = tree.gradients(weights, word, np.full(600, 5), before, skip)
+        assert np.allclose(g[:, 0].sum(axis=1), g[:, 1].sum(axis=1))
+        weights += np.log((g[:, 0] + 5) / (g[:, 1] + 5)).astype(np.float32) / 2
+    asked = [tree.lifts(weights, hashes, class_, np.full(40, np.uint64(h)), np.zeros(40, np.uint64)) for h in (11, 22)]
+    i, j = np.flatnonzero(hashes == a)[0], np.flatnonzero(hashes == b)[0]
+    assert asked[0][i] > asked[0][j] + 0.3 and asked[1][j] > asked[1][i] + 0.3
+    for lift in asked:
+        assert np.isclose((10.0**lift / 40).sum(), 1, atol=1e-4)
+
+
+def test_scores_tell_words_of_a_class_apart(spark):
+    """The pairs differ in the word that follows alone; both words end alike and so are of one class."""
+    texts = ["red xsameend . blue ysameend . " * 20, "red xsameend . " * 3, "red ysameend . " * 3]
+    ids = [[i for i in range(2000) if held(i, 7, 2) == h] for h in (False, True)]
+    rows = [(i, texts[0]) for i in ids[0][:60]] + [(ids[1][0], texts[1]), (ids[1][1], texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent in (1 << 19, 0):
+        got = {r["doc_id"]: r for r in lm_scoring.score(docs, frequent=frequent).collect()}
+        right, wrong = got[ids[1][0]], got[ids[1][1]]
+        assert abs(right["base_score"] - wrong["base_score"]) < 1e-9 and right["score"] > wrong["score"] + 1
