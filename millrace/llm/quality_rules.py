@@ -68,20 +68,32 @@ def _line_hashes(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(_normalised(x))))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, enough_docs: int | None = None, min_length: int = 0) -> DataFrame:
     """``(host, line, n_docs)`` of the lines above both limits.
 
+    With ``enough_docs`` so many documents of a host suffice whatever its size,
+    for lines of ``min_length`` normalised characters at least.
+
     Each row of ``docs`` is a document and counts once for each distinct line
     of it. Counts are added up before the shuffle, so a line or host that a
     third of all documents share costs each task one row.
     """
-    per_doc = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(_line_hashes(F.col(text)))).alias("line"))
-    counts = per_doc.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    if enough_docs is None:
+        per_doc = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(_line_hashes(F.col(text)))).alias("line"))
+        counts = per_doc.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+        suffices = F.lit(False)
+    else:
+        lengths = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(_normalised(x)))
+        zipped = F.arrays_zip(_line_hashes(F.col(text)).alias("line"), lengths.alias("length"))
+        per_doc = docs.select(F.col(host).alias("host"), F.inline(F.array_distinct(zipped)))
+        counts = per_doc.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("length").alias("length"))
+        suffices = (F.col("n_docs") >= enough_docs) & (F.col("length") >= min_length)
+        counts = counts.where((F.col("n_docs") >= min_docs) | suffices)
     hosts = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("n_docs") > max_share * F.col("host_docs")).select(counts["host"], "line", "n_docs")
+    return counts.join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(suffices | (F.col("n_docs") >= min_docs) & (F.col("n_docs") > max_share * F.col("host_docs"))).select(counts["host"], "line", "n_docs")
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, enough_docs: int | None = None, min_length: int = 0) -> DataFrame:
     """Statistics, cleaned text and verdict; one row for each row of ``docs``.
 
     Columns: doc_id, the statistics of :func:`base_statistics`, n_removed_lines,
@@ -95,7 +107,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", t
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("sig", F.xxhash64("text", "host"))
-    frequent = frequent_lines(docs, host, text, max_share, min_docs)
+    frequent = frequent_lines(docs, host, text, max_share, min_docs, enough_docs, min_length)
     lines = own.select("doc_id", "sig", "host", F.posexplode(F.transform(F.arrays_zip(F.split("text", "\n").alias("t"), _line_hashes(F.col("text")).alias("h")), lambda x: F.struct(x["h"].alias("h"), F.length(x["t"]).alias("n")))).alias("pos", "x"))
     lines = lines.select("doc_id", "sig", "host", "pos", F.col("x.h").alias("line"), F.col("x.n").alias("n")).where("line is not null")
     hit = lines.join(frequent, (lines["line"] == frequent["line"]) & lines["host"].eqNullSafe(frequent["host"]))

@@ -88,3 +88,24 @@ def test_rules_on_edges(edges, empty):
     got = quality_rules.apply_rules(edges).collect()
     assert len(got) == edges.count() and quality_rules.apply_rules(empty).count() == 0
     assert not any(r["kept"] for r in got if r["n_words"] < 10)
+
+
+def test_passages_go_whatever_the_size_of_the_host(spark):
+    """1,000 documents of a host, 6 of which share a passage; a line of two words in as many stays."""
+    own = lambda i: f"number {i} has a text of its own, with words enough for the base rules {i * 7}"
+    rows = [(i, ("All rights reserved by the owner of this page.\nOh no.\n" if i < 6 else "") + own(i), "a") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, enough_docs=4, min_length=20, min_left=0.7).collect()}
+    assert [i for i, r in got.items() if r["n_removed_lines"]] == [i for i in got if i < 6]
+    assert all(got[i]["cleaned"] == "Oh no.\n" + own(i) and not got[i]["kept"] for i in range(6))
+    assert sum(r["kept"] for r in got.values()) == 994
+
+
+def test_limits_of_the_query(spark):
+    """A line goes from 20 documents on if they are more than 5 % of the host's, and a document of which less than 30 % is left is rejected."""
+    own = lambda i: f"words of number {i} stand here and nowhere else, ten or more of them {i * 7}"
+    rows = [(1000 * h + i, ("x" * (300 if i == 0 else 10) + "\n" if i < shared else "") + own(1000 * h + i), f"h{h}") for h, (n, shared) in enumerate([(30, 20), (30, 19), (400, 20), (400, 21)]) for i in range(n)]
+    rows = [(i, t.replace("x" * 10 + "\n", "a shared line\n") if "x" * 300 not in t else "\n".join(["a shared line"] * 30) + "\n" + own(i), h) for i, t, h in rows]
+    got = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {h: sum(r["n_removed_lines"] > 0 for r in got if r["doc_id"] // 1000 == h) for h in range(4)} == {0: 20, 1: 0, 2: 0, 3: 21}
+    assert not any(r["kept"] for r in got if r["doc_id"] in (0, 3000)) and all(r["kept"] for r in got if r["doc_id"] in (1, 3001, 2001))
