@@ -28,7 +28,7 @@ COSINE = 0.98
 #: Width of a projection's cells, for unit vectors.
 WIDTH = 2.0
 #: Share of the pairs just at the cosine that all tables together may miss.
-MISSED = 0.03
+MISSED = 0.001
 #: Vectors of a block.
 BLOCK = 256
 

@@ -167,3 +167,18 @@ def test_pipeline_stages_on_edges(spark, small, edges, empty):
             out = stage(spark, docs, small)
             out.collect()
             docs = out if out.columns == docs.columns else docs
+
+
+def test_planned_recall_of_the_query(spark):
+    """With the query's own parameters, of 400 pairs at just above the cosine at most four are missed."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((400, 64))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9801 * a + math.sqrt(1 - 0.9801**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(2 * i + k, x[i].tolist(), 1) for i in range(400) for k, x in enumerate((a, b))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = sum(r["n_links"] for r in got) // 2
+    print("found", found)
+    assert found >= 396
