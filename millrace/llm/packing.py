@@ -48,7 +48,8 @@ class Encoder:
     vocabularies are, ids are ranks, and the tiktoken library finds the same
     ids from the file's vocabulary in a fraction of the time. Every task
     compares the two on its first texts and stops if they differ. A file of
-    another kind, and a text that tiktoken gives up on, is left to tokenizers.
+    another kind, a text that holds an added token of the file, and one that
+    tiktoken gives up on, is left to tokenizers with its own settings.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -57,9 +58,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, self.added = file["model"], [t["content"] for t in file.get("added_tokens") or []]
         vocab = model["vocab"]
         made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
         self.ranks = None
@@ -74,7 +75,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.ranks is None:
+        if self.ranks is None or any(t in text for t in self.added):
             return self.reference(text)
         try:
             ids = self.ranks.encode_ordinary(text)

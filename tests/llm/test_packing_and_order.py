@@ -156,3 +156,10 @@ def test_one_text_in_most_rows_is_cut_evenly(spark):
 def test_shards_of_edges(edges, empty):
     check_shards(edges, 4)
     assert sharding.shard(empty, 4).count() == 0
+
+
+def test_added_tokens_have_the_ids_of_the_library():
+    t, own = Tokenizer.from_file(FILE), packing.Encoder(FILE, packing.public_tokenizers.PATTERN)
+    for text in ("a<|endoftext|>b c", "<|endoftext|>", "no such token", "<|endoftext |>"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(own.encode("a<|endoftext|>b"), "<u4")
