@@ -1,17 +1,20 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Texts become pieces of at most a sequence's tokens. Pieces are dealt to shards
-of a bounded number by a hash, and each shard is packed by islands: populations
+of a bounded size by a hash, and each shard is packed by islands: populations
 of whole packings that evolve in tasks of their own. A crossover puts
 well-filled sequences of one packing into another, drops the sequences there
 that hold the same pieces, and best-fits the displaced pieces. Between epochs
 the best packing of each island moves to the next. The emptiest sequences of
 all shards are opened again and packed together in a further round, until one
-shard holds them all, so that shards cost no sequences.
+shard holds them all, so that shards cost no sequences. Evolution therefore
+looks for few sequences first, and then for little space outside those that will
+be opened again, as only that is lost.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import random
@@ -28,11 +31,15 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 CAPACITY = 2048
-#: Pieces of a shard, expected.
-SHARD = 2_000
-ISLANDS = 2
-POPULATION = 4
-GENERATIONS = 6
+#: Pieces and sequences of a shard, expected: as many as needed for both.
+SHARD, SEQUENCES = 2_000, 64
+ISLANDS, EPOCHS = 2, 2
+POPULATION = 6
+GENERATIONS = 4
+#: Share of a packing's fullest bins that a crossover puts into another.
+INJECTED = 0.1
+#: Least factor by which a piece may seem shorter when the order of best fit is made.
+NOISE = 0.98
 #: Sequences of a shard, the emptiest, that are packed again with those of other shards.
 REOPENED = 3
 #: Texts at the start of each task whose ids are compared with those of the tokenizers library.
@@ -178,23 +185,29 @@ class Packing:
                 self._open([i], self.capacity - size)
         return self
 
-    def fitness(self) -> tuple[int, float]:
-        """Fewer bins first, then the more uneven their filling."""
-        return -len(self.bins), sum([(self.capacity - s) ** 2 for s in self.space])
+    def fitness(self, spare: int = 0) -> tuple[int, int]:
+        """Fewer bins first, then less space outside the ``spare`` emptiest bins."""
+        return -len(self.bins), sum(heapq.nlargest(spare, self.space)) - sum(self.space)
+
+
+def _noisy(items: list[int], sizes: list[int], rng: random.Random) -> list[int]:
+    """Largest first, but each may seem a little smaller than it is."""
+    return [i for _, i in sorted([(-sizes[i] * rng.uniform(NOISE, 1.0), i) for i in items])]
 
 
 def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
-    """Well-filled bins of ``b`` in ``a``; what they displace is best-fitted, largest first."""
-    full = sorted(range(len(b.bins)), key=lambda k: b.space[k])
-    injected = [b.bins[k] for k in full[: max(1, len(full) * 3 // 4)] if rng.random() < 0.5] or [b.bins[full[0]]]
+    """Whole well-filled bins of ``b`` in ``a``; what they displace, and what lies in bins of ``a`` that are not full, is best-fitted."""
+    order = sorted(range(len(b.bins)), key=b.space.__getitem__)
+    best = order[: max(1, len(order) * 3 // 4)]
+    injected = [b.bins[k] for k in rng.sample(best, max(1, int(len(best) * INJECTED)))]
     inside = {i for items in injected for i in items}
     kept, displaced = [list(items) for items in injected], []
-    for items in a.bins:
-        if inside.isdisjoint(items):
+    for items, space in zip(a.bins, a.space, strict=True):
+        if not space and inside.isdisjoint(items):
             kept.append(list(items))
         else:
             displaced += [i for i in items if i not in inside]
-    return Packing(a.sizes, a.capacity, kept).insert(sorted(displaced, key=lambda i: -a.sizes[i]))
+    return Packing(a.sizes, a.capacity, kept).insert(_noisy(displaced, a.sizes, rng))
 
 
 def mutate(p: Packing, rng: random.Random) -> Packing:
@@ -206,28 +219,31 @@ def mutate(p: Packing, rng: random.Random) -> Packing:
     return Packing(p.sizes, p.capacity, [list(b) for k, b in enumerate(p.bins) if k not in gone]).insert(items)
 
 
-def evolve(sizes: list[int], capacity: int, seeds: list[list[list[int]]], rng: random.Random, generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """The best packing after some generations, or as soon as one needs no more bins than the sum of sizes does."""
+def evolve(sizes: list[int], capacity: int, seeds: list[list[list[int]]], rng: random.Random, spare: int = 0, generations: int = GENERATIONS, population: int = POPULATION) -> tuple[Packing, int]:
+    """The best packing and the generations it took: until nothing can be gained, or all ``generations``.
+
+    Nothing can be gained once the bins are as few as the sum of sizes allows
+    and only the ``spare`` emptiest have space left (all may have without ``spare``).
+    """
     least = -(-sum(sizes) // capacity)
+
+    def perfect(p: Packing) -> bool:
+        bins, space = p.fitness(spare)
+        return -bins <= least and not (spare and space)
+
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    all_ = [Packing(sizes, capacity, [list(b) for b in s]) for s in seeds]
-    if not all_:
-        all_.append(Packing(sizes, capacity).insert(order))
-    while len(all_) < population and max(all_, key=Packing.fitness).fitness()[0] < -least:
-        noise = [rng.uniform(0.8, 1.0) for _ in sizes]
-        all_.append(Packing(sizes, capacity).insert(sorted(order, key=lambda i: -sizes[i] * noise[i])))
-    best = max(all_, key=Packing.fitness)
-    for _ in range(generations):
-        if len(best.bins) <= least:
-            break
-        children = []
+    all_ = [Packing(sizes, capacity, [list(b) for b in s]) for s in seeds] or [Packing(sizes, capacity).insert(order)]
+    best = max(all_, key=lambda p: p.fitness(spare))
+    done = 0
+    while not perfect(best) and done < generations:
+        while len(all_) < population:
+            all_.append(Packing(sizes, capacity).insert(_noisy(order, sizes, rng)))
         for _ in range(population):
-            a, b = rng.sample(all_, 2) if len(all_) > 1 else (best, best)
-            child = crossover(a, b, rng)
-            children.append(mutate(child, rng) if rng.random() < 0.5 else child)
-        all_ = sorted([*all_, *children], key=Packing.fitness, reverse=True)[:population]
-        best = all_[0]
-    return best
+            child = crossover(*rng.sample(all_, 2), rng)
+            all_.append(mutate(child, rng) if rng.random() < 0.3 else child)
+        all_ = sorted(all_, key=lambda p: p.fitness(spare), reverse=True)[:population]
+        best, done = all_[0], done + 1
+    return best, done
 
 
 def _order(part: pa.Table) -> pa.Table:
@@ -251,63 +267,74 @@ def _bins(of: list[int]) -> list[list[int]]:
 
 
 def _round(items: DataFrame, shards: int, capacity: int, number: int) -> DataFrame:
-    """Packs each shard; adds shard, bin, offset and reopened to the items."""
+    """Packs each shard; adds shard, bin, offset, reopened and the generations of the shard's islands to the items."""
+    spare = REOPENED if shards > 1 else 0
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("u", F.lit(number)), F.lit(shards)))
     narrow = dealt.select("shard", "u", "length").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
-    elite = "shard long, island int, n int, fill double, of array<int>"
+    elite = "shard long, island int, n int, loss long, generations int, of array<int>"
 
-    def result(shard: int, island: int, p: Packing) -> pa.Table:
-        n, fill = p.fitness()
-        return pa.table({"shard": pa.array([shard], pa.int64()), "island": pa.array([island], pa.int32()), "n": pa.array([-n], pa.int32()), "fill": pa.array([float(fill)]), "of": pa.array([_bin_of(p)], pa.list_(pa.int32()))})
-
-    def first(part: pa.Table) -> pa.Table:
+    def result(part: pa.Table, seeds: list[list[list[int]]], before: int, epoch: int) -> pa.Table:
         shard, island = part["shard"][0].as_py(), part["island"][0].as_py()
-        return result(shard, island, evolve(_order(part)["length"].to_pylist(), capacity, [], random.Random(f"{number} {shard} {island} 1")))
+        p, took = evolve(_order(part)["length"].to_pylist(), capacity, seeds, random.Random(f"{number} {shard} {island} {epoch}"), spare)
+        n, loss = p.fitness(spare)
+        return pa.table({"shard": pa.array([shard], pa.int64()), "island": pa.array([island], pa.int32()), "n": pa.array([-n], pa.int32()), "loss": pa.array([-loss], pa.int64()), "generations": pa.array([before + took], pa.int32()), "of": pa.array([_bin_of(p)], pa.list_(pa.int32()))})
 
-    def next_(part: pa.Table, elites: pa.Table) -> pa.Table:
-        shard, island = part["shard"][0].as_py(), part["island"][0].as_py()
-        seeds = [_bins(of) for of in elites.sort_by("n")["of"].to_pylist()]
-        return result(shard, island, evolve(_order(part)["length"].to_pylist(), capacity, seeds, random.Random(f"{number} {shard} {island} 2")))
+    def later(epoch: int):
+        def run(part: pa.Table, elites: pa.Table) -> pa.Table:
+            elites = elites.sort_by([("n", "ascending"), ("loss", "ascending")])
+            return result(part, [_bins(of) for of in elites["of"].to_pylist()], max(elites["generations"].to_pylist()), epoch)
+
+        return run
 
     def assign(part: pa.Table, elites: pa.Table) -> pa.Table:
         part = _order(part)
         sizes = part["length"].to_pylist()
-        best = elites.sort_by([("n", "ascending"), ("fill", "descending"), ("island", "ascending")])
+        best = elites.sort_by([("n", "ascending"), ("loss", "ascending"), ("island", "ascending")])
         bins = _bins(best["of"][0].as_py())
         space = [capacity - sum([sizes[i] for i in b]) for b in bins]
-        again = set(sorted(range(len(bins)), key=lambda k: -space[k])[:REOPENED]) if shards > 1 else set()
+        again = set(heapq.nlargest(spare, [k for k in range(len(bins)) if space[k]], key=space.__getitem__))
         of, offset = [0] * len(sizes), [0] * len(sizes)
         for k, b in enumerate(bins):
             at = 0
             for i in b:
                 of[i], offset[i] = k, at
                 at += sizes[i]
-        return part.append_column("bin", pa.array(of, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).append_column("reopened", pa.array([k in again for k in of]))
-
-    one = narrow.groupBy("shard", "island").applyInArrow(first, elite)
-    moved = one.unionByName(one.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))))
-    two = narrow.groupBy("shard", "island").cogroup(moved.groupBy("shard", "island")).applyInArrow(next_, elite)
+        generations = pa.array([max(elites["generations"].to_pylist())] * len(of), pa.int32())
+        return part.append_column("bin", pa.array(of, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).append_column("reopened", pa.array([k in again for k in of])).append_column("generations", generations)
+
+    islands = narrow.groupBy("shard", "island")
+    best = islands.applyInArrow(lambda part: result(part, [], 0, 1), elite)
+    for epoch in range(2, EPOCHS + 1):
+        # each island's best packing stays and goes to the next one too
+        moved = best.withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))))
+        best = islands.cogroup(moved.groupBy("shard", "island")).applyInArrow(later(epoch), elite)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
-    return dealt.groupBy("shard").cogroup(two.groupBy("shard")).applyInArrow(assign, f"{fields}, bin long, offset long, reopened boolean")
+    return dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(assign, f"{fields}, bin long, offset long, reopened boolean, generations int")
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, sequences: int = SEQUENCES) -> DataFrame:
     """Adds sequence_id and offset to pieces (a table with length and u).
 
     Full pieces are sequences by themselves. Every round works on what the one
-    before opened again, a few sequences of each shard, so rounds shrink fast.
+    before opened again: a few of the ``sequences``, or more, of each shard. The
+    tokens of a round are therefore a small share of those of the round before
+    whatever the pieces' lengths, and so are its shards, until there is one,
+    which opens nothing. A shard has ``shard`` pieces, or as many as fill
+    ``sequences``: a number that does not grow with the table.
     """
     out = cut_pieces.where(F.col("length") >= capacity).select("*", F.col("u").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = cut_pieces.where(F.col("length") < capacity)
     number = 0
-    while n := left.count():
+    while True:
+        facts = left.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
+        if not facts["n"]:
+            return out
         number += 1
-        shards = -(-n // shard)
+        shards = max(1, min(facts["n"] // shard, facts["tokens"] // (sequences * capacity)))
         done = cut(_round(left, shards, capacity, number), "packing-round")
         sequence = F.lit(number << 58) + F.col("shard") * F.lit(1 << 24) + F.col("bin")
         out = out.unionByName(done.where("not reopened").select(*cut_pieces.columns, sequence.alias("sequence_id"), "offset"))
         left = done.where("reopened").select(*cut_pieces.columns)
-    return out
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -62,7 +62,6 @@ def test_bpe_digests(edges, empty, reference):
 
 def check_packing(rows, docs):
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -98,7 +97,7 @@ def test_rounds_over_many_shards(spark):
     rng = random.Random(5)
     rows = [(i, 0, 0, rng.randint(1, 2048), 0, i) for i in range(600)]
     own = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, u long")
-    got = packing.pack(own, shard=50).collect()
+    got = packing.pack(own, shard=50, sequences=16).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(600))
     used = {r["sequence_id"] for r in got}
     totals = {}
@@ -107,20 +106,55 @@ def test_rounds_over_many_shards(spark):
     assert max(totals.values()) <= 2048 and len(used) <= 1.06 * sum(r[3] for r in rows) / 2048 + 2
 
 
-def test_genetic_steps_keep_every_piece_and_improve():
-    rng = random.Random(1)
-    # triples that fill a bin exactly, which plain best fit decreasing misses
+def triples(seed):
+    """Three pieces to a bin of 1,000 exactly, which plain best fit decreasing misses."""
+    rng = random.Random(seed)
     sizes = []
-    for _ in range(20):
-        a, b = rng.randint(200, 500), rng.randint(250, 400)
+    for _ in range(40):
+        a, b = rng.randint(300, 500), rng.randint(250, 290)
         sizes += [a, b, 1000 - a - b]
-    order = sorted(range(60), key=lambda i: -sizes[i])
+    return sizes, rng
+
+
+def test_genetic_steps_keep_every_piece_and_improve():
+    sizes, rng = triples(4)
+    order = sorted(range(120), key=lambda i: -sizes[i])
     plain = packing.Packing(sizes, 1000).insert(order)
-    best = packing.evolve(sizes, 1000, [], rng, generations=60, population=12)
-    assert sorted(i for b in best.bins for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 1000 for b in best.bins)
-    assert len(best.bins) <= len(plain.bins)
+    best, generations = packing.evolve(sizes, 1000, [], rng)
+    assert sorted(i for b in best.bins for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 1000 for b in best.bins)
+    assert len(best.bins) < len(plain.bins) and generations == packing.GENERATIONS
     child = packing.mutate(packing.crossover(plain, best, rng), rng)
-    assert sorted(i for b in child.bins for i in b) == list(range(60))
+    assert sorted(i for b in child.bins for i in b) == list(range(120))
+    assert packing.evolve([500, 500], 1000, [], rng)[1] == 0  # nothing can be gained
+
+
+def test_space_is_gathered_in_bins_that_are_opened_again():
+    rng = random.Random(2)
+    sizes = [rng.randint(30, 900) for _ in range(150)] + [rng.randint(1, 40) for _ in range(10)]
+    plain = packing.Packing(sizes, 1000).insert(sorted(range(160), key=lambda i: -sizes[i]))
+    best, _ = packing.evolve(sizes, 1000, [], rng, 3, 30, 12)
+    assert best.fitness(3) >= plain.fitness(3)
+
+
+@pytest.mark.parametrize(("lengths", "sequences"), [([2] * 6_000, packing.SEQUENCES), ([1] * 30_000 + [3] * 30_000, 7), ([1] * 5_000 + [2_000] * 900, 7), ([2_047] * 3_000 + [1] * 3_000, packing.SEQUENCES)])
+def test_rounds_end_for_any_lengths(spark, lengths, sequences):
+    own = spark.createDataFrame([(n, u) for u, n in enumerate(lengths)], "length long, u long")
+    got = packing.pack(own, shard=100, sequences=sequences).collect()
+    totals = {}
+    for r in got:
+        totals[r["sequence_id"]] = totals.get(r["sequence_id"], 0) + r["length"]
+    assert len(got) == len(lengths) and max(totals.values()) <= 2048
+    assert len(totals) <= max(-(-sum(lengths) // 2048), sum(n > 1024 for n in lengths)) + 1
+
+
+@pytest.mark.parametrize("null", [0.0, 0.6, 1.0])
+def test_packs_tables_of_short_and_null_texts(spark, null):
+    docs = spark.range(20_000).selectExpr("id as doc_id", f"case when id % 10 >= {10 * null} then 'ok' end as text", "'x' as u")
+    got = packing.pack_documents(docs, FILE)
+    assert got.count() == 20_000
+    totals = got.groupBy("sequence_id").sum("length").collect()
+    tokens = 20_000 + round(20_000 * (1 - null))
+    assert sum(r[1] for r in totals) == tokens and max(r[1] for r in totals) <= 2048 and len(totals) == -(-tokens // 2048)
 
 
 def check_shards(docs, shards, **options):
