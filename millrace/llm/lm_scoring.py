@@ -6,12 +6,13 @@ words have one too. The first factor is a softmax over classes of the summed
 weights of hashed features of the history: the word before (n-gram), its class,
 the class of the word before that (skip), and the two together.
 
-The second factor is a tree of softmaxes: the hash of a word, a digit at a time,
-leads from its class to a leaf (:class:`Tree`). Each decision starts from the
-counts below it and adds hashed features of the history: the word before
-(n-gram) and the word before that (skip), each with the node. Words of a leaf
-share its probability by counts. What has not been seen in training keeps the
-probability that counts give it.
+The second factor is a chain of softmaxes (:class:`Chain`): the commonest words
+of a class or a rarer one; of the rarer ones the commonest or a still rarer one;
+and so on. Each decision starts from the counts and adds hashed features of the
+history: the word before (n-gram) and the word before that (skip), each with the
+class and the place in the chain. The words at its end share what is left by
+their counts, and one place among them is kept for all that training has not
+seen, so that probabilities of a history add up to one.
 
 Counts come from all training texts. Feature weights are trained by gradient
 updates that cover all training texts once: each round's gradients are added up
@@ -27,11 +28,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, in_fold, table
@@ -51,13 +53,12 @@ DAMPING = 5.0
 BATCH, HELD = 500_000, 2_000_000
 #: Words whose counts are sent to all executors, at most; 16 bytes each.
 FREQUENT = 1 << 19
-#: Children of a node of a tree of words, as bits, and levels at most.
-FAN_BITS, LEVELS = 4, 4
-FAN = 1 << FAN_BITS
-#: Bits of the number of rows of a tree's features: one row for so many training tokens, within limits.
+#: Outcomes of a decision about a word, the last being any rarer one, and decisions at most.
+FAN, LEVELS = 16, 4
+#: Bits of the number of rows of the decisions' features: one row for so many training tokens, within limits.
 ROW_BITS, TOKENS_A_ROW = (10, 16), 64
-#: Tokens that a tree works on together.
-PART = 1 << 16
+#: Tokens that decisions are made for together, and numbers that are added up together.
+PART, WIDTH = 1 << 16, 1 << 14
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _CONTEXTS = CLASSES * BUCKETS * CLASSES
@@ -99,8 +100,9 @@ def class_probabilities(weights: np.ndarray, bias: np.ndarray, history: np.ndarr
     """A row over classes for each history."""
     logits = bias + sum(weights[f] for f in _features(history))
     logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    return p / p.sum(axis=1, keepdims=True)
+    p = np.exp(logits, out=logits)
+    p /= p.sum(axis=1, keepdims=True)
+    return p
 
 
 def contexts(hash_: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,83 +114,78 @@ def contexts(hash_: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return before, skip
 
 
-class Tree:
-    """Words within their classes, by the digits of their hashes.
+class Chain:
+    """Words within their classes: ``FAN - 1`` of them to a decision, the commonest first.
 
-    ``shares[k]`` has a row for each node of level k: the shares of its children
-    in the counts below it, a word counting as one more than it occurs.
-    ``forks[k]`` tells the nodes with more than one child; others decide nothing.
-    The last level has about one leaf for each distinct word, 4,194,304 at most.
+    ``top`` has (word, class, place among the words of the class, count);
+    ``mass`` is for each class the number of its tokens, and one more for each
+    of its words and for what is unknown.
     """
 
-    def __init__(self, levels: int, leaf: np.ndarray, mass: np.ndarray, bits: int):
-        self.levels, self.bits = levels, bits
-        below = np.zeros(CLASSES << (FAN_BITS * levels))
-        below[leaf] = mass
-        self.known = below > 0
-        self.shares, self.forks = [], []
-        for _ in range(levels):
-            children = below.reshape(-1, FAN)
-            below = children.sum(axis=1)
-            self.shares.insert(0, (children / np.maximum(below, 1)[:, None]).astype(np.float32))
-            self.forks.insert(0, (children > 0).sum(axis=1) > 1)
-
-    @staticmethod
-    def levels_of(distinct: int) -> int:
-        k = 1
-        while k < LEVELS and CLASSES << (FAN_BITS * k) < distinct:
-            k += 1
-        return k
+    def __init__(self, word: np.ndarray, class_: np.ndarray, place: np.ndarray, count: np.ndarray, mass: np.ndarray, levels: int, bits: int):
+        order = np.argsort(word)
+        self.word, self.place, self.levels, self.bits = word[order], place[order], levels, bits
+        shares = np.zeros((CLASSES, levels, FAN))
+        shares[class_, place // (FAN - 1), place % (FAN - 1)] = count + 1.0
+        left = mass - np.cumsum(shares.sum(axis=2), axis=1).T  # after each decision
+        shares[:, :, -1] = np.maximum(left.T, 0)
+        self.decides = (shares[:, :, :-1].sum(axis=2) > 0).ravel() & (np.arange(CLASSES * levels) >= levels)  # the end is alone in its class
+        self.shares = (shares / np.maximum(shares.sum(axis=2, keepdims=True), 1)).reshape(-1, FAN).astype(np.float32)
 
     @staticmethod
     def bits_of(tokens: int) -> int:
         return min(max((tokens // TOKENS_A_ROW).bit_length(), ROW_BITS[0]), ROW_BITS[1])
 
     def decisions(self, weights: np.ndarray, hash_: np.ndarray, class_: np.ndarray, before: np.ndarray, skip: np.ndarray) -> Iterator[tuple]:
-        """(tokens, rows of weights of each kind, child taken, summed weights, shares times their exponentials) of each level and part."""
+        """(tokens, rows of weights of each kind, outcome, summed weights, shares times their exponentials) of each part and decision."""
         odd, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - self.bits)
         for a in range(0, len(hash_), PART):
-            h, node = hash_[a : a + PART], class_[a : a + PART]
+            h, c = hash_[a : a + PART], class_[a : a + PART]
             history = mix(before[a : a + PART] + np.uint64(1)), mix(skip[a : a + PART] + np.uint64(2))
-            leaf = (node << (FAN_BITS * self.levels)) + (h >> np.uint64(64 - FAN_BITS * self.levels)).astype(np.int64)
-            has_leaf = self.known[leaf]
+            place = np.full(len(h), self.levels * (FAN - 1))
+            if len(self.word):
+                near = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+                place = np.where(self.word[near] == h, self.place[near], place)
             for k in range(self.levels):
-                child = (h >> np.uint64(64 - FAN_BITS * (k + 1))).astype(np.int64) & (FAN - 1)
-                at = np.flatnonzero(has_leaf & self.forks[k][node])
-                if len(at):
-                    own = mix(node[at].astype(np.uint64) * np.uint64(LEVELS) + np.uint64(k))
-                    rows = [(((x[at] ^ own) * odd) >> shift).astype(np.int64) for x in history]
-                    total = weights[rows[0]] + weights[rows[1]]
-                    yield a + at, rows, child[at], total, self.shares[k][node[at]] * np.exp(total)
-                node = node * FAN + child
+                node = c * self.levels + k
+                (at,) = np.nonzero(self.decides[node] & (place >= k * (FAN - 1)))
+                if not len(at):
+                    continue
+                outcome = np.minimum(place[at] - k * (FAN - 1), FAN - 1)
+                own = mix(node[at].astype(np.uint64) + np.uint64(1))
+                rows = [(((x[at] ^ own) * odd) >> shift).astype(np.uint16) for x in history]
+                total = weights[rows[0]]
+                total += weights[rows[1]]
+                e = np.exp(total)
+                e *= self.shares[node[at]]
+                yield a + at, rows, outcome, total, e
 
     def lifts(self, weights: np.ndarray, *tokens: np.ndarray) -> np.ndarray:
-        """log10 of how much more probable the history makes each token within its class than counts alone; 0 without a leaf."""
+        """log10 of how much more probable the history makes each token within its class than counts alone."""
         out = np.zeros(len(tokens[0]), dtype=np.float32)
-        for at, _, child, total, e in self.decisions(weights, *tokens):
-            out[at] += total[np.arange(len(at)), child] - np.log(e.sum(axis=1))
+        for at, _, outcome, total, e in self.decisions(weights, *tokens):
+            out[at] += total[np.arange(len(at)), outcome] - np.log(e.sum(axis=1))
         return out / np.float32(math.log(10))
 
-    def gradients(self, weights: np.ndarray, *tokens: np.ndarray) -> np.ndarray:
-        """Counts of (row, found or expected, child)."""
-        size = FAN << self.bits
-        out = np.zeros((2, size))
-        for _, rows, child, _, e in self.decisions(weights, *tokens):
+    def gradients(self, weights: np.ndarray, out: np.ndarray, *tokens: np.ndarray) -> None:
+        """Adds counts of outcomes to ``out``, of (found or expected, row, outcome)."""
+        found = out[0].ravel()
+        for _, rows, outcome, _, e in self.decisions(weights, *tokens):
             e /= e.sum(axis=1, keepdims=True)
             row = np.concatenate(rows)
-            out[0] += np.bincount(row * FAN + np.tile(child, 2), minlength=size)
-            order = np.argsort(row)
-            row, start = np.unique(row[order], return_index=True)
-            out[1].reshape(-1, FAN)[row] += np.add.reduceat(e[order % len(e)], start, axis=0)
-        return out.reshape(2, -1, FAN).transpose(1, 0, 2)
+            np.add.at(found, row.astype(np.int64) * FAN + np.tile(outcome, 2), np.float32(1))
+            order = np.argsort(row, kind="stable")  # a radix sort for numbers of 16 bits
+            row = row[order]
+            start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            out[1][row[start]] += np.add.reduceat(e[order % len(e)], start, axis=0)
 
 
-def plant(words: DataFrame, distinct: int, tokens: int) -> Tree:
-    """The tree of ``words(word, class, c)``."""
-    levels = Tree.levels_of(distinct)
-    leaf = F.col("class").cast("long") * (1 << (FAN_BITS * levels)) + F.shiftrightunsigned("word", 64 - FAN_BITS * levels)
-    got = words.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()
-    return Tree(levels, got["leaf"].to_numpy(), got["mass"].to_numpy(), Tree.bits_of(tokens))
+def chain(words: DataFrame, mass: np.ndarray, tokens: int, levels: int = LEVELS) -> Chain:
+    """The chain of ``words(word, class, c)``; a bounded number of words of each class comes to the driver."""
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("c"), "word"))
+    top = words.withColumn("place", rank - 1).where(F.col("place") < levels * (FAN - 1)).toArrow()
+    word, class_, place, count = (top[k].to_numpy() for k in ("word", "class", "place", "c"))
+    return Chain(word.astype(np.int64).view(np.uint64), class_.astype(np.int64), place.astype(np.int64), count, mass, levels, Chain.bits_of(tokens))
 
 
 def _batches(texts: pa.Array) -> Iterator[tuple[int, list]]:
@@ -235,98 +232,123 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, class int, c long").groupBy("word").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
 
 
-def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, tree: Broadcast, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in ``docs(text)``, as found and as the weights expect them: (feature, both, class) and (row, both, child)."""
-    width = 1 << 14  # numbers that are added up together
-    outer_size, inner_size = _ROWS * 2 * CLASSES, inner.size * 2
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((weights, bias, inner))
+def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, links: Broadcast, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in ``docs(text)``, as found and as the weights expect them: (both, feature, class) and (both, row, outcome).
+
+    Every task hands on its sums, in pieces of one size; pieces of up to 1,024
+    tasks are added up together, and then the sums of those.
+    """
+    outer_size = 2 * _ROWS * CLASSES
+    sent = docs.sparkSession.sparkContext.broadcast((weights, bias, inner))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights_, bias_, inner_ = sent.value
-        found, expected = np.zeros((_ROWS, CLASSES)), np.zeros((_ROWS, CLASSES))
-        within = np.zeros((len(inner_), 2, FAN))
+        outer, within = np.zeros((2, _ROWS, CLASSES), np.float32), np.zeros((2, *inner_.shape), np.float32)
         some = False
         for b in batches:
             for _, part in _batches(b.column(0)):
                 some = True
                 hash_, class_, history, lengths = (np.concatenate([t[k] for t in part]) for k in range(4))
-                within += tree.value.gradients(inner_, hash_, class_, *contexts(hash_, lengths))
+                links.value.gradients(inner_, within, hash_, class_, *contexts(hash_, lengths))
                 times = np.bincount(history, minlength=_CONTEXTS)
                 (used,) = np.nonzero(times)
                 place = np.zeros(_CONTEXTS, dtype=np.int64)
                 place[used] = np.arange(len(used))
-                p = class_probabilities(weights_, bias_, used) * times[used, None]
-                seen = np.bincount(place[history] * CLASSES + class_, minlength=len(used) * CLASSES).reshape(-1, CLASSES)
+                p = class_probabilities(weights_, bias_, used) * times[used, None].astype(np.float32)
+                seen = np.bincount(place[history] * CLASSES + class_, minlength=len(used) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
                 for f in _features(used):
-                    order = np.argsort(f, kind="stable")
+                    order = np.argsort(f.astype(np.uint16), kind="stable")
                     rows, start = np.unique(f[order], return_index=True)
-                    found[rows] += np.add.reduceat(seen[order], start, axis=0)
-                    expected[rows] += np.add.reduceat(p[order], start, axis=0)
+                    outer[0, rows] += np.add.reduceat(seen[order], start, axis=0)
+                    outer[1, rows] += np.add.reduceat(p[order], start, axis=0)
         if some:
-            both = np.concatenate([np.stack([found, expected], axis=1).ravel(), within.ravel()]).astype(np.float32)
-            for k in range(0, len(both), width):
-                part = both[k : k + width]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], ["at", "part", "v"])
+            for first, both in ((0, outer.ravel()), (outer_size, within.ravel())):
+                for k in range(0, len(both), WIDTH):
+                    part = both[k : k + WIDTH]
+                    if part.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([TaskContext.get().partitionId() >> 10], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], ["at", "part", "v"])
 
     def add(part: pa.Table) -> pa.Table:
         v = part["v"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).sum(axis=0, dtype=np.float64).astype(np.float32)
         return pa.table({"at": part["at"][:1], "part": part["part"][:1], "v": pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))})
 
-    schema = "at int, part int, v array<float>"
+    schema = "at long, part int, v array<float>"
     parts = docs.select("text").mapInArrow(count, schema)
     got = parts.groupBy("at", "part").applyInArrow(add, schema).groupBy("at").applyInArrow(add, schema).toArrow()
-    both = np.zeros(outer_size + inner_size, dtype=np.float32)
+    both = np.zeros(outer_size + 2 * inner.size, dtype=np.float32)
     for batch in got.to_batches():
         for k, v in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-            both[k : k + width] = v.values.to_numpy()
+            both[k : k + len(v)] = v.values.to_numpy()
     sent.destroy()
-    return both[:outer_size].reshape(_ROWS, 2, CLASSES).astype(float), both[outer_size:].reshape(-1, 2, FAN)
+    return both[:outer_size].reshape(2, _ROWS, CLASSES), both[outer_size:].reshape(2, *inner.shape)
 
 
-def train(docs: DataFrame, bias: np.ndarray, tree: Broadcast, rounds: int = ROUNDS, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes and of the tree after ``rounds`` updates, over as many parts of ``docs`` that together are all of it.
+def train(docs: DataFrame, bias: np.ndarray, links: Broadcast, rounds: int = ROUNDS, epochs: int = 1, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of the chain after ``epochs`` of ``rounds`` updates; the rounds' parts of ``docs`` are together all of it.
 
     A step for classes is the gradient over its expected curvature, one for the
-    tree the log of found over expected counts (iterative scaling), each
+    chain the log of found over expected counts (iterative scaling), each
     divided by the number of features that act together.
     """
-    weights = np.zeros((_ROWS, CLASSES))
-    inner = np.zeros((1 << tree.value.bits, FAN), dtype=np.float32)
-    for r in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(rounds)) == r)
-        classes, within = _gradients(part, weights, bias, tree, inner)
-        found, expected = classes[:, 0], classes[:, 1]
+    weights = np.zeros((_ROWS, CLASSES), dtype=np.float32)
+    inner = np.zeros((1 << links.value.bits, FAN), dtype=np.float32)
+    for r in range(rounds * epochs):
+        part = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(rounds)) == r % rounds)
+        (found, expected), within = _gradients(part, weights, bias, links, inner)
         weights += np.clip((found - expected) / (expected + DAMPING), -0.99, 4.0) / _KINDS
-        inner += np.log((within[:, 0] + DAMPING) / (within[:, 1] + DAMPING)) / 2
+        inner += np.log((within[0] + DAMPING) / (within[1] + DAMPING)) / 2
     return weights, inner
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
-    """Scores of each row of ``docs(doc_id, text)``.
+@dataclass(frozen=True)
+class Model:
+    """A fitted model; ``words`` is the table of all counts, ``n_class`` and ``v_class`` are tokens and words of each class."""
+
+    words: DataFrame
+    n_class: np.ndarray
+    v_class: np.ndarray
+    bias: np.ndarray
+    weights: np.ndarray
+    links: Broadcast
+    inner: np.ndarray
+
+    @property
+    def total(self) -> int:
+        return int(self.n_class.sum())
+
+    @property
+    def distinct(self) -> int:
+        return int(self.v_class.sum())
+
+
+def fit(training: DataFrame, rounds: int = ROUNDS, epochs: int = 1, levels: int = LEVELS) -> Model:
+    """Fit on all rows of ``training(doc_id, text)``; without rows all counts are zero and all classes equally likely."""
+    words = cut(count_words(training), "words")
+    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in words.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
+    total = int(n_class.sum())
+    bias = np.log((n_class + 1) / (total + CLASSES)).astype(np.float32)
+    links = training.sparkSession.sparkContext.broadcast(chain(words, n_class + v_class + 1, total, levels))
+    weights, inner = train(training, bias, links, rounds, epochs)
+    return Model(words, n_class, v_class, bias, weights, links, inner)
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUENT, **options: int) -> DataFrame:
+    """Scores of each row of ``docs(doc_id, text)`` by a model of those of its rows that are not held out.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     (log10 of the smoothed unigram probability) and score (log10 of the
-    model's). A null text counts as empty, and an empty text is its end alone. A
-    row without an id is in no fold and so trains; repeated rows count and are
-    scored one by one. Without training rows all counts are zero and all
-    classes equally likely. An empty table gives an empty one; other columns
-    are ignored.
+    model's). ``options`` are those of :func:`fit`. A null text counts as empty,
+    and an empty text is its end alone. A row without an id is in no fold and so
+    trains; repeated rows count and are scored one by one. An empty table gives
+    an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    training = own.where(~in_fold(F.col("doc_id"), folds, held))
-    words = cut(count_words(training), "words")
-    per_class = words.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in per_class:
-        n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
-    total, distinct = int(n_class.sum()), int(v_class.sum())
-    bias = np.log((n_class + 1) / (total + CLASSES))
-    tree = spark.sparkContext.broadcast(plant(words, distinct, total))
-    weights, inner = train(training, bias, tree, rounds)
+    model = fit(own.where(~in_fold(F.col("doc_id"), folds, held)), **options)
+    words, links, total, distinct = model.words, model.links, model.total, model.distinct
 
     # the least count of the frequent words, from a histogram of counts
     level = F.floor(8 * F.log2("c")).cast("int")
@@ -340,7 +362,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
     top = chosen.select("word", "c").toArrow()
     hashes = np.asarray(top["word"].to_numpy(), dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    sent = spark.sparkContext.broadcast((hashes[order], np.asarray(top["c"].to_numpy(), dtype=np.int64)[order], weights, bias, np.log10(n_class + v_class + 1), inner))
+    sent = spark.sparkContext.broadcast((hashes[order], np.asarray(top["c"].to_numpy(), dtype=np.int64)[order], model.weights, model.bias, np.log10(model.n_class + model.v_class + 1), model.inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, w, bias_, size, inner_ = sent.value
@@ -356,7 +378,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
                 place = np.zeros(_CONTEXTS, dtype=np.int64)
                 place[used] = np.arange(len(used))
                 log_p = np.log10(class_probabilities(w, bias_, used))
-                lift = tree.value.lifts(inner_, h, class_, *contexts(h, lengths)) if rounds else np.zeros(len(h), np.float32)
+                lift = links.value.lifts(inner_, h, class_, *contexts(h, lengths))
                 word, at = np.unique(h, return_inverse=True)
                 if len(known):
                     near = np.minimum(np.searchsorted(known, word), len(known) - 1)
@@ -365,19 +387,19 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
                 else:
                     is_known, value = np.zeros(len(word), bool), np.zeros(len(word))
                 found = is_known[at]
-                model = np.bincount(doc, log_p[place[history], class_] - size[class_] + np.where(found, lift, 0), n)
+                value_model = np.bincount(doc, log_p[place[history], class_] - size[class_] + lift, n)
                 rest = np.flatnonzero(~found)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc[rest], minlength=n)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(lift[rest])], ["word", "lift"]))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rest].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(u, u + n, dtype=np.int64)), b.column(0).slice(first, n), pa.array(lengths.astype(np.int64)), pa.array(np.bincount(doc, value[at], n)), pa.array(np.bincount(doc[found], minlength=n).astype(np.int64)), pa.array(model), lists],
+                    [pa.array(np.arange(u, u + n, dtype=np.int64)), b.column(0).slice(first, n), pa.array(lengths.astype(np.int64)), pa.array(np.bincount(doc, value[at], n)), pa.array(np.bincount(doc[found], minlength=n).astype(np.int64)), pa.array(value_model), lists],
                     ["u", "doc_id", "n_tokens", "gain", "known", "model", "rare"],
                 )
                 u += n
 
-    rows = cut(own.mapInArrow(run, f"u long, doc_id {kind}, n_tokens long, gain double, known long, model double, rare array<struct<word: long, lift: float>>"), "scored")
-    joined = rows.select("u", F.inline("rare")).join(words.select("word", "c"), "word")
-    extra = joined.groupBy("u").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more_gain"), F.count("*").alias("more_known"), F.sum("lift").alias("more_lift"))
+    rows = cut(own.mapInArrow(run, f"u long, doc_id {kind}, n_tokens long, gain double, known long, model double, rare array<long>"), "scored")
+    joined = rows.select("u", F.explode("rare").alias("word")).join(words.select("word", "c"), "word")
+    extra = joined.groupBy("u").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more_gain"), F.count("*").alias("more_known"))
     gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
     return rows.drop("rare").join(extra, "u", "left").select(
         "doc_id",
@@ -386,7 +408,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS,
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (gain - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (gain + F.col("model") + F.coalesce("more_lift", F.lit(0.0))).alias("score"),
+        (gain + F.col("model")).alias("score"),
     )
 
 

@@ -110,24 +110,74 @@ def test_words_of_a_class_depend_on_the_history():
     """Two words of one class, of equal counts, that only the word before tells apart; probabilities over the class sum to one."""
     rng = np.random.default_rng(3)
     hashes = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    class_, mass = np.full(40, 5), np.full(40, 301)
-    levels = lm_scoring.Tree.levels_of(5000)
-    leaf = (class_ << (4 * levels)) + (hashes >> np.uint64(64 - 4 * levels)).astype(np.int64)
-    once, place = np.unique(leaf, return_inverse=True)
-    tree = lm_scoring.Tree(levels, once, np.bincount(place, mass), 12)
-    a, b = hashes[np.unique(leaf, return_index=True)[1][:2]]
+    mass = np.zeros(lm_scoring.CLASSES)
+    mass[5] = 40 * 301 + 1
+    n = 2 * (lm_scoring.FAN - 1)  # of 40 words 30 are told apart
+    own = lm_scoring.Chain(hashes[:n], np.full(n, 5), np.arange(n), np.full(n, 300), mass, 2, 12)
+    a, b = hashes[3], hashes[n - 2]
     word, before = np.tile([a, b], 300), np.tile([np.uint64(11), np.uint64(22)], 300)
     skip = np.zeros(600, np.uint64)
     weights = np.zeros((1 << 12, lm_scoring.FAN), np.float32)
     for _ in range(3):
-        g = tree.gradients(weights, word, np.full(600, 5), before, skip)
-        assert np.allclose(g[:, 0].sum(axis=1), g[:, 1].sum(axis=1))
-        weights += np.log((g[:, 0] + 5) / (g[:, 1] + 5)).astype(np.float32) / 2
-    asked = [tree.lifts(weights, hashes, class_, np.full(40, np.uint64(h)), np.zeros(40, np.uint64)) for h in (11, 22)]
-    i, j = np.flatnonzero(hashes == a)[0], np.flatnonzero(hashes == b)[0]
-    assert asked[0][i] > asked[0][j] + 0.3 and asked[1][j] > asked[1][i] + 0.3
+        g = np.zeros((2, *weights.shape), np.float32)
+        own.gradients(weights, g, word, np.full(600, 5), before, skip)
+        assert np.allclose(g[0].sum(axis=1), g[1].sum(axis=1), atol=1e-2) and np.isclose(g[0].sum(), 2 * (600 + 300))
+        weights += np.log((g[0] + 5) / (g[1] + 5)) / 2
+    everything = np.append(hashes, np.uint64(99))  # and an unknown word
+    asked = [own.lifts(weights, everything, np.full(41, 5), np.full(41, np.uint64(h)), np.zeros(41, np.uint64)) for h in (11, 22)]
+    assert asked[0][3] > asked[0][n - 2] + 0.3 and asked[1][n - 2] > asked[1][3] + 0.3
     for lift in asked:
-        assert np.isclose((10.0**lift / 40).sum(), 1, atol=1e-4)
+        assert np.isclose((10.0**lift * np.append(np.full(40, 301), 1)).sum() / mass[5], 1, atol=1e-4)
+
+
+def test_model_scores_by_brute_force(documents):
+    """Token by token, each probability from the definition; over all words of a class, and one unknown, they sum to one."""
+    m = lm_scoring
+    docs = documents.limit(80)
+    rows = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in m.score(docs).collect()}
+    model = m.fit(docs.select("doc_id", "text").where("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"))
+    own = model.links.value
+    counts = {r["word"] % (1 << 64): (r["class"], r["c"]) for r in model.words.collect()}
+    by_class = collections.defaultdict(list)
+    for w, (k, c) in counts.items():
+        by_class[k].append((-c, w - (1 << 64) if w >= 1 << 63 else w, w))
+    ranked = {k: [w for _, _, w in sorted(v)] for k, v in by_class.items()}
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
+    def within(word, class_, before, skip):
+        mass, p = sum(counts[w][1] + 1 for w in ranked.get(class_, [])) + 1, 1.0
+        for level in range(m.LEVELS if class_ else 0):
+            mine = ranked.get(class_, [])[level * (m.FAN - 1) : (level + 1) * (m.FAN - 1)]
+            if not mine:
+                break
+            weight = [counts[w][1] + 1 for w in mine]
+            rest = mass - sum(weight)
+            row = [((mix((h + k) % (1 << 64)) ^ mix(class_ * m.LEVELS + level + 1)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - own.bits) for h, k in ((before, 1), (skip, 2))]
+            up = np.exp(model.inner[row[0]].astype(float) + model.inner[row[1]])
+            e = [x * u for x, u in zip(weight, up, strict=False)] + [rest * up[-1]]
+            if word in mine:
+                return p * e[mine.index(word)] / sum(e)
+            p, mass = p * e[-1] / sum(e), rest
+        return p * (counts.get(word, (0, 0))[1] + 1) / mass
+
+    for r in rows[:4]:
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        hash_, class_, history, lengths = m.tokens(data, np.array([0, len(data)]))
+        before, skip = m.contexts(hash_, lengths)
+        total = 0.0
+        for i in range(len(hash_)):
+            b, s = history[i] // m.CLASSES, history[i] % m.CLASSES
+            rows_ = [b, m._CLASS + b // m.BUCKETS, m._SKIP + s, m._PAIR + mix(int(history[i]) + 7) % m.PAIRS]
+            z = np.exp(model.bias.astype(float) + model.weights[rows_].sum(axis=0))
+            total += math.log10(z[class_[i]] / z.sum() * within(int(hash_[i]), int(class_[i]), int(before[i]), int(skip[i])))
+        assert np.isclose(total, got[r["doc_id"]]["score"], rtol=1e-4)
+    for class_ in (1, 7, 30):
+        assert np.isclose(sum(within(w, class_, 12345, 678) for w in [*ranked.get(class_, []), 1]), 1)
 
 
 def test_scores_tell_words_of_a_class_apart(spark):
