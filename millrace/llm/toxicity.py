@@ -5,12 +5,14 @@ labels apart in a bounded sample of labelled texts are chosen, by exact 64-bit
 hash, and weighted by logistic regression. Sentences of the sample that hold an
 identity term are written anew with each other term of its group, and the
 square of the change in score is penalised, so that a neutral mention of a
-group does not count.
+group does not count. All such pairs of the sample enter the penalty: those with
+the same change of features are added up as one before they leave the tasks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,16 +28,14 @@ from .words import NOT_ALNUM, Words, chunks, mix
 #: Expected number of sampled training rows of each label. The classifier is
 #: fitted on this bounded sample; a smaller table is used whole.
 SAMPLE = {1: 4_000, 0: 8_000}
-#: Features that enter the regression at most: the most significant ones.
-FEATURES = 20_000
 #: Least significance (standard errors of the log odds) and least number of texts of a feature.
 SIGNIFICANCE, LEAST_TEXTS = 3.5, 4
 #: Texts count as toxic from this score on.
 THRESHOLD = 0.5
 #: Weight of the squared weights, and of the squared changes by counterfactual swaps.
 RIDGE, FAIRNESS = 0.02, 5.0
-#: Pairs of a sentence and its rewriting that are used at most.
-PAIRS = 20_000
+#: Terms of a table of identity terms at most: it is read by every task.
+TERMS = 10_000
 
 #: Groups of interchangeable identity terms.
 IDENTITY = (
@@ -108,16 +108,30 @@ class Linear:
         return scored(text)
 
 
+def terms(groups: DataFrame) -> tuple[tuple[str, ...], ...]:
+    """The groups of a table ``(kind, term)`` of at most TERMS terms; terms of one kind can stand for each other.
+
+    Null kinds and terms, empty terms and kinds of one term are left out; case does not matter.
+    """
+    rows = groups.select(F.col("kind").cast("string").alias("kind"), F.lower("term").alias("term")).where("kind is not null and term <> ''").distinct().limit(TERMS + 1).collect()
+    if len(rows) > TERMS:
+        raise ValueError(f"more than {TERMS} identity terms")
+    kinds: dict[str, list[str]] = {}
+    for r in rows:
+        kinds.setdefault(r["kind"], []).append(r["term"])
+    return tuple(tuple(sorted(kinds[k])) for k in sorted(kinds) if len(kinds[k]) > 1)
+
+
 def swaps(text: str, groups=IDENTITY) -> Iterator[tuple[str, str]]:
     """Pairs of a sentence with an identity term and the sentence with another term of the group."""
     for sentence in re.split(r"(?<=[.!?\n])\s*", text):
         lower = sentence.lower()
         for group in groups:
             for term in group:
-                if term in lower and re.search(rf"\b{term}\b", lower):
+                if term in lower and re.search(rf"\b{re.escape(term)}\b", lower):
                     for other in group:
                         if other != term:
-                            yield lower, re.sub(rf"\b{term}\b", other, lower)
+                            yield lower, re.sub(rf"\b{re.escape(term)}\b", lambda _, to=other: to, lower)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]) -> DataFrame:
@@ -136,7 +150,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]
 
 
 def _choose(texts: DataFrame, n: dict[int, int]) -> np.ndarray:
-    """The most significant features of a sample, sorted by hash."""
+    """The significant features of a sample, sorted by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,16 +168,17 @@ def _choose(texts: DataFrame, n: dict[int, int]) -> np.ndarray:
     got = texts.select("text", "y").mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
     odds = lambda x, n: F.log((F.col(x) + 0.5) / (F.lit(n) - F.col(x) + 0.5))
     z = F.abs(odds("a", n[1]) - odds("b", n[0])) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    rows = got.select("f", z.alias("z")).where(F.col("z") >= SIGNIFICANCE).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
-    return np.array([r["f"] for r in rows], dtype=np.int64).view(np.uint64)
+    return np.sort(got.where(z >= SIGNIFICANCE).select("f").toArrow()["f"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTITY, sizes: dict[int, int] | None = None, fairness: float = FAIRNESS) -> Linear:
     """Fit on a sample of the labelled rows of ``docs`` that are not held out.
 
-    Without an example of both labels the model gives all texts the share of
+    ``groups`` are tuples of identity terms or a table as :func:`terms` takes
+    it. Without an example of both labels the model gives all texts the share of
     label 1 (0.5 without any example).
     """
+    groups = terms(groups) if isinstance(groups, DataFrame) else groups
     own, counts = sample(docs, labels, label, sizes or SAMPLE)
     texts = cut(own, "toxicity-sample")
     n = {y: 0 for y in (0, 1)} | {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -171,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTIT
         total = n[0] + n[1]
         share = min(max(n[1] / total if total else 0.5, 1e-6), 1 - 1e-6)
         return Linear(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    terms = np.concatenate(_of([t for g in groups for t in g])) if groups else np.zeros(0, np.uint64)
-    hashes = np.union1d(_choose(texts, n), terms)
+    named = np.concatenate(_of([t for g in groups for t in g])) if groups else np.zeros(0, np.uint64)
+    hashes = np.union1d(_choose(texts, n), named)
     chosen = Linear(hashes, np.zeros(len(hashes)), 0.0)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTIT
                 yield pa.RecordBatch.from_arrays([pa.array(y[first : first + len(offsets) - 1], pa.int32()), *lists], ["y", "at", "x"])
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each swap in a text the chosen features whose value changes, and by how much."""
+        """For each swap the chosen features whose value changes, and by how much, with the number of swaps alike."""
         for b in batches:
-            at, delta = [], []
+            found: Counter[tuple[tuple[int, ...], tuple[float, ...]]] = Counter()
             for text in b.column(0).to_pylist():
                 for pair in swaps(text, groups):
                     values = []
@@ -199,12 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTIT
                         np.add.at(v, k, 1)
                         values.append(np.log2(1 + v))
                     d = values[0] - values[1]
-                    at.append(np.flatnonzero(d).tolist())
-                    delta.append(d[d != 0].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), pa.array(delta, pa.list_(pa.float64()))], ["at", "x"])
+                    found[tuple(np.flatnonzero(d).tolist()), tuple(d[d != 0].tolist())] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64())), pa.array(list(found.values()), pa.int64())], ["at", "x", "k"])
 
     rows = texts.select("text", "y").mapInArrow(found, "y int, at array<long>, x array<double>").toArrow()
-    pairs = texts.select("text").mapInArrow(changed, "at array<long>, x array<double>").limit(PAIRS).toArrow()
+    pairs = texts.select("text").mapInArrow(changed, "at array<long>, x array<double>, k long").groupBy("at", "x").agg(F.sum("k").alias("k")).orderBy("at", "x").toArrow()
     release(texts)
     weights, bias = _regress(rows, pairs, len(hashes), fairness)
     # the sample's shares of the labels are not those of the table
@@ -224,6 +238,7 @@ def _regress(rows: pa.Table, pairs: pa.Table, width: int, fairness: float, steps
     y = rows["y"].to_numpy().astype(float)
     row, col, val = _sparse(rows)
     p_row, p_col, p_val = _sparse(pairs)
+    share = pairs["k"].to_numpy() / max(1, pairs["k"].to_numpy().sum())
     params = np.zeros(width + 1)
     first, second = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
@@ -233,7 +248,7 @@ def _regress(rows: pa.Table, pairs: pa.Table, width: int, fairness: float, steps
         grad = np.append(np.bincount(col, off[row] * val, width) + RIDGE * w / len(y) * 10, off.sum())
         if pairs.num_rows:
             change = np.bincount(p_row, w[p_col] * p_val, pairs.num_rows)
-            grad[:-1] += fairness * 2 / pairs.num_rows * np.bincount(p_col, change[p_row] * p_val, width)
+            grad[:-1] += fairness * 2 * np.bincount(p_col, (share * change)[p_row] * p_val, width)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         params -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)

@@ -62,6 +62,89 @@ def test_discriminant_is_the_posterior():
     assert np.allclose(model.score(x), density[1] / (density[0] + density[1]))
 
 
+def brute_statistics(text):
+    """The statistics of one text, by its definition."""
+    words_ = WORD.findall((text or "").translate(LOWER))
+    raw = (text or "").encode()
+    n, letters = len(words_), sum(len(w.encode()) for w in words_)
+    share = lambda k, prior: math.sqrt(min(9.0, (k + 10 * prior) / (n + 10)))
+    counts = [(b"#*$%&|<>", 0.0), (b"!", 0.0), (bytes(range(65, 91)), 0.1), (b"0123456789", 0.02), (b"\n", 0.02), (b".,;:?", 0.15)]
+    out = [math.log1p(n), share(letters, 6.0), *[share(sum(c in of for c in raw), prior) for of, prior in counts]]
+    out += [share(sum(a == b for a, b in zip(words_[lag:], words_, strict=False)), 0.01) for lag in (1, 2, 3, 4)]
+    return [*out, share(sum(len(w.encode()) <= 3 for w in words_), 0.35), share(len(raw) - letters, 1.0)]
+
+
+def test_statistics_and_fit_by_brute_force(documents, labels, edges):
+    import pyarrow as pa
+
+    texts = [r["text"] for r in documents.collect()] + EDGES
+    got = np.concatenate([quality_classifier.statistics(data, offsets) for _, data, offsets in words.chunks(pa.array(texts))])
+    assert np.allclose(got, [brute_statistics(t) for t in texts])
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if not held(r["doc_id"], 5, 0)}
+    x = {k: np.array([brute_statistics(r["text"]) for r in documents.collect() if truth.get(r["doc_id"]) == k]) for k in (0, 1)}
+    model = quality_classifier.fit(documents, labels)
+    everything = np.array([brute_statistics(t) for t in texts])
+    logs = []
+    for k in (0, 1):
+        cov = np.cov(x[k].T, bias=True)
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        off = everything - x[k].mean(axis=0)
+        logs.append(math.log(len(x[k])) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(cov), off))
+    assert np.allclose(model.score(got), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))))
+
+
+def test_neutral_mentions_are_no_longer_found_toxic(spark):
+    """Held-out neutral sentences that name a group the training texts mostly insult: false positives without and with the penalty."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    groups = [("muslims", "christians", "jews"), ("women", "men")]
+    calm = "people walk by the river and read the paper while rain falls on the quiet town".split()
+    rows, marks = [], []
+    for i in range(1500):
+        bad = int(rng.random() < 0.5)
+        group = str(rng.choice(["muslims", "women"] if rng.random() < (0.8 if bad else 0.1) else ["christians", "jews", "men", "they"]))
+        text = " ".join(rng.choice(calm, 12)) + f". {group} " + (f"slur{rng.integers(40)}" if bad and rng.random() < 0.6 else str(rng.choice(calm))) + ". " + " ".join(rng.choice(calm, 8))
+        rows.append((i, text))
+        marks.append((i, bad))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    neutral = pa.array([f"{g} {' '.join(rng.choice(calm, 9))}" for g in ("muslims", "women") for _ in range(50)])
+    insult = pa.array([f"{g} are {w} and {' '.join(rng.choice(calm, 6))}" for g in ("christians", "jews", "men", "muslims") for w in ("slur1", "slur7", "slur23")])
+    table = spark.createDataFrame([(str(k), t) for k, g in enumerate(groups) for t in g] + [(None, "x"), ("9", ""), ("9", None)], "kind string, term string")
+    plain, fair, from_table = toxicity.fit(docs, labels, groups=groups, fairness=0.0), toxicity.fit(docs, labels, groups=groups), toxicity.fit(docs.repartition(7), labels, groups=table)
+    before, after = (plain.score(neutral) >= 0.5).sum(), (fair.score(neutral) >= 0.5).sum()
+    print("false positives of 100:", before, "then", after)
+    assert before >= 50 and after <= 5
+    assert (fair.score(insult) >= 0.5).mean() == 1
+    assert np.allclose(fair.score(neutral), from_table.score(neutral), atol=1e-6)
+
+
+def test_the_regression_is_the_minimum_of_its_loss():
+    """The weights against many plain gradient steps on dense matrices."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = rng.poisson(0.4, (200, 12)).astype(float)
+    y = (x[:, 0] + x[:, 1] - x[:, 2] + rng.normal(0, 0.5, 200) > 0.5).astype(int)
+    delta = np.zeros((4, 12))
+    delta[[0, 1, 2, 3], [0, 0, 5, 6]], delta[[0, 1, 2, 3], [3, 4, 6, 7]] = 1, -1
+    k = np.array([5, 1, 2, 2])
+    lists = lambda m: [pa.array([np.flatnonzero(r).tolist() for r in m], pa.list_(pa.int64())), pa.array([r[r != 0].tolist() for r in m], pa.list_(pa.float64()))]
+    rows, pairs = pa.table([pa.array(y, pa.int32()), *lists(x)], names=["y", "at", "x"]), pa.table([*lists(delta), pa.array(k)], names=["at", "x", "k"])
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + toxicity.RIDGE * 10 / len(y) * (w @ w) / 2 + toxicity.FAIRNESS * (k / k.sum()) @ (delta @ w) ** 2
+
+    w, b = np.zeros(12), 0.0
+    for _ in range(20_000):
+        off = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w = w - 0.05 * (x.T @ off + toxicity.RIDGE * 10 / len(y) * w + 2 * toxicity.FAIRNESS * delta.T @ (k / k.sum() * (delta @ w)))
+        b -= 0.05 * off.sum()
+    got = toxicity._regress(rows, pairs, 12, toxicity.FAIRNESS)
+    assert loss(*got) <= 1.01 * loss(w, b)
+
+
 def test_swaps_reduce_the_weight_of_identity_terms(spark):
     """Insults come with one group's name; a neutral mention of it must not count."""
     rows, marks = [], []
@@ -119,10 +202,10 @@ def test_words_of_a_class_depend_on_the_history():
     skip = np.zeros(600, np.uint64)
     weights = np.zeros((1 << 12, lm_scoring.FAN), np.float32)
     for _ in range(3):
-        g = np.zeros((2, *weights.shape), np.float32)
+        g = np.zeros((2, *weights.T.shape), np.float32)
         own.gradients(weights, g, word, np.full(600, 5), before, skip)
-        assert np.allclose(g[0].sum(axis=1), g[1].sum(axis=1), atol=1e-2) and np.isclose(g[0].sum(), 2 * (600 + 300))
-        weights += np.log((g[0] + 5) / (g[1] + 5)) / 2
+        assert np.allclose(g[0].sum(axis=0), g[1].sum(axis=0), atol=1e-2) and np.isclose(g[0].sum(), 2 * (600 + 300))
+        weights += np.log((g[0] + 5) / (g[1] + 5)).T / 2
     everything = np.append(hashes, np.uint64(99))  # and an unknown word
     asked = [own.lifts(weights, everything, np.full(41, 5), np.full(41, np.uint64(h)), np.zeros(41, np.uint64)) for h in (11, 22)]
     assert asked[0][3] > asked[0][n - 2] + 0.3 and asked[1][n - 2] > asked[1][3] + 0.3
