@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import in_fold, table
 from .words import Words, chunks
 
@@ -96,8 +97,9 @@ class Discriminant:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: float = SHRINKAGE, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
     """Fit on all rows of ``docs`` that ``labels`` (id, label 0 or 1) has and that are not held out.
 
-    Texts are turned into statistics before the join, so only numbers are
-    shuffled; two rows of sums come to the driver. Null ids and labels are left
+    A Bloom filter of the labelled ids leaves out most other texts. The rest are
+    turned into statistics before the join, so only numbers are shuffled; two
+    rows of sums come to the driver. Null ids and labels are left
     out; an id with both labels counts for both, a repeated label once. Where a class has no example the
     model gives all rows the share of label 1, or 0.5 without any example.
     """
@@ -109,7 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: f
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, N_STATISTICS, dtype=np.int32)), pa.array(flat))
 
     training = labels.where(~in_fold(F.col(id_col), 5, 0) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).distinct()
-    x = docs.where(~in_fold(F.col(id_col), 5, 0)).select(F.col(id_col).alias("id"), stats(F.col(text_col)).alias("x")).join(training, "id")
+    log2 = bloom.log2_blocks(training.count())
+    id_ = F.col(id_col).cast("string")
+    likely = bloom.may_hold(bloom.build(training.select(F.col("id").cast(docs.schema[id_col].dataType).cast("string").alias("key")), "key", log2), id_, log2)
+    x = docs.where(~in_fold(F.col(id_col), 5, 0) & likely).select(F.col(id_col).alias("id"), stats(F.col(text_col)).alias("x")).join(training, "id")
 
     def sums(batches):
         total = {}
