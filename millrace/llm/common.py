@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_own_dir: str | None = None
+
+#: A key with at least one HOT-th of the rows is hot; there are HOT hot keys at most.
+HOT = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (local tests) a temporary folder
-    is made and set, which on one machine is shared by construction.
+    Only where the session does not name one and has but this machine (local
+    tests) is a temporary folder made, which is shared by construction.
     """
+    global _own_dir
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
+    if set_dir:
+        return set_dir
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="millrace-")
+    return _own_dir
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -77,6 +85,24 @@ def release(*frames: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has each key once, where a few keys may have most of the rows.
+
+    ``weight`` is a column of ``keyed`` (which the result lacks): the rows of a
+    key, ``total`` in all. The keys with a HOT-th of them or more, HOT at most,
+    are sent to all tasks, so their rows stay where they are; the other rows
+    are shuffled by key. A null key has no partner and is not shuffled either.
+    """
+    is_hot = F.col(weight) * F.lit(HOT) >= F.lit(total)
+    hot, cold = keyed.where(is_hot).drop(weight), keyed.where(~is_hot).drop(weight)
+    some = rows.where(F.col(key).isNotNull())
+    out = some.join(F.broadcast(hot), key).unionByName(some.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+    if how == "left":
+        alone = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in cold.schema if f.name != key])
+        out = out.unionByName(alone)
+    return out
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

@@ -2,9 +2,11 @@
 
 Each round lets every node point its larger neighbours at the least node of its
 neighbourhood, then every node its smaller ones. Minima are aggregated before
-they are exchanged, links never leave the executors, and each round's links are
-written to the shared folder, so neither a hub nor a long chain nor a lost
-executor is a hazard. The rounds grow with the logarithm of a component's size.
+they are exchanged. They meet the links again in joins that leave the links of
+hubs where they are: a hub's minimum goes to all tasks, and there are HOT hubs
+at most. Links never leave the executors, and each round's links are written to
+the shared folder, so that a lost executor costs one round at most. The rounds
+grow with the logarithm of a component's size.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, join_hot, release
 
 
 def _state(links: DataFrame) -> tuple:
@@ -31,10 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(lowest, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = join_hot(both.where("v > u"), least, "u", "k", 2 * state[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        lowest = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("k"))
+        small = join_hot(large, lowest, "b", "k", state[0]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         following = cut(small, "links")
         release(now)
         now, before = following, state
