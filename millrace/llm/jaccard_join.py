@@ -15,18 +15,22 @@ formed by counting, the fine ones by pivots.
 2. Under the metric |x - y| (size of the symmetric difference) around the empty
    set, a set's distance is its size. Regions are rings of sizes; the window of
    sets below a ring that may be linked with sets in it is replicated into it.
-3. Within a region every set is compared with pivots exactly, goes to the cell of
-   the nearest, and is replicated to each cell whose pivot is at most twice the
-   distance sought farther; cells are joined recursively. Sets that a chain of
-   links already connects are not compared, nor are those that sizes, the
-   triangle inequality over the pivots or the count of first shingles in common
-   keep apart.
-
-A region too large for one task is first compared with common pivots, which
-connect the bulk of a tight group, and then in blocks: all its sets against
-those not connected with the bulk. Equal sets are one node from the start. All
-this is exact, up to the equality of 64-bit hashes of shingles and 128-bit hashes
-of sets.
+3. Within a region pivots are chosen, each the set farthest from those before,
+   and every set is compared with them exactly. A set nearer than FAR to a pivot
+   goes to the Voronoi cell of the nearest, and is replicated to each cell whose
+   pivot is at most twice the distance sought farther. The others form a cell
+   of their own, into which those are replicated that are nearer by the distance
+   sought at most: the triangle inequality lets no link escape. Cells are
+   joined recursively. Sets that a chain of links already connects are not
+   compared, nor are those that sizes, the triangle inequality over the pivots
+   or the count of first shingles in common keep apart.
+
+A region too large for one task is divided in the same way, by tasks that each
+compare a block of it with its pivots, again and again while cells become
+smaller. What cannot be divided is tight: pivots connect the bulk of it, and it is
+joined in blocks, all its sets against those not connected with the bulk. Equal
+sets are one node from the start. All this is exact, up to the equality of
+64-bit hashes of shingles and 128-bit hashes of sets.
 """
 
 from __future__ import annotations
@@ -36,11 +40,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import again, cut, release, table
+from .common import again, cut, join_hot, release, table
 from .components import components
 from .words import Words, chunks, mix
 
@@ -58,7 +62,11 @@ RING = 1.3
 BLOCK_BYTES = 24_000_000
 #: Pivots of a region, and sets that are compared without pivots.
 PIVOTS = 8
-LEAF = 12
+LEAF = 4
+#: Pivots by which a region that is too large for a task is divided.
+DIVIDERS = 32
+#: Cells are smaller work only if the largest has at most this share of the region.
+SMALLER = 0.7
 
 _U = np.uint64
 _FIRST, _SECOND = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
@@ -192,17 +200,33 @@ class Region:
             if len(members) <= LEAF:
                 self.compare(members, np.zeros((len(members), 0)))
                 continue
-            by_size = members[np.argsort(self.n[members], kind="stable")]
-            pivots = by_size[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
-            d = np.column_stack([self.against(p, members) for p in pivots])
+            d = self.pivots(members)
             if len(np.unique(self.roots(members))) == 1:
                 continue
-            window = d <= d.min(axis=1, keepdims=True) + 2 * self.reach
-            cells = window.sum(axis=0)
-            if cells.sum() > 2 * len(members) or cells.max() > 0.7 * len(members):  # cells would not be smaller work
+            cells = [members[inside] for inside in self.cells(d).T]
+            if sum(map(len, cells)) > 2 * len(members) or max(map(len, cells)) > SMALLER * len(members):
                 self.compare(members, d)
             else:
-                todo += [members[window[:, k]] for k in range(PIVOTS)]
+                todo += cells
+
+    def pivots(self, members: np.ndarray) -> np.ndarray:
+        """Distances of the members to pivots among them, each the one farthest from those before; all within reach are joined."""
+        x = members[np.argmax(self.n[members])]
+        columns: list[np.ndarray] = []
+        near = np.full(len(members), 2.0)
+        while len(columns) < PIVOTS and near.max() > self.reach:
+            columns.append(self.against(x, members))
+            near = np.minimum(near, columns[-1])
+            x = members[np.argmax(near)]
+        return np.column_stack(columns)
+
+    def cells(self, d: np.ndarray) -> np.ndarray:
+        """Which members, at distances d from the pivots, are in the cell of each pivot, and last in that of those far from all."""
+        near = d.min(axis=1, keepdims=True)
+        far = 1 - 2 * self.reach
+        inside = (d <= near + 2 * self.reach) & (near < far)
+        beyond = near >= far - self.reach if (near >= far).any() else np.zeros_like(near, dtype=bool)
+        return np.concatenate((inside, beyond), axis=1)
 
     def compare(self, members: np.ndarray, d: np.ndarray) -> None:
         """Every two members that are not connected, unless something keeps them apart; d has distances to pivots."""
@@ -248,16 +272,54 @@ def _solve(part: pa.Table, common: np.ndarray, similar: int) -> pa.Table:
     return _links(part["node"].to_numpy(), region)
 
 
-def _large_regions(sets: DataFrame, common: np.ndarray, similar: int, block_bytes: int) -> DataFrame:
-    """Links ``(a, b)`` that connect what is linked in regions of ``sets(region, node, n, shingles, bytes)`` too large for a task."""
+def _least_nodes(rows: DataFrame, pivots: int) -> DataFrame:
+    """The pivots of each region of ``rows(region, block, blocks, node, shingles)``, by the least hashes of nodes, for each of its blocks."""
+    # each block gives as many as are wanted in all, if it has them
+    own = Window.partitionBy("region", "block").orderBy("h", "node")
+    first = rows.select("region", "block", "node", F.xxhash64("node", F.lit(5)).alias("h")).withColumn("k", F.row_number().over(own)).where(F.col("k") <= pivots)
+    last = Window.partitionBy("region").orderBy("h", "node")
+    least = first.withColumn("k", F.row_number().over(last)).where(F.col("k") <= pivots).select("region", "node")
+    chosen = rows.join(least, ["region", "node"])
+    return chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("region", "block", "node", "shingles")
+
+
+def _in_blocks(sets: DataFrame, block_bytes: int, *more: str) -> DataFrame:
+    """The rows of ``sets(region, node, shingles, bytes)`` with the number of their region's blocks and their own."""
     blocks = F.ceil(F.col("bytes") / block_bytes)
-    rows = cut(sets.select("region", "node", "shingles", blocks.alias("blocks"), F.octet_length("shingles").alias("size")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "large-regions")
-    # common pivots: a few sets of each region, by the least hashes of their nodes
-    order = F.struct(F.xxhash64("node", F.lit(5)).alias("h"), "node")
-    other = again(rows)
-    least = other.groupBy("region", "block").agg(F.min(order).alias("p")).groupBy("region").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("p"))
-    chosen = other.join(least.select("region", F.explode("p.node").alias("node")), ["region", "node"])
-    pivots = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("region", "block", "node", "shingles")
+    return sets.select("region", "node", "shingles", blocks.alias("blocks"), *more).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+
+def _divide(sets: DataFrame, common: np.ndarray, similar: int, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links with the pivots of the regions of ``sets(region, node, n, shingles, bytes)``, the cells as new regions, and the regions whose cells would be no smaller work."""
+    rows = cut(_in_blocks(sets, block_bytes, "n", "bytes"), "regions")
+
+    def near_pivots(part: pa.Table, pivot: pa.Table) -> pa.Table:
+        names, own = pivot["node"].to_numpy(), part["node"].to_numpy()
+        region = Region([*_sets(pivot["shingles"]), *_sets(part["shingles"])], common, similar)
+        at = np.arange(len(names), len(names) + len(own))
+        inside = region.cells(np.column_stack([region.against(p, at) for p in range(len(names))]))
+        found = _links(np.concatenate((names, own)), region)
+        who, cell = np.nonzero(inside)
+        return pa.concat_tables([found, pa.table({"region": part["region"].take(pa.array(who)), "node": pa.array(own[who], pa.int64()), "cell": pa.array(cell, pa.int32())})], promote_options="default").select(["a", "b", "region", "node", "cell"])
+
+    out = cut(rows.groupBy("region", "block").cogroup(_least_nodes(again(rows), DIVIDERS).groupBy("region", "block")).applyInArrow(near_pivots, "a long, b long, region long, node long, cell int"), "cells")
+    placed = out.where("cell is not null").select("region", "node", "cell").join(again(rows).select("region", "node", "n", "bytes"), ["region", "node"])
+    sizes = cut(placed.groupBy("region", "cell").agg(F.sum(F.col("n") * 8).alias("cell_bytes"), F.first("bytes").alias("bytes"), F.count("*").alias("k")), "cell-sizes")
+    whole = F.col("bytes")
+    facts = sizes.groupBy("region").agg(F.sum("cell_bytes").alias("all"), F.max("cell_bytes").alias("most"), F.first("bytes").alias("bytes"), F.sum("k").alias("k"))
+    good = facts.select("region", "k", ((F.col("all") <= 2 * whole) & (F.col("most") <= SMALLER * whole)).alias("good"))
+    judged = cut(join_hot(again(rows).select("region", "node", "n", "shingles", "bytes"), good, "region", "k", facts.agg(F.sum("k")).first()[0]), "regions")
+    cells = out.where("cell is not null").select("region", "node", "cell").join(judged.where("good").select("region", "node", "n", "shingles"), ["region", "node"])
+    cells = cells.select(F.xxhash64("region", "cell").alias("region"), "node", "n", "shingles")
+    named = again(sizes).select(F.xxhash64("region", "cell").alias("region"), F.col("cell_bytes").alias("bytes"), "k")
+    total = again(sizes).agg(F.sum("k")).first()[0]
+    return out.where("a is not null").select("a", "b"), cut(join_hot(cells, named, "region", "k", total), "region-sets"), again(judged).where("not good").drop("good")
+
+
+def _large_regions(sets: DataFrame, common: np.ndarray, similar: int, block_bytes: int) -> DataFrame:
+    """Links ``(a, b)`` that connect what is linked in regions of ``sets(region, node, shingles, bytes)`` too large for a task."""
+    rows = cut(_in_blocks(sets, block_bytes, F.octet_length("shingles").alias("size")), "large-regions")
+    pivots = _least_nodes(again(rows), PIVOTS)
 
     def near_pivots(part: pa.Table, pivot: pa.Table) -> pa.Table:
         names, own = pivot["node"].to_numpy(), part["node"].to_numpy()
@@ -271,9 +333,9 @@ def _large_regions(sets: DataFrame, common: np.ndarray, similar: int, block_byte
     named = components(first)
     labelled = rows.join(named, "node", "left").withColumn("label", F.coalesce("component", "node"))
     sizes = labelled.groupBy("region", "label").agg(F.count("*").alias("k"), F.sum("size").alias("b"))
-    bulk = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("bulk"), F.sum("b").alias("all"), F.max(F.struct("k", "label", "b")).alias("top"))
-    facts = bulk.select("region", "bulk", F.ceil((F.col("all") - F.col("top.b")) / block_bytes).alias("chunks")).where("chunks > 0")
-    whole = cut(labelled.join(facts, "region").select("region", "node", "shingles", "label", "blocks", "block", "chunks", (F.col("label") != F.col("bulk")).alias("loose")), "labelled")
+    bulk = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("bulk"), F.sum("b").alias("all"), F.max(F.struct("k", "label", "b")).alias("top"), F.sum("k").alias("k"))
+    facts = bulk.select("region", "bulk", "k", F.ceil((F.col("all") - F.col("top.b")) / block_bytes).alias("chunks")).where("chunks > 0")
+    whole = cut(join_hot(labelled, facts, "region", "k", again(rows).count()).select("region", "node", "shingles", "label", "blocks", "block", "chunks", (F.col("label") != F.col("bulk")).alias("loose")), "labelled")
     left = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("region", "block", "chunk", "node", "label", "shingles")
     right = again(whole).where("loose").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(6)), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("region", "block", "chunk", "node", "label", "shingles")
 
@@ -347,7 +409,7 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
 
     rows = cut(keyed.mapInArrow(sketch, f"u long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, sigs array<long>"), "sketches")
     # equal sets are one node, named by the least number of its rows
-    nodes = cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("u").alias("node"), F.min("doc_id").alias("first_id"), F.min("n").alias("n")), "sets")
+    nodes = cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("u").alias("node"), F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.count("*").alias("copies")), "sets")
     # rings of sizes: a set is in its own and, if sets of the next may be linked with it, in that
     ratio = max(RING, 102 / similar)
     ring = F.floor(F.log("n") / np.log(ratio))
@@ -374,7 +436,7 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     regions = components(left.join(still, "sig").where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     inside = cut(regions.select(F.col("node").alias("id"), F.col("component").alias("region")).join(placed.select("id", F.col("node").alias("set_node")), "id").select("region", F.col("set_node").alias("node")), "inside")
     release(left)
-    members = cut(nodes.join(again(inside).select("node").distinct(), "node", "left_semi"), "members")
+    members = cut(nodes.drop("copies").join(again(inside).select("node").distinct(), "node", "left_semi"), "members")
 
     # the sets themselves, of members only: likely rows by id, then exactly by hash
     ids = members.select(F.col("first_id").cast("string").alias("id"))
@@ -392,23 +454,34 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     m = members.alias("m")
     sets = found.join(m, (F.col("f.h1") == F.col("m.h1")) & (F.col("f.h2") == F.col("m.h2")) & F.col("f.doc_id").eqNullSafe(F.col("m.first_id")))
     sets = sets.select("m.node", "m.n", "f.shingles").groupBy("node", "n").agg(F.first("shingles").alias("shingles"))
-    sizes = inside.join(members.select("node", "n"), "node").groupBy("region").agg(F.sum(F.col("n") * 8).alias("bytes"))
-    sized = cut(sets.join(again(inside).join(sizes, "region"), "node"), "region-sets")
+    sizes = inside.join(members.select("node", "n"), "node").groupBy("region").agg(F.sum(F.col("n") * 8).alias("bytes"), F.count("*").alias("k"))
+    sized = cut(sets.join(join_hot(again(inside), sizes, "region", "k", again(inside).count()), "node"), "region-sets")
     schema = "a long, b long"
 
     def solve(part: pa.Table) -> pa.Table:
         return _solve(part, common, similar)
 
-    links = sized.where(F.col("bytes") <= block_bytes).select("region", "node", "shingles").groupBy("region").applyInArrow(solve, schema)
-    large = sized.where(F.col("bytes") > block_bytes)
-    if not large.isEmpty():
-        links = links.unionByName(_large_regions(large, common, similar, block_bytes))
+    links, held = None, [sized]
+    while True:
+        small = sized.where(F.col("bytes") <= block_bytes).select("region", "node", "shingles").groupBy("region").applyInArrow(solve, schema)
+        links = small if links is None else links.unionByName(small)
+        large = sized.where(F.col("bytes") > block_bytes)
+        if large.isEmpty():
+            break
+        found, sized, tight = _divide(large, common, similar, block_bytes)
+        links = links.unionByName(found)
+        held.append(sized)
+        if not tight.isEmpty():
+            links = links.unionByName(_large_regions(tight, common, similar, block_bytes))
     joined = components(links)
-    release(sized)
-    first = joined.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(joined.join(first, "component").select("node", "component", "component_id"), "node", "left")
-    named = named.select("h1", "h2", F.coalesce("component", "node").alias("cluster"), F.coalesce("component_id", "first_id").alias("component_id"), F.lit(True).alias("some"))
-    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "h1", "h2", (F.col("n") > 0).alias("some")).join(named, ["h1", "h2", "some"], "left")
+    release(*held)
+    size = nodes.agg(F.count("*").alias("nodes"), F.sum("copies").alias("rows")).first()
+    first = joined.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("k"))
+    named = nodes.join(join_hot(joined, first, "component", "k", size["nodes"]).select("node", "component", "component_id"), "node", "left")
+    named = named.select(F.struct("h1", "h2").alias("set"), F.coalesce("component", "node").alias("cluster"), F.coalesce("component_id", "first_id").alias("component_id"), "copies")
+    # texts without shingles have no set
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.struct("h1", "h2")).alias("set"))
+    out = join_hot(out, named, "set", "copies", size["rows"] or 0, "left")
     return out.select("doc_id", "text_hash", "n_shingles", "cluster", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -431,22 +504,24 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     The row of the least id stays (rows without an id last; of texts with one
     id the least hash). Of repeated rows one stays. Texts without shingles all
-    stay. Rows whose id and text no removed row may have are never shuffled.
+    stay. Other columns may have any names and are returned as they are. Rows
+    whose id and text no removed row may have are never shuffled.
     """
     rows = cut(clusters(docs, **options).where("cluster is not null"), "clusters")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-    best = again(rows).groupBy("cluster").agg(F.min(key).alias("best"))
-    judged = rows.join(best, "cluster").select("doc_id", "text_hash", (~key.eqNullSafe(F.col("best"))).alias("gone"))
+    best = again(rows).groupBy("cluster").agg(F.min(key).alias("best"), F.count("*").alias("k"))
+    judged = join_hot(rows, best, "cluster", "k", rows.count()).select("doc_id", "text_hash", (~key.eqNullSafe(F.col("best"))).alias("gone"))
     fates = judged.groupBy("doc_id", "text_hash").agg(F.max("gone").alias("gone"), F.count("*").alias("k")).where("gone or k > 1")
     fates = cut(fates.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "gone", F.xxhash64("doc_id", "text_hash").alias("key")), "fates")
     log2 = bloom.log2_blocks(fates.count())
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    maybe = bloom.may_hold(bloom.build(fates, "key", log2), F.xxhash64("doc_id", "_hash"), log2)
-    sure = hashed.where(~maybe).select(docs.columns)
-    met = hashed.where(maybe).join(fates, (F.col("_hash") == F.col("f_hash")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left")
-    alone = met.where("gone is null").select(docs.columns)
-    once = met.where("not gone").dropDuplicates(["f_id", "f_hash"]).select(docs.columns)
-    return sure.unionByName(alone).unionByName(once)
+    # whole rows in a struct, so that none of their names can be taken
+    hashed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    maybe = bloom.may_hold(bloom.build(fates, "key", log2), F.xxhash64("id", "hash"), log2)
+    sure = hashed.where(~maybe).select("row.*")
+    met = hashed.where(maybe).join(fates, (F.col("hash") == F.col("f_hash")) & F.col("id").eqNullSafe(F.col("f_id")), "left")
+    alone = met.where("gone is null").select("row.*")
+    once = met.where("not gone").dropDuplicates(["f_id", "f_hash"]).select("row.*")
+    return sure.union(alone).union(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,10 @@ def test_jaccard_edges(edges, empty):
 def test_keep_one(spark, edges, empty):
     rows = near_copies(random.Random(3))
     rows += [rows[0], rows[0], (5000, None), (5001, ""), (None, rows[1][1]), (None, "quite another text of some words"), (None, "quite another text of some words")]
-    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, cluster string")
+    names = ["cluster", "key", "f_id", "f_hash", "gone", "_hash", "hash", "id", "row", "k", "set"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = jaccard_join.keep_one(docs, similar=80, words=5)
+    assert kept.columns == docs.columns and all(list(r)[2:] == names for r in kept.collect())
     got = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs, similar=80, words=5).collect()]
     sets, roots = brute_texts(rows, 80, 5)
     groups = {}
