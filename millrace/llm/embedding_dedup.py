@@ -4,10 +4,13 @@ Unit vectors are projected on Gaussian directions; projections are shifted,
 divided by a width and rounded down, and so many of them together name a bucket
 in each of several tables. Vectors that share a bucket are compared exactly.
 
-Equal vectors are one node with a count from the start. A bucket is compared in
-square blocks by matrix products: no pair of rows is ever emitted, only a sum
-of links for each vector and a spanning forest for each block. A bucket of any
-size is therefore worked on whole, by as many tasks as it has pairs of blocks.
+Equal vectors are one node with a count from the start, known by a 128-bit hash.
+A bucket is compared in square blocks by matrix products: no pair of rows is
+ever emitted, only a sum of links for each vector and a spanning forest for each
+block. A bucket of any size is therefore worked on whole, by as many tasks as it
+has pairs of blocks. Vectors travel as they are stored (mostly in single
+precision) and are compared in double precision; pairs that an earlier table has
+compared are left out before the product.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_hot, table
 from .components import components
 
 COSINE = 0.98
@@ -29,8 +32,8 @@ COSINE = 0.98
 WIDTH = 2.0
 #: Share of the pairs just at the cosine that all tables together may miss.
 MISSED = 0.001
-#: Vectors of a block.
-BLOCK = 256
+#: Vectors of a block, at least; blocks a bucket is cut into before blocks become larger, up to GROWTH times that.
+BLOCK, BLOCKS, GROWTH = 256, 16, 32
 
 
 def _same_cell(distance: float, width: float) -> float:
@@ -92,23 +95,26 @@ def find_links(nodes: DataFrame, cosine: float = COSINE, width: float = WIDTH, m
                 part = b.take(pa.array(at))
                 codes = _codes(_matrix(part.column(2)), k, tables, width)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32)), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(at), dim, np.int32)), flat], ["node", "label", "dim", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(np.full(len(at), dim, np.int32)), flat], ["node", "label", "embedding", "copies", "dim", "codes"])
 
-    hashed = cut(nodes.select("node", "label", "embedding").mapInArrow(hash_, "node long, label string, dim int, codes array<long>"), "codes")
+    stored = nodes.schema["embedding"].dataType.simpleString()
+    hashed = cut(nodes.select("node", "label", "embedding", "copies").mapInArrow(hash_, f"node long, label string, embedding {stored}, copies long, dim int, codes array<long>"), "codes")
     placed = hashed.select("node", F.posexplode("codes").alias("t", "code"), "label", "dim").select("node", "t", F.xxhash64("t", "code", "label", "dim").alias("bucket"))
     crowded = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    rows = placed.join(crowded, "bucket").withColumn("blocks", F.ceil(F.col("m") / block))
+    width = F.greatest(F.lit(block), F.least(F.col("m") / BLOCKS, F.lit(GROWTH * block)))
+    rows = placed.join(crowded, "bucket").withColumn("blocks", F.ceil(F.col("m") / width))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("bucket", "t", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = rows.join(hashed.select("node", "codes", "label", "dim"), "node").join(nodes.select("node", "embedding", "copies"), "node")
+    # of the codes those of earlier tables are needed
+    full = rows.join(hashed, "node").withColumn("codes", F.slice("codes", F.lit(1), F.col("t")))
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         t, i, j = part["t"][0].as_py(), part["i"][0].as_py(), part["j"][0].as_py()
         node, side, copies = part["node"].to_numpy(), part["own"].to_numpy(), part["copies"].to_numpy()
         label = part["label"].combine_chunks().dictionary_encode().indices.to_numpy() * 100_000 + part["dim"].to_numpy()
-        codes = part["codes"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        codes = part["codes"].combine_chunks().flatten().to_numpy().reshape(len(node), t)
         links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
 
         def root(x: int) -> int:
@@ -127,16 +133,15 @@ def find_links(nodes: DataFrame, cosine: float = COSINE, width: float = WIDTH, m
             for p in range(0, len(left), BLOCK):
                 for q in range(p if i == j else 0, len(right), BLOCK):
                     a, b = left[p : p + BLOCK], right[q : q + BLOCK]
-                    r, c = np.nonzero(x[back[a]] @ x[back[b]].T >= cosine)
+                    new = a[:, None] < b if i == j else np.ones((len(a), len(b)), dtype=bool)
+                    for s in range(t):
+                        new &= codes[a, s][:, None] != codes[b, s]
+                    some = new.any(axis=1)
+                    if not some.any():
+                        continue
+                    a, new = a[some], new[some]
+                    r, c = np.nonzero(new & (x[back[a]] @ x[back[b]].T >= cosine))
                     r, c = a[r], b[c]
-                    if i == j:
-                        new = r < c
-                        r, c = r[new], c[new]
-                    if t and len(r):
-                        new = np.ones(len(r), dtype=bool)
-                        for s in range(t):
-                            new &= codes[r, s] != codes[c, s]
-                        r, c = r[new], c[new]
                     np.add.at(links, r, copies[c])
                     np.add.at(links, c, copies[r])
                     # a forest needs no pair whose ends are joined already
@@ -150,7 +155,7 @@ def find_links(nodes: DataFrame, cosine: float = COSINE, width: float = WIDTH, m
         other = node[[root(v) for v in found]] if len(found) else node[:0]
         return pa.table({"node": pa.array(node[found]), "other": pa.array(other), "links": pa.array(links[found])})
 
-    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "node long, other long, links long")
+    return full.groupBy("bucket", "t", "i", "j").applyInArrow(compare, "node long, other long, links long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> DataFrame:
@@ -164,23 +169,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> Da
     an id have none to give); kept is whether that is the row's own. An empty
     table gives an empty one; other columns are ignored.
     """
-    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    stored = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), stored.alias("embedding"))
     limit = F.lit(float("inf"))
     sound = F.forall("embedding", lambda x: F.coalesce((x < limit) & (x > -limit), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     sound = F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))
-    rows = rows.withColumn("sound", sound)
-    distinct = rows.where("sound").groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
+    rows = rows.withColumn("key", F.when(sound, F.struct(F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding", "label").alias("h2"))))
+    distinct = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = cut(find_links(nodes, cosine, **options), "vector-links")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     members = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    first = members.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = members.join(first, "component").select("node", "component_id")
-    known = nodes.join(sums, "node", "left").join(named, "node", "left").select(
-        "label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")
+    names = nodes.select("node", "key", "copies", "first_id")
+    size = names.agg(F.count("*").alias("nodes"), F.sum("copies").alias("rows")).first()
+    first = members.join(names.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("k"))
+    named = join_hot(members, first, "component", "k", size["nodes"]).select("node", "component_id")
+    known = names.join(sums, "node", "left").join(named, "node", "left").select(
+        "key", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")
     )
-    known = known.withColumn("sound", F.lit(True))
-    out = rows.join(known, ["label", "embedding", "sound"], "left")
+    out = join_hot(rows.select("vec_id", "key"), known, "key", "copies", size["rows"] or 0, "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
