@@ -4,8 +4,11 @@ Rows are ordered by a hash of their text, then by a hash of their id: equal
 texts are neighbours. Splitters that cut this order into shards of near equal
 bytes are found by counting, not by sampling: each round counts the exact bytes
 below candidate boundaries in all partitions and narrows the interval around
-each target, until the bytes below a splitter are within a tolerance of it. The
-rows are then exchanged once.
+each target, until the bytes below a splitter are within a tolerance of it. There
+is one splitter between two shards, whatever the number of rows, so what the
+driver gets depends on the number of shards alone. The rows are then exchanged
+once, to parts of shards: a hash deals a shard's rows to parts of a bounded
+size, each of which numbers its own rows from where the parts before it end.
 
 Boundaries fall between groups of equal texts where the tolerance allows; a
 group too large for that is cut, by the hash of the id.
@@ -27,8 +30,8 @@ from .common import cut, table
 TOLERANCE = 0.01
 #: Candidate boundaries tried for each target in a round.
 PROBES = 63
-#: Rows that one task numbers within a shard.
-ROWS_PER_SLICE = 200_000
+#: Rows of a part of a shard, which one task numbers; expected.
+ROWS_PER_PART = 200_000
 
 LEAST = -(1 << 63)
 Bound = tuple[int, int]
@@ -132,7 +135,7 @@ def splitters(keys: DataFrame, total: int, targets: list[int], tolerance: int) -
     return sorted((min(g, -LEAST - 1), min(t, -LEAST - 1)) for g, t in out.values())
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for each row of ``docs``.
 
     size is the text's bytes in UTF-8 plus 8, of a null text 8 (its crc32 is
@@ -151,28 +154,26 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     keys = cut(rows.withColumn("tie", F.xxhash64("id_hash", "read")).drop("id_hash", "read"), "shard-keys")
     facts = keys.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     total = facts["bytes"] or 0
-    slices = max(1, -(-facts["n"] // (rows_per_slice * shards)))
-    targets = [total * k // (shards * slices) for k in range(1, shards * slices)]
+    targets = [total * k // shards for k in range(1, shards)]
     bounds = splitters(keys, total, targets, int(total / shards * tolerance)) if total else []
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = place(b.column(3).to_numpy(), b.column(4).to_numpy(), bounds)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], [*b.schema.names, "slice"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "shard"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = keys.mapInArrow(assign, f"doc_id {kind}, size long, text_crc32 long, group long, tie long, slice long")
-    counts = {r["slice"]: r["n"] for r in placed.groupBy("slice").agg(F.count("*").alias("n")).collect()}
-    before, base = [], 0
-    for s in range(shards * slices):
-        base = 0 if s % slices == 0 else base
-        before.append(base)
-        base += counts.get(s, 0)
-    first = F.get(F.lit(before).cast("array<long>"), F.col("slice").cast("int"))
-
-    order = Window.partitionBy("slice").orderBy("group", "tie")  # sorts on disk if need be
-    numbered = placed.withColumn("rank", F.row_number().over(order) - 1)
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("slice") / slices).cast("int").alias("shard"), (first + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    parts = max(1, -(-facts["n"] // (rows_per_part * shards)))
+    placed = keys.mapInArrow(assign, f"doc_id {kind}, size long, text_crc32 long, group long, tie long, shard int")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("group", "tie", F.lit(7)), F.lit(parts)).cast("int"))
+    # one row for each part of a shard; those of a shard, a 200,000th of its rows, meet in one task
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+    order = Window.partitionBy("shard", "part").orderBy("group", "tie")  # sorts on disk if need be
+    numbered = placed.withColumn("rank", F.row_number().over(order) - 1).join(starts, ["shard", "part"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

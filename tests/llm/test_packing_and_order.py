@@ -183,10 +183,18 @@ def test_shards_are_even(documents):
 
 def test_one_text_in_most_rows_is_cut_evenly(spark):
     docs = spark.createDataFrame([(i if i % 2 else 7, "the same text") for i in range(3000)], "doc_id long, text string")
-    got, sizes = check_shards(docs, 5, rows_per_slice=100)
+    got, sizes = check_shards(docs, 5, rows_per_part=100)
     assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 5
 
 
+def test_splitters_do_not_grow_with_rows(documents, monkeypatch):
+    asked = []
+    histogram = sharding.histogram
+    monkeypatch.setattr(sharding, "histogram", lambda keys, bounds: asked.append(len(bounds)) or histogram(keys, bounds))
+    check_shards(documents, 6, rows_per_part=5)
+    assert max(asked) <= 5 * (sharding.PROBES + 2)
+
+
 def test_shards_of_edges(edges, empty):
     check_shards(edges, 4)
     assert sharding.shard(empty, 4).count() == 0
