@@ -114,9 +114,6 @@ def contexts(hash_: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return before, skip
 
 
-_ONES = np.ones(FAN, dtype=np.float32)
-
-
 class Chain:
     """Words within their classes: ``FAN - 1`` of them to a decision, the commonest first.
 
@@ -167,13 +164,13 @@ class Chain:
         """log10 of how much more probable the history makes each token within its class than counts alone."""
         out = np.zeros(len(tokens[0]), dtype=np.float32)
         for at, _, outcome, total, e in self.decisions(weights, *tokens):
-            out[at] += total.ravel()[np.arange(0, total.size, FAN) + outcome] - np.log(e @ _ONES)
+            out[at] += total.ravel()[np.arange(0, total.size, FAN) + outcome] - np.log(np.einsum("nk->n", e))
         return out / np.float32(math.log(10))
 
     def gradients(self, weights: np.ndarray, out: np.ndarray, *tokens: np.ndarray) -> None:
         """Adds counts of outcomes to ``out``, of (found or expected, outcome, row)."""
         for _, rows, outcome, _, e in self.decisions(weights, *tokens):
-            e /= (e @ _ONES)[:, None]
+            e /= np.einsum("nk->n", e)[:, None]
             for row in rows:
                 np.add.at(out[0].ravel(), outcome * out.shape[2] + row, np.float32(1))
             expected = np.ascontiguousarray(e.T)
