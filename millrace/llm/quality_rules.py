@@ -36,10 +36,16 @@ def _windows(words: Column) -> Column:
 
 
 def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to ``df``."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to ``df``.
+
+    A null text counts as empty. Columns of ``df`` with these names are
+    replaced, all others are returned as they are, whatever their names.
+    """
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    step = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    body = F.col("body")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = df.withColumn("_words", _words(body)).withColumn("_lines", lines)
+    step = step.withColumn("_words", _words(body)).withColumn("_lines", lines)
     step = step.withColumn("_h", _windows(F.col("_words")))
     pairs = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p")))
     # only texts with a repeated window are sorted
@@ -49,7 +55,7 @@ def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     spans = F.transform("_at", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("_at", k + 1) - p, F.lit(5))))
     repeat = F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
     step = step.select(
-        *df.columns,
+        *[F.col("row").getField(c).alias(c) for c in df.columns if c not in made],
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),

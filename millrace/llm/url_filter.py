@@ -17,8 +17,8 @@ from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Lists up to so many entries (of 2,000 bytes at most, as longer URLs are rare) are sent to all executors.
-BROADCAST_ENTRIES = 10_000
+#: Lists of up to so many bytes, counted before, are sent to all executors.
+BROADCAST_BYTES = 10_000_000
 #: Copies of a longer list, over which the URLs that ask for one entry are spread.
 SALTS = 16
 
@@ -64,19 +64,20 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     host, path = _host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     listed = canonical_rules(rules)
-    facts = listed.agg(F.count("*").alias("n"), F.collect_set(F.struct("labels", "path_length")).alias("shapes")).first()
+    width = F.octet_length("key") + F.octet_length("rule") + 64
+    facts = listed.agg(F.count("*").alias("n"), F.sum(width).alias("bytes"), F.collect_set(F.struct("labels", "path_length")).alias("shapes")).first()
     if not facts["n"]:
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     shapes = F.array(*[F.struct(F.lit(s["labels"]).alias("labels"), F.lit(s["path_length"]).alias("path_length")) for s in sorted(facts["shapes"])])
     log2 = bloom.log2_blocks(facts["n"])
     words = bloom.build(listed, "key", log2)
     asked = (
-        urls.select("host", "path", F.explode(shapes).alias("s"))
-        .where((_labels(F.col("host")) >= F.col("s.labels")) & (F.length("path") >= F.col("s.path_length")))
+        urls.select("host", "path", _labels(F.col("host")).alias("n"))
+        .select("host", "path", F.explode(F.filter(shapes, lambda s: (F.col("n") >= s["labels"]) & (F.length("path") >= s["path_length"]))).alias("s"))
         .select("host", "path", F.concat(F.expr("substring_index(host, '.', -s.labels)"), F.expr("left(path, s.path_length)")).alias("key"))
         .where(bloom.may_hold(words, F.col("key"), log2))
     )
-    if facts["n"] <= BROADCAST_ENTRIES:
+    if facts["bytes"] <= BROADCAST_BYTES:
         hits = asked.join(F.broadcast(listed), "key")
     else:
         salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -87,8 +88,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "rule string, verdict string")
-    return judge(table(spark, sf_dir, "pages"), rules)
+    rows = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in RULES)
+    return judge(table(spark, sf_dir, "pages"), spark.sql(f"select * from values {rows} as rules(rule, verdict)"))
 
 
 ORACLE = """

@@ -42,7 +42,7 @@ def test_judges_like_brute_force(spark):
 
 
 def test_long_lists_are_salted_and_block_wins(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", 3)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 3)
     rules = [("net/", "block"), ("a.net/x", "allow"), ("a.net/x", "block"), ("b.net", "allow"), ("c.net/de", "allow"), ("/nohost", "block"), (None, "block")]
     pages = spark.createDataFrame([(1, "http://q.a.net/xyz"), (2, "http://b.net"), (3, "http://c.net/d"), (4, "http://c.net/deep")], "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, spark.createDataFrame(rules, "rule string, verdict string")).collect()}
@@ -73,6 +73,13 @@ def test_base_statistics(edges):
         assert tuple(r[n] for n in names) == brute_base(r["text"]), r["text"]
 
 
+def test_base_statistics_leave_other_columns_alone(spark):
+    names = ["row", "body", "_words", "_lines", "_h", "_pairs", "_at", "n_words", "kept"]
+    docs = spark.createDataFrame([("one two\none two", *names)], "text string, " + ", ".join(f"{n} string" for n in names))
+    (got,) = quality_rules.base_statistics(docs).collect()
+    assert got["n_words"] == 4 and all(got[n] == n for n in names if n != "n_words")
+
+
 def test_frequent_lines_go_and_depleted_documents_fail(spark):
     own = lambda i, k: f"document {i} has words of its own that no other one has at all" if not k else f"line {k} of number {i} speaks about quite different matters"
     rows = [(i, "Menu | Home\n" + own(i, 0) + "\n" + own(i, 1), "a") for i in range(30)]
