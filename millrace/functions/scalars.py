@@ -54,9 +54,45 @@ def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors with the largest dot product with vector 0, exactly, in double precision."""
     vectors = read(spark, sf_dir, "embeddings")
-    one = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    one = vectors.where("vec_id = 0").agg(F.first("embedding")).scalar()
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return vectors.where("vec_id <> 0").join(F.broadcast(one), F.lit(True)).select("vec_id", F.round(dot, 6).alias("dot")).orderBy(F.desc("dot"), "vec_id").limit(10)
+    return vectors.where("vec_id <> 0").select("vec_id", "embedding", one.alias("q")).select("vec_id", F.round(dot, 6).alias("dot")).orderBy(F.desc("dot"), "vec_id").limit(10)
+
+
+def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, ranges and patterns, which reach the scan as far as its format allows."""
+    part = read(spark, sf_dir, "part")
+    return part.where(F.col("p_type").isin("ECONOMY", "STANDARD", "SMALL") | F.col("p_size").between(10, 20)).where(F.col("p_name").like("%a%") & ~F.col("p_brand").startswith("Brand#1")).select("p_partkey", "p_size")
+
+
+def regex_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_name")
+    return read(spark, sf_dir, "part").select("p_partkey", F.regexp_extract(n, "^([a-z]+)", 1).alias("first"), F.regexp_count(n, F.lit("[aeiou]")).cast("long").alias("vowels"), F.rlike(n, F.lit("(e|o)[a-z] ")).alias("hit"), F.array_join(F.regexp_extract_all(n, F.lit("[a-z]{3}"), 0), "-").alias("threes"))
+
+
+def interval_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times moved by intervals made from columns."""
+    later = F.col("ts") + F.make_interval(months=F.lit(1), days=F.col("user_id") % 5, hours=F.lit(3))
+    return read(spark, sf_dir, "events").select("event_id", later.alias("later"), F.timestamp_diff("HOUR", F.col("ts"), later).alias("hours"))
+
+
+def variant_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON as a variant: parsed once, read by path and type."""
+    v = F.parse_json("props")
+    return read(spark, sf_dir, "events").select("event_id", v.alias("v")).select("event_id", F.variant_get("v", "$.k", "long").alias("k"), F.try_variant_get("v", "$.none", "string").alias("none"))
+
+
+def key_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps with keys and values changed, and two maps put together."""
+    m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
+    upper = F.transform_keys(m, lambda k, v: F.upper(k))
+    sizes = F.map_zip_with(m, F.create_map(F.lit("brand"), F.col("p_size")), lambda k, a, b: F.concat(a, F.lit(":"), F.coalesce(b.cast("string"), F.lit("-"))))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(F.map_keys(upper)), ",").alias("keys"), F.transform_values(upper, lambda k, v: F.lower(v))["BRAND"].alias("brand"), sizes["brand"].alias("a"), sizes["type"].alias("b"))
+
+
+def sample_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sixteenth of the orders, the same on every run and cluster: by the first digit of a hash of the key."""
+    return read(spark, sf_dir, "orders").where(F.md5(F.col("o_orderkey").cast("string").cast("binary")).startswith("0")).select("o_orderkey")
 
 
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +100,7 @@ def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (text_functions, date_functions, number_functions, json_functions, array_functions, map_functions, nearest_vectors, text_statistics)}
+QUERIES = {f.__name__: f for f in (text_functions, date_functions, number_functions, json_functions, array_functions, map_functions, nearest_vectors, filters, regex_functions, interval_functions, variant_functions, key_functions, sample_by_hash, text_statistics)}
 
 ORACLES = {
     "text_functions": """
@@ -89,5 +125,15 @@ ORACLES = {
         select b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as dot from embeddings a, embeddings b
         where a.vec_id = 0 and b.vec_id <> 0 order by dot desc, vec_id limit 10
     """,
+    "filters": "select p_partkey, p_size from part where (p_type in ('ECONOMY', 'STANDARD', 'SMALL') or p_size between 10 and 20) and p_name like '%a%' and not starts_with(p_brand, 'Brand#1')",
+    "regex_functions": """
+        select p_partkey, regexp_extract(p_name, '^([a-z]+)', 1) as first, len(regexp_extract_all(p_name, '[aeiou]')) as vowels, regexp_matches(p_name, '(e|o)[a-z] ') as hit, array_to_string(regexp_extract_all(p_name, '[a-z]{3}'), '-') as threes from part
+    """,
+    "interval_functions": """
+        select event_id, later, date_sub('hour', ts, later) as hours from (select event_id, ts, ts + interval 1 month + to_days((user_id % 5)::int) + interval 3 hours as later from events)
+    """,
+    "variant_functions": "select event_id, json_extract(props, '$.k')::bigint as k, null::varchar as none from events",
+    "key_functions": "select p_partkey, 'BRAND,TYPE' as keys, lower(p_brand) as brand, p_brand || ':' || p_size as a, p_type || ':-' as b from part",
+    "sample_by_hash": "select o_orderkey from orders where starts_with(md5(o_orderkey::varchar), '0')",
     "text_statistics": "select word, count(*) as n from (select unnest(string_split(p_name, ' ')) as word from part) group by 1",
 }

@@ -41,7 +41,7 @@ def grouping_sets_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moments, correlation, exact and most frequent values."""
+    """Variance, correlation, exact percentiles."""
     return read(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(
         F.round(F.stddev_samp("l_extendedprice"), 4).alias("sd"), F.round(F.var_pop("l_quantity"), 6).alias("var"), F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("corr"),
         F.round(F.median("l_quantity"), 4).alias("median"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"),
@@ -67,7 +67,33 @@ def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("types"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, distinct_and_filtered, rollup_segments, cube_parts, grouping_sets_events, statistics, dearest_part, pivot_status, unpivot_prices, user_profiles)}
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skewness and excess kurtosis of whole groups (population form)."""
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.skewness("p_retailprice"), 6).alias("skew"), F.round(F.kurtosis("p_retailprice"), 6).alias("kurt"))
+
+
+def commonest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent size of each brand, of several the least."""
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.mode("p_size", deterministic=True).alias("size"))
+
+
+def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether approximate distinct counts and medians are as near the exact ones as they promise."""
+    n, near = F.count_distinct("l_partkey"), F.approx_count_distinct("l_partkey", 0.02)
+    price = F.percentile_approx("l_extendedprice", 0.5, 10_000)
+    return read(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg((F.abs(near / n - 1) < 0.1).alias("distinct_near"), (F.abs(price / F.median("l_extendedprice") - 1) < 0.01).alias("median_near"), n.alias("n_parts"))
+
+
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sketches, merged by type: HyperLogLog and theta for distinct users, KLL for the median, count-min for one event's count."""
+    events = read(spark, sf_dir, "events")
+    daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("hll"), F.theta_sketch_agg("user_id").alias("theta"), F.kll_sketch_agg_double("value").alias("kll"), F.count("*").alias("n"))
+    merged = daily.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("users"), F.theta_sketch_estimate(F.theta_union_agg("theta")).alias("users2"), F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("kll"), F.lit(0.5)).alias("mid"), F.sum("n").alias("n"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n_users"), F.percentile_approx("value", [0.45, 0.55], 100_000).alias("range"))
+    return merged.join(exact, "event_type").select("event_type", "n", (F.abs(F.col("users") / F.col("n_users") - 1) < 0.1).alias("hll_near"), (F.abs(F.col("users2") / F.col("n_users") - 1) < 0.1).alias("theta_near"), F.col("mid").between(F.col("range")[0], F.col("range")[1]).alias("median_near"))
+
+
+QUERIES = {f.__name__: f for f in (pricing_summary, distinct_and_filtered, rollup_segments, cube_parts, grouping_sets_events, statistics, dearest_part, pivot_status, unpivot_prices, user_profiles, moments, commonest_size, approximate, merged_sketches)}
 
 ORACLES = {
     "pricing_summary": """
@@ -98,4 +124,10 @@ ORACLES = {
         union all select l_returnflag, 'discount', round(sum(l_discount), 4) from lineitem group by 1
     """,
     "user_profiles": "select user_id, string_agg(distinct event_type, ',' order by event_type) as types, count(*) as n from events group by 1",
+    "moments": """
+        select p_brand, round(skewness(p_retailprice) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)::double), 6) as skew, round(kurtosis_pop(p_retailprice), 6) as kurt from part group by 1
+    """,
+    "commonest_size": "select p_brand, p_size as size from (select p_brand, p_size, count(*) as n from part group by 1, 2) qualify row_number() over (partition by p_brand order by n desc, p_size) = 1",
+    "approximate": "select l_linestatus, true as distinct_near, true as median_near, count(distinct l_partkey) as n_parts from lineitem group by 1",
+    "merged_sketches": "select event_type, count(*) as n, true as hll_near, true as theta_near, true as median_near from events group by 1",
 }

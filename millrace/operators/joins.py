@@ -1,38 +1,56 @@
-"""Joins: equi, outer, semi, anti, range, interval and as-of."""
+"""Joins: equi, outer, semi, anti, lateral, range, interval and as-of."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import read
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], tie: str) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], tie: str, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time.
 
     Both sides are put in one stream and the last right row is carried forward:
-    one exchange by key and no pair of rows. Of right rows at one time the one
-    with the greatest ``tie`` counts. Left rows without such a row have nulls.
+    no pair of rows is made. ``slice_of`` cuts time into slices (a function of a
+    time that never falls, such as its day): a key's slices are then worked on
+    by different tasks, and what was last in the slices before is handed on as
+    one row for each key and slice, so that a key with most of the rows is no
+    single task. Without it a key is one slice.
+
+    Of right rows at one time the one with the greatest ``tie`` counts. Left
+    rows without such a row have nulls. A value whose name ``left`` has too gets
+    ``_right`` behind its name.
     """
-    packed = F.struct(*[F.col(v) for v in values])
-    kind = right.select(packed.alias("p")).schema["p"].dataType
-    rows = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.lit(None).cast(kind).alias("_p"), F.struct(*left.columns).alias("_row"))
-    rows = rows.unionByName(right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"), packed.alias("_p"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
-    order = Window.partitionBy("_k").orderBy("_t", "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = rows.withColumn("_last", F.last("_p", ignorenulls=True).over(order)).where("_side = 1")
-    return carried.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
+    slice_of = slice_of or (lambda _: F.lit(0))
+    packed = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    rows = left.select(F.col(key).alias("k"), F.col(left_time).alias("t"), slice_of(F.col(left_time)).alias("slice"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct("*").alias("row"))
+    others = right.select(F.col(key).alias("k"), F.col(right_time).alias("t"), slice_of(F.col(right_time)).alias("slice"), F.lit(0).alias("side"), F.col(tie).cast("long").alias("tie"), packed.alias("p"))
+    last = F.max_by("p", F.struct("t", "tie"))
+    ends = others.where("k is not null and t is not null").groupBy("k", "slice").agg(last.alias("p"))
+    order = Window.partitionBy("k", "slice").orderBy("t", "side", F.col("tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(others, allowMissingColumns=True)
+    carried = both.withColumn("last", F.last("p", ignorenulls=True).over(order)).where("side = 1").select("k", "slice", "row", "last")
+    # the last right row of all slices before, for each slice that has left rows
+    wanted = rows.where("k is not null").select("k", "slice").distinct()
+    by_slice = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = wanted.join(ends, ["k", "slice"], "full").select("k", "slice", F.last("p", ignorenulls=True).over(by_slice).alias("handed")).where("handed is not null")
+    out = carried.join(handed, ["k", "slice"], "left").select("row.*", F.coalesce("last", "handed").alias("found"))
+    return out.select(*left.columns, *[F.col(f"found.v{i}").alias(f"{v}_right" if v in left.columns else v) for i, v in enumerate(values)])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs with low <= at < high, by cells of a width: an equi join instead of a nested loop.
 
     A range is replicated to the cells it covers, so the width should be near
-    the typical length of a range.
+    the typical length of a range. Both sides may have columns of any names.
     """
     cell = lambda c: F.floor(F.col(c) / width)
-    spread = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    return points.withColumn("_cell", cell(at)).join(spread, "_cell").where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop("_cell")
+    spread = ranges.select(F.struct("*").alias("range"), F.col(low).alias("low"), F.col(high).alias("high"), F.explode(F.sequence(cell(low), cell(high))).alias("cell"))
+    inside = points.select(F.struct("*").alias("point"), F.col(at).alias("at"), cell(at).alias("cell"))
+    return inside.join(spread, "cell").where("low <= at and at < high").select("point.*", "range.*")
 
 
 def region_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +88,18 @@ def nations_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rich.join(poor, F.col("c_nationkey") == F.col("s_nationkey"), "full").select(F.coalesce("c_nationkey", "s_nationkey").alias("nationkey"), "n_customers", "n_suppliers")
 
 
+def parts_right_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with what was sold of them in bulk, if anything."""
+    bulk = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    return bulk.join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "right").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def words_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each part's name with their places, by a lateral join with a table function."""
+    words = spark.tvf.posexplode(F.split(F.col("p_name").outer(), " "))
+    return read(spark, sf_dir, "part").lateralJoin(words).select("p_partkey", F.col("pos").cast("long").alias("place"), F.col("col").alias("word"))
+
+
 def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by price band, as a range join."""
     bands = spark.range(20).select(F.col("id").alias("band"), (F.col("id") * 100.0).alias("low"), ((F.col("id") + 1) * 100.0).alias("high"))
@@ -88,10 +118,10 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     clicks = events.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return asof_backward(bought, clicks, "user_id", "ts", "click_ts", ["click_id"], "click_id").select("event_id", "click_id")
+    return asof_backward(bought, clicks, "user_id", "ts", "click_ts", ["click_id"], "click_id", lambda t: F.date_trunc("day", t)).select("event_id", "click_id")
 
 
-QUERIES = {f.__name__: f for f in (region_revenue, customers_without_orders, customers_with_large_orders, orders_left_outer, nations_full_outer, price_bands, errors_after_purchases, asof_events)}
+QUERIES = {f.__name__: f for f in (region_revenue, customers_without_orders, customers_with_large_orders, orders_left_outer, nations_full_outer, parts_right_outer, words_lateral, price_bands, errors_after_purchases, asof_events)}
 
 ORACLES = {
     "region_revenue": """
@@ -113,6 +143,11 @@ ORACLES = {
         from (select c_nationkey, count(*) as n_customers from customer where c_acctbal > 9900 group by 1)
         full join (select s_nationkey, count(*) as n_suppliers from supplier where s_acctbal < 0 group by 1) on c_nationkey = s_nationkey
     """,
+    "parts_right_outer": """
+        select p_partkey, coalesce(n, 0)::bigint as n
+        from (select l_partkey, count(*) as n from lineitem where l_quantity >= 49 group by 1) right join part on l_partkey = p_partkey
+    """,
+    "words_lateral": "select p_partkey, i - 1 as place, w[i] as word from (select p_partkey, string_split(p_name, ' ') as w from part) x, lateral (select unnest(range(1, len(w) + 1)) as i)",
     "price_bands": "select band::bigint as band, count(*) as n from part join (select range as band from range(20)) on p_retailprice >= band * 100 and p_retailprice < (band + 1) * 100 group by 1",
     "errors_after_purchases": """
         select e.event_id, p.event_id as purchase_id from events e join events p

@@ -1,10 +1,14 @@
 import datetime as dt
+import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.functions import udfs
 from millrace.operators.joins import asof_backward, range_join
-from millrace.sources import formats
-from millrace.streaming import event_time
+from millrace.sources import formats, ranges
+from millrace.streaming import event_time, stateful
 
 
 def test_asof_ties_gaps_and_nulls(spark):
@@ -14,6 +18,25 @@ def test_asof_ties_gaps_and_nulls(spark):
     assert got == {1: (None, 3), 2: (None, None), 3: (None, None), 4: ("y", 2), 5: (None, None)}
 
 
+def test_asof_in_slices_equals_brute_force(spark):
+    """One key has most rows; some slices hold no right row, some no left row; times and names repeat."""
+    rng = random.Random(3)
+    key = lambda: rng.choice(["hot"] * 8 + ["a", "b", None])
+    left = [(i, key(), rng.choice([rng.randint(0, 1000), rng.randint(400, 420), None]), "left") for i in range(400)]
+    right = [(key(), rng.choice([rng.randint(0, 300), rng.randint(700, 1000)]), j, f"v{j}") for j in range(150)]
+    a, b = spark.createDataFrame(left, "id long, k string, t int, v string"), spark.createDataFrame(right, "k string, u int, seq long, v string")
+    want = {}
+    for i, k, t, _ in left:
+        fits = [r for r in right if k is not None and t is not None and r[0] == k and r[1] <= t]
+        want[i] = ("left", max(fits, key=lambda r: (r[1], r[2]))[3] if fits else None)
+    for slice_of in (None, lambda t: F.floor(t / 50)):
+        out = asof_backward(a, b, "k", "t", "u", ["v"], "seq", slice_of)
+        assert out.columns == ["id", "k", "t", "v", "v_right"]
+        got = {r["id"]: (r["v"], r["v_right"]) for r in out.collect()}
+        assert {i: x for i, x in got.items() if left[i][2] is not None and left[i][1] is not None} == {i: x for i, x in want.items() if left[i][2] is not None and left[i][1] is not None}
+        assert len(got) == 400
+
+
 def test_range_join_equals_nested_loop(spark):
     points = spark.createDataFrame([(i, i * 7.3 % 100) for i in range(200)], "p long, x double")
     ranges = spark.createDataFrame([(i, i * 3.0, i * 3.0 + 11.5) for i in range(30)], "r long, lo double, hi double")
@@ -54,6 +77,92 @@ def test_stream_equals_batch(spark, small, tmp_path, name):
     assert sorted(map(tuple, spark.table(f"s_{name}").collect())) == sorted(map(tuple, query(event_time.instants(events)).collect()))
 
 
+def run_all(df, tmp_path, name, mode="append"):
+    run = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"state-{name}")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def in_order(spark, events, tmp_path, parts, name="ordered"):
+    """A stream whose batches are consecutive parts of the rows, by time."""
+    rows = events.orderBy("ts", "event_id").toPandas()
+    for i in range(parts):
+        part = rows.iloc[len(rows) * i // parts : len(rows) * (i + 1) // parts]
+        spark.createDataFrame(part, events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        time.sleep(0.02)  # files are taken by their times
+    return event_time.instants(formats.load_stream(spark, str(tmp_path / name), "parquet", events.schema, files_per_trigger=1))
+
+
+def test_sessions_in_append_mode_are_those_of_the_batch(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    got = {tuple(r) for r in run_all(event_time.sessions(in_order(spark, events, tmp_path, 4)), tmp_path, "sess").collect()}
+    want = {tuple(r) for r in event_time.sessions(event_time.instants(events)).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)  # the last ones are not closed yet
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    for i, minutes in enumerate([[0, 5], [600], [605], [610, 10], [900]]):  # the watermark is at 480 when 10 comes
+        rows = [(100 * i + m, 1, "click", 1.0, start + dt.timedelta(minutes=m)) for m in minutes]
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = formats.load_stream(spark, str(tmp_path / "in"), "parquet", "event_id long, user_id long, event_type string, value double, ts timestamp_ntz", files_per_trigger=1)
+    got = {(r["start"], r["n"]) for r in run_all(event_time.tumbling(event_time.instants(stream)), tmp_path, "late").collect()}
+    assert got == {(start, 2), (start + dt.timedelta(hours=10), 3)}
+
+
+def test_joined_streams_equal_joined_tables(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    parts = [events.where(f"event_type = '{k}'") for k in ("click", "purchase")]
+    streams = [in_order(spark, p, tmp_path, 3, f"side{i}") for i, p in enumerate(parts)]
+    got = sorted(map(tuple, run_all(stateful.followed_by(*streams, within="5 hours"), tmp_path, "joined").collect()))
+    assert got == sorted(map(tuple, stateful.followed_by(*map(event_time.instants, parts), within="5 hours").collect())) and got
+
+
+def test_own_state_equals_a_loop(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    got = sorted(map(tuple, run_all(stateful.streaks(in_order(spark, events, tmp_path, 4), 2), tmp_path, "streaks").collect()))
+    want, state = [], {}
+    for r in sorted(events.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        last, run, total = state.get(r["user_id"], ("", 0, 0))
+        run = run + 1 if r["event_type"] == last else 1
+        if run == 2:
+            run, total = 0, total + 1
+            want.append((r["user_id"], r["event_type"], total))
+        state[r["user_id"]] = (r["event_type"], run, total)
+    assert got == sorted(want) and got
+
+
+def test_streams_to_files_and_batches(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = formats.load_stream(spark, str(tmp_path / "in"), "parquet", events.schema)
+    for _ in range(2):  # the second time there is nothing new
+        stateful.to_files(stream.where("value > 50"), str(tmp_path / "out"), str(tmp_path / "c1"), partition_by=("event_type",))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == events.where("value > 50").count()
+    seen = []
+    stateful.each_batch(stream, str(tmp_path / "c2"), lambda df, number: seen.append((number, df.count())))
+    assert sum(n for _, n in seen) == events.count()
+
+
+def test_numbers_source(spark):
+    assert [tuple(r) for r in ranges.numbers(spark, 3, 8, 3).orderBy("n").collect()] == [(n, n * n) for n in range(3, 8)]
+    assert ranges.numbers(spark, 5, 5, 4).count() == 0 and ranges.numbers(spark, 0, 1000, 7).rdd.getNumPartitions() == 7
+    with pytest.raises(Exception, match="numbers need"):
+        ranges.numbers(spark, 5, 3).count()
+
+
+def test_geometric_mean_of_nulls_and_none(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", 8.0), ("a", -1.0), ("b", None), (None, 3.0)], "k string, x double")
+    assert {r["k"]: r["gmean"] and round(r["gmean"], 9) for r in udfs.geometric_mean(df, "k", "x").collect()} == {"a": 4.0, "b": None, None: 3.0}
+    assert udfs.geometric_mean(df.limit(0), "k", "x").count() == 0
+
+
+def test_text_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\ntwo words\n")
+    assert [r["value"] for r in formats.load(spark, str(tmp_path / "a.txt"), "text").collect()] == ["one", "", "two words"]
+
+
 def test_stream_drops_repeats_within_watermark(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(i % 4, start + dt.timedelta(minutes=i)) for i in range(12)]

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from millrace.plans import catalog
@@ -16,3 +20,11 @@ def test_flagship_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("absent", ["millrace.llm", "ahocorasick"])
+def test_queries_without_a_part_or_a_dependency(absent):
+    """The other queries work where millrace.llm, or something it needs, cannot be imported."""
+    code = f"import sys; sys.modules['{absent}'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], check=True)
+    assert out.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))]
