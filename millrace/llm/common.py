@@ -14,7 +14,7 @@ _written: list[tuple[SparkSession, str]] = []
 _own_dir: str | None = None
 
 #: A key with at least one HOT-th of the rows is hot; there are HOT hot keys at most.
-HOT = 1_000
+HOT = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,13 +92,19 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: in
     key, ``total`` in all. The keys with a HOT-th of them or more, HOT at most,
     are sent to all tasks, so their rows stay where they are; the other rows
     are shuffled by key. A null key has no partner and is not shuffled either.
+    ``keyed`` is written first unless it is a table of :func:`cut`.
     """
+    keyed = keyed if hasattr(keyed, "_millrace_path") else cut(keyed, "keyed")
     is_hot = F.col(weight) * F.lit(HOT) >= F.lit(total)
-    hot, cold = keyed.where(is_hot).drop(weight), keyed.where(~is_hot).drop(weight)
     some = rows.where(F.col(key).isNotNull())
-    out = some.join(F.broadcast(hot), key).unionByName(some.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+    if keyed.where(is_hot).isEmpty():
+        out = some.join(keyed.drop(weight), key, how)
+    else:
+        hot, cold = keyed.where(is_hot).drop(weight), again(keyed).where(~is_hot).drop(weight)
+        known = some.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+        out = known.where("is_hot").drop("is_hot").unionByName(known.where("is_hot is null").select(*rows.columns).join(cold, key, how))
     if how == "left":
-        alone = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in cold.schema if f.name != key])
+        alone = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema if f.name not in (key, weight)])
         out = out.unionByName(alone)
     return out
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, release
+from .common import again, cut, join_hot, release
 
 
 def _state(links: DataFrame) -> tuple:
@@ -33,12 +33,12 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
-        large = join_hot(both.where("v > u"), least, "u", "k", 2 * state[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        lowest = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("k"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k"), "least")
+        large = cut(join_hot(both.where("v > u"), least, "u", "k", 2 * state[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large-star")
+        lowest = cut(again(large).groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("k")), "lowest")
         small = join_hot(large, lowest, "b", "k", state[0]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         following = cut(small, "links")
-        release(now)
+        release(now, least, large, lowest)
         now, before = following, state
         state = _state(now)
         if state == before:
