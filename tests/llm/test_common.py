@@ -10,7 +10,7 @@ from millrace.llm import common
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("hot", [2, 1000])
+@pytest.mark.parametrize("hot", [1, 2, 1000])
 def test_join_hot_is_a_join(spark, monkeypatch, how, hot):
     """A hot key, cold ones, keys without a partner, null keys and repeated rows."""
     monkeypatch.setattr(common, "HOT", hot)
