@@ -36,6 +36,16 @@ def test_held_out_accuracy(module, label, least, documents, labels):
     assert sum(own) / len(own) >= least
 
 
+@pytest.mark.parametrize(("module", "label", "recall", "precision"), [(quality_classifier, "quality", 0.99, 0.99), (toxicity, "toxic", 0.88, 0.99)])
+def test_held_out_recall_and_precision(spark, module, label, recall, precision):
+    """On the 825 held-out labels of the largest test folder."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r["predicted"] for r in module.classify(docs, marks).where("held_out").collect()}
+    pairs = [(r[label], got[r["doc_id"]]) for r in marks.collect() if r["doc_id"] in got]
+    hits = sum(y and p for y, p in pairs)
+    assert hits >= recall * sum(y for y, _ in pairs) and hits >= precision * sum(p for _, p in pairs)
+
+
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_classify_edges(module, edges, empty, documents, labels, spark):
     got = module.classify(edges, labels).collect()
