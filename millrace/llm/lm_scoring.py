@@ -54,7 +54,7 @@ BATCH, HELD = 500_000, 2_000_000
 #: Words whose counts are sent to all executors, at most; 16 bytes each.
 FREQUENT = 1 << 19
 #: Outcomes of a decision about a word, the last being any rarer one, and decisions at most.
-FAN, LEVELS = 16, 4
+FAN, LEVELS = 16, 3
 #: Bits of the number of rows of the decisions' features: one row for so many training tokens, within limits.
 ROW_BITS, TOKENS_A_ROW = (10, 16), 64
 #: Tokens that decisions are made for together, and numbers that are added up together.
@@ -168,15 +168,16 @@ class Chain:
         return out / np.float32(math.log(10))
 
     def gradients(self, weights: np.ndarray, out: np.ndarray, *tokens: np.ndarray) -> None:
-        """Adds counts of outcomes to ``out``, of (found or expected, outcome, row)."""
+        """Adds counts of outcomes to ``out``, of (found or expected, row, outcome)."""
         for _, rows, outcome, _, e in self.decisions(weights, *tokens):
             e /= np.einsum("nk->n", e)[:, None]
             for row in rows:
-                np.add.at(out[0].ravel(), outcome * out.shape[2] + row, np.float32(1))
-            expected = np.ascontiguousarray(e.T)
-            for k in range(FAN):
-                for row in rows:
-                    np.add.at(out[1, k], row, expected[k])
+                order = np.argsort(row.astype(np.uint16), kind="stable")  # a radix sort for numbers of 16 bits
+                found = row[order]
+                start = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+                out[1][found[start]] += np.add.reduceat(np.take(e, order, axis=0), start, axis=0)
+                cell, times = np.unique(found * FAN + outcome[order], return_counts=True)
+                out[0].ravel()[cell] += times
 
 
 def chain(words: DataFrame, mass: np.ndarray, tokens: int, levels: int = LEVELS) -> Chain:
@@ -232,7 +233,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, links: Broadcast, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in ``docs(text)``, as found and as the weights expect them: (both, feature, class) and (both, outcome, row).
+    """Counts in ``docs(text)``, as found and as the weights expect them: (both, feature, class) and (both, row, outcome).
 
     Every task hands on its sums, in pieces of one size; pieces of up to 1,024
     tasks are added up together, and then the sums of those.
@@ -242,7 +243,7 @@ def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, links: Br
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights_, bias_, inner_ = sent.value
-        outer, within = np.zeros((2, _ROWS, CLASSES), np.float32), np.zeros((2, *inner_.T.shape), np.float32)
+        outer, within = np.zeros((2, _ROWS, CLASSES), np.float32), np.zeros((2, *inner_.shape), np.float32)
         some = False
         for b in batches:
             for _, part in _batches(b.column(0)):
@@ -279,7 +280,7 @@ def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, links: Br
         for k, v in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
             both[k : k + len(v)] = v.values.to_numpy()
     sent.destroy()
-    return both[:outer_size].reshape(2, _ROWS, CLASSES), both[outer_size:].reshape(2, *inner.T.shape)
+    return both[:outer_size].reshape(2, _ROWS, CLASSES), both[outer_size:].reshape(2, *inner.shape)
 
 
 def train(docs: DataFrame, bias: np.ndarray, links: Broadcast, rounds: int = ROUNDS, epochs: int = 1, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +296,7 @@ def train(docs: DataFrame, bias: np.ndarray, links: Broadcast, rounds: int = ROU
         part = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(rounds)) == r % rounds)
         (found, expected), within = _gradients(part, weights, bias, links, inner)
         weights += np.clip((found - expected) / (expected + DAMPING), -0.99, 4.0) / _KINDS
-        inner += np.log((within[0] + DAMPING) / (within[1] + DAMPING)).T / 2
+        inner += np.log((within[0] + DAMPING) / (within[1] + DAMPING)) / 2
     return weights, inner
 
 
