@@ -54,15 +54,16 @@ def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("_at", F.sort_array(F.transform(again, lambda w: w["p"])))
     spans = F.transform("_at", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("_at", k + 1) - p, F.lit(5))))
     repeat = F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    step = step.select(
-        *[F.col("row").getField(c).alias(c) for c in df.columns if c not in made],
+    stats = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
     )
-    return step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    step = step.select("row", stats.alias("stats"))
+    failed = (F.col("stats.n_words") < 10) | (100 * F.col("stats.n_repeat_words") > 20 * F.col("stats.n_words"))
+    return step.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in made], "stats.*", failed.alias("base_failed"))
 
 
 def _normalised(line: Column) -> Column:
