@@ -1,6 +1,6 @@
 """The registered queries of the subpackage and their SQL."""
 
-from . import bpe, embedding_dedup, jaccard_join, lm_scoring, merkle, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
+from . import bpe, embedding_dedup, jaccard_join, lm_scoring, merkle, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op11_suffix_dedup": suffix_dedup.query,
     "op13_merkle": merkle.query,
 }
 
@@ -21,5 +22,6 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op6_jaccard_join": jaccard_join.ORACLE,
+    "op11_suffix_dedup": suffix_dedup.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }

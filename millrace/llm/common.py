@@ -69,6 +69,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """Like :func:`cut`, as a table in ``parts`` buckets of ``key``: grouping it by the key moves no row."""
+    spark = df.sparkSession
+    known = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{known}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(known)
+    _written.append((spark, path))
+    out = spark.table(known)
+    out._millrace_path, out._millrace_table = path, known
+    return out
+
+
 def again(df: DataFrame) -> DataFrame:
     """The table made by :func:`cut` read anew, so that it can be joined with itself."""
     out = df.sparkSession.read.schema(df.schema).parquet(df._millrace_path)
@@ -77,10 +89,12 @@ def again(df: DataFrame) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that no live DataFrame reads any more."""
+    """Delete tables made by :func:`cut` or :func:`cut_by` that no live DataFrame reads any more."""
     for df in frames:
         path = getattr(df, "_millrace_path", None)
         if path:
+            if hasattr(df, "_millrace_table"):
+                df.sparkSession.sql(f"drop table {df._millrace_table}")
             _delete(df.sparkSession, path)
             _written[:] = [x for x in _written if x[1] != path]
 
