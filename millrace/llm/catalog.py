@@ -1,6 +1,6 @@
 """The registered queries of the subpackage and their SQL."""
 
-from . import bpe, embedding_dedup, jaccard_join, lm_scoring, merkle, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity, url_filter
+from . import bpe, conversation_repair, embedding_dedup, jaccard_join, lm_scoring, merkle, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.query,
     "op10_lm_scoring": lm_scoring.query,
     "op11_suffix_dedup": suffix_dedup.query,
+    "op12_conversation_repair": conversation_repair.query,
     "op13_merkle": merkle.query,
 }
 
