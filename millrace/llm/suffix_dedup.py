@@ -24,7 +24,6 @@ however common, makes a bucket large.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -44,6 +43,7 @@ SLOT, PIECE, BUCKET = 4 << 20, 1 << 20, 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _R29, _R32 = np.uint64(29), np.uint64(32)
 _MESSAGE = "slot long, bucket long, payload binary"
+#: What a group of texts keeps for its next round, sent to itself through buckets below zero.
 _PICKED, _LEFT, _GONE = -1, -2, -3
 
 
@@ -65,6 +65,11 @@ def _mixed(buffer: bytes, at: np.ndarray, length: int, wide: bool) -> tuple[np.n
     return a, ((b * _ODD[0]) >> _R32).astype(np.uint32) if wide else None
 
 
+def _bucket(a: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the upper half of names, so that names in order have their buckets in order."""
+    return ((a >> _R32) * np.uint64(buckets)) >> _R32
+
+
 class Texts:
     """The picked texts of a group, one after the other by document."""
 
@@ -79,32 +84,24 @@ class Texts:
         sizes = np.array([len(x) for x in bodies], np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.docs, self.sizes = doc[take], sizes
-
-    def _piece(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, at, "right")
+        self.docs = doc[take]
+        self.piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)  # of each byte
+        self.rest = (np.repeat(self.ends, sizes) - np.arange(len(self.buffer))).astype(np.int32)  # bytes of the piece from each byte on
 
     def doc(self, at: np.ndarray) -> np.ndarray:
-        return self.docs[self._piece(at)]
-
-    def samples(self) -> tuple[np.ndarray, int]:
-        """Sampled places that have enough bytes after them, and how many bytes that is."""
-        gram = self.length - V + 1
-        base = np.arange(0, len(self.buffer), V)
-        at = (base[:, None] + np.array(COVER)).ravel()
-        at = at[at < len(self.buffer)]
-        return at[self.ends[self._piece(at)] - at >= gram] if len(at) else at, gram
+        return self.docs[self.piece[at]]
 
     def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled places and their short names, bucket first."""
-        at, gram = self.samples()
+        """Sampled places that have enough bytes after them, and their short names, bucket first."""
+        gram = self.length - V + 1
+        at = np.concatenate([np.arange(r, len(self.buffer), V) for r in COVER])
+        at = at[self.rest[at] >= gram]
         h, _ = _mixed(self.buffer, at, gram, False)
-        return at, ((h >> _R32) % np.uint64(buckets)) << _R32 | (h & np.uint64(0xFFFFFFFF))
+        return at, _bucket(h, buckets) << _R32 | (h & np.uint64(0xFFFFFFFF))
 
     def around(self, at: np.ndarray) -> np.ndarray:
         """Which places have all bytes about them that a window over them may hold."""
-        piece = self._piece(at)
-        return (at - self.starts[piece] >= V - 1) & (self.ends[piece] - at >= self.length)
+        return (at - self.starts[self.piece[at]] >= V - 1) & (self.rest[at] >= self.length)
 
 
 class Names:
@@ -112,14 +109,13 @@ class Names:
 
     def __init__(self, texts: Texts, at: np.ndarray, back: int, buckets: int):
         a, b = _mixed(texts.buffer, at - back, texts.length + back, True)
-        bucket = a % np.uint64(buckets)
-        order = np.lexsort((a, bucket))
-        order, fresh = _grouped(order, a, b, lambda: np.lexsort((b, a, bucket)))
+        order, fresh = _grouped(a, b)
         self.group = np.empty(len(at), np.int64)
         self.group[order] = np.cumsum(fresh) - 1
         first = order[fresh]
         self.doc = texts.doc(at)
-        self.a, self.b, self.bucket, self.least = a[first], b[first], bucket[first].astype(np.int64), self.doc[first]
+        self.a, self.b, self.bucket = a[first], b[first], _bucket(a[first], buckets).astype(np.int64)
+        self.least = np.minimum.reduceat(self.doc[order], np.flatnonzero(fresh)) if len(at) else self.doc
 
     def messages(self, slot: int) -> list[tuple[int, int, bytes]]:
         return [(slot, k, _packed(self.a[i:j], self.b[i:j], self.least[i:j])) for k, i, j in _runs(self.bucket)]
@@ -129,11 +125,12 @@ class Names:
         return _bits(self.bucket, replies)[self.group] | (self.doc > self.least[self.group])
 
 
-def _grouped(order: np.ndarray, a: np.ndarray, b: np.ndarray, exact: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order, or the exact one where 64 bits did not tell names apart, and where a new name begins."""
+def _grouped(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of names in which equal ones are neighbours, and where a new name begins."""
+    order = np.argsort(a)
     same = a[order][1:] == a[order][:-1]
-    if (b[order][1:] != b[order][:-1])[same].any():
-        order = exact()
+    if (b[order][1:] != b[order][:-1])[same].any():  # 64 bits did not tell names apart
+        order = np.lexsort((b, a))
         same = a[order][1:] == a[order][:-1]
     same &= b[order][1:] == b[order][:-1]
     return order, np.concatenate([np.ones(min(1, len(order)), bool), ~same])
@@ -170,13 +167,17 @@ def _squeezed(bits: np.ndarray) -> bytes:
     return zlib.compress(np.packbits(bits).tobytes(), 1)
 
 
+def _kept(slot: int, kind: int, payload: bytes) -> tuple[int, int, bytes]:
+    return slot, kind - 3 * slot, payload
+
+
 def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     slot, bucket, payload = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table([pa.array(slot, pa.int64()), pa.array(bucket, pa.int64()), pa.array(payload, pa.binary())], ["slot", "bucket", "payload"])
 
 
 def _received(messages: pa.Table) -> dict[int, bytes]:
-    return dict(zip(messages.column("bucket").to_pylist(), messages.column("payload").to_pylist(), strict=True))
+    return {k if k >= 0 else -1 - (-1 - k) % 3: p for k, p in zip(messages.column("bucket").to_pylist(), messages.column("payload").to_pylist(), strict=True)}
 
 
 def _opened(pieces: pa.Table, messages: pa.Table, length: int) -> tuple[int, Texts, dict[int, bytes]]:
@@ -193,18 +194,21 @@ def _sample(buckets: int, length: int):
         if not len(picked) or not len(pieces):
             return _table([])
         slot, texts = pieces.column("slot")[0].as_py(), Texts(pieces, picked, length)
-        found = np.unique(texts.keys(buckets)[1])
+        found = np.sort(texts.keys(buckets)[1])
+        found = found[np.append(True, found[1:] != found[:-1])[: len(found)]]
         rows = [(slot, k, found[i:j].astype("<u4").tobytes()) for k, i, j in _runs((found >> _R32).astype(np.int64))]
-        return _table([*rows, (slot, _PICKED, picked.astype("<i8").tobytes())])
+        return _table([*rows, _kept(slot, _PICKED, picked.astype("<i8").tobytes())])
 
     return run
 
 
 def _twice(names: pa.Table) -> pa.Table:
     """In a bucket: which short names come from two groups of texts."""
+    if names.column("bucket")[0].as_py() < 0:
+        return names
     parts = [np.frombuffer(p, "<u4") for p in names.column("payload").to_pylist()]
     every = np.sort(np.concatenate(parts))
-    again = np.unique(every[1:][every[1:] == every[:-1]])
+    again = every[1:][every[1:] == every[:-1]]
     rows = []
     for slot, bucket, mine in zip(names.column("slot").to_pylist(), names.column("bucket").to_pylist(), parts, strict=True):
         hit = np.zeros(len(mine), bool) if not len(again) else again[np.minimum(np.searchsorted(again, mine), len(again) - 1)] == mine
@@ -215,9 +219,11 @@ def _twice(names: pa.Table) -> pa.Table:
 
 def _earliest(names: pa.Table) -> pa.Table:
     """In a bucket: which long names an earlier document of another group of texts has too."""
+    if names.column("bucket")[0].as_py() < 0:
+        return names
     parts = [_unpacked(p) for p in names.column("payload").to_pylist()]
     a, b, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, fresh = _grouped(np.argsort(a, kind="stable"), a, b, lambda: np.lexsort((b, a)))
+    order, fresh = _grouped(a, b)
     least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     hit = np.empty(len(a), bool)
     hit[order] = least < doc[order]
@@ -233,9 +239,11 @@ def _earliest(names: pa.Table) -> pa.Table:
 def _left(texts: Texts, got: dict[int, bytes], buckets: int) -> np.ndarray:
     """Places of samples whose short name occurs twice."""
     at, key = texts.keys(buckets)
-    found, counts = np.unique(key, return_counts=True)
-    found = found[_bits((found >> _R32).astype(np.int64), got) | (counts > 1)]
-    return at[np.isin(key, found)]
+    order = np.argsort(key)
+    fresh = np.concatenate([np.ones(min(1, len(key)), bool), key[order][1:] != key[order][:-1]])
+    first = np.flatnonzero(fresh)
+    found = _bits((key[order[first]] >> _R32).astype(np.int64), got) | (np.diff(np.append(first, len(key))) > 1)
+    return np.sort(at[order[found[np.cumsum(fresh) - 1]]])
 
 
 def _around(buckets: int, length: int):
@@ -247,7 +255,7 @@ def _around(buckets: int, length: int):
             return _table([])
         left = _left(texts, got, buckets)
         names = Names(texts, left[texts.around(left)], V - 1, buckets)
-        return _table([*names.messages(slot), (slot, _PICKED, got[_PICKED]), (slot, _LEFT, zlib.compress(left.astype("<i4").tobytes(), 1))])
+        return _table([*names.messages(slot), _kept(slot, _PICKED, got[_PICKED]), _kept(slot, _LEFT, zlib.compress(left.astype("<i4").tobytes(), 1))])
 
     return run
 
@@ -271,11 +279,10 @@ def _merge(buckets: int, length: int):
         known = whole[Names(texts, whole, V - 1, buckets).earlier(got)]
         gone = _spread(n, known - V + 1, V)
         open_ = np.flatnonzero(_spread(n, left - V + 1, V) & ~gone)
-        piece = texts._piece(open_)
-        open_ = open_[texts.ends[piece] - open_ >= length]
+        open_ = open_[texts.rest[open_] >= length]
         is_open = np.zeros(n, bool)
         is_open[open_] = True
-        return _table([*Names(texts, open_, 0, buckets).messages(slot), (slot, _PICKED, got[_PICKED]), (slot, _LEFT, _squeezed(is_open)), (slot, _GONE, _squeezed(gone))])
+        return _table([*Names(texts, open_, 0, buckets).messages(slot), _kept(slot, _PICKED, got[_PICKED]), _kept(slot, _LEFT, _squeezed(is_open)), _kept(slot, _GONE, _squeezed(gone))])
 
     return run
 
@@ -354,17 +361,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, slot: int = SLOT, piece: int
     picks = groups.select("uid", numbers.alias("no")).select(slot_of, "uid")
     bodies = texts.select("slot", "uid", "no", "doc", "n_bytes", "body").groupBy("slot")
 
-    def in_texts(f, messages: DataFrame, name: str, schema: str = _MESSAGE) -> DataFrame:
-        return cut(bodies.cogroup(messages.groupBy("slot")).applyInArrow(f, schema), name)
-
-    def with_replies(sent: DataFrame, f) -> DataFrame:
-        replies = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(f, _MESSAGE)
-        return replies.unionByName(sent.where("bucket < 0"))
+    def exchanged(f, messages: DataFrame, answer, name: str) -> DataFrame:
+        """What a round in the texts sends, answered in the buckets; only the answers are written."""
+        sent = bodies.cogroup(messages.groupBy("slot")).applyInArrow(f, _MESSAGE)
+        return cut(sent.groupBy("bucket").applyInArrow(answer, _MESSAGE), name)
 
-    samples = in_texts(_sample(buckets, length), picks, "samples")
-    around = in_texts(_around(buckets, length), with_replies(samples, _twice), "around")
-    windows = in_texts(_merge(buckets, length), with_replies(around, _earliest), "windows")
-    gone = in_texts(_remove(buckets, length, piece), with_replies(windows, _earliest), "gone", "uid long, no long, n_bytes long, starts array<long>, lengths array<long>, kept binary")
+    samples = exchanged(_sample(buckets, length), picks, _twice, "samples")
+    around = exchanged(_around(buckets, length), samples, _earliest, "around")
+    windows = exchanged(_merge(buckets, length), around, _earliest, "windows")
+    gone = cut(bodies.cogroup(windows.groupBy("slot")).applyInArrow(_remove(buckets, length, piece), "uid long, no long, n_bytes long, starts array<long>, lengths array<long>, kept binary"), "gone")
     release(samples, around, windows, texts)
     long_ones = gone.where(F.col("n_bytes") > piece).groupBy("uid").applyInPandas(_joined, "uid long, starts array<long>, lengths array<long>, kept binary")
     found = gone.where(F.col("n_bytes") <= piece).select("uid", "starts", "lengths", "kept").unionByName(long_ones)
