@@ -5,7 +5,8 @@ automaton. A piece of text is walked once to find the longest token that starts
 at each byte; the encoder then takes longest tokens from the left and goes back
 to a shorter one wherever two neighbours could not stand side by side in the
 result of the merges. That test depends on the two tokens alone, so it is
-memoised, each position is given up at most once, and a piece takes linear
+memoised, each position is given up at most once, and searches for longest
+tokens begin in windows of a fixed size, so a piece of any length takes linear
 time while the ids equal those of the merges by rank.
 
 Words recur, so results are kept by chunk of text (from one plain space to the
@@ -30,6 +31,8 @@ from .common import table
 
 #: Entries held by the new and by the old half of each of a worker's caches.
 CACHE = 450_000
+#: Longest tokens that fit in the text that one search for longest tokens gets.
+WINDOW = 4
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -69,6 +72,7 @@ class Merges:
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.lengths = [len(t) for t in tokens]
+        self.most = max(self.lengths, default=1)
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
             self.automaton.add_word(t.decode("latin-1"), i)
@@ -132,8 +136,11 @@ class Merges:
         if whole is not None:
             return [whole]
         lengths, shorter, fits, compatible = self.lengths, self.shorter, self.fits, self.compatible
-        n, mapped, longest = len(piece), piece.decode("latin-1"), self.automaton.iter_long
-        ahead = longest(mapped)  # longest tokens from a position on, each beginning where the last ends
+        n, mapped, longest, most = len(piece), piece.decode("latin-1"), self.automaton.iter_long, self.most
+        # longest tokens from a position on, each beginning where the last ends; starting a search costs
+        # time in proportion to its text, so it gets a window, and those near the window's end are not used
+        reach = WINDOW * most
+        ahead, full = longest(mapped[:reach]), reach - most if reach < n else n
         out: list[int] = []
         dead = set()  # positions from which no compatible rest exists
         last, pos, token, aligned = -1, 0, next(ahead)[1], True
@@ -152,8 +159,9 @@ class Merges:
                 if end == n:
                     return out
                 last, pos = token, end
-                if not aligned:
-                    ahead, aligned = longest(mapped, pos), True
+                if not aligned or pos > full:
+                    ahead, aligned = longest(mapped[pos : pos + reach]), True
+                    full = pos + reach - most if pos + reach < n else n
                 token = next(ahead)[1]
             else:
                 dead.add(pos)
