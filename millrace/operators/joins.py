@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import read
+from .intervals import followed_within, range_join
 
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], tie: str, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -41,18 +42,6 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return out.select(*left.columns, *[F.col(f"found.v{i}").alias(f"{v}_right" if v in left.columns else v) for i, v in enumerate(values)])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= at < high, by cells of a width: an equi join instead of a nested loop.
-
-    A range is replicated to the cells it covers, so the width should be near
-    the typical length of a range. Both sides may have columns of any names.
-    """
-    cell = lambda c: F.floor(F.col(c) / width)
-    spread = ranges.select(F.struct("*").alias("range"), F.col(low).alias("low"), F.col(high).alias("high"), F.explode(F.sequence(cell(low), cell(high))).alias("cell"))
-    inside = points.select(F.struct("*").alias("point"), F.col(at).alias("at"), cell(at).alias("cell"))
-    return inside.join(spread, "cell").where("low <= at and at < high").select("point.*", "range.*")
-
-
 def region_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue of 1996 by region: filter on orders first, then the fact table, then dimensions."""
     orders = read(spark, sf_dir, "orders").where((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1997-01-01"))
@@ -107,10 +96,10 @@ def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def errors_after_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of a user in the hour after a purchase: an equi join with an interval."""
-    events = read(spark, sf_dir, "events")
-    bought = events.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("ts").alias("t0"), F.col("event_id").alias("purchase_id"))
-    return events.where("event_type = 'error'").join(bought, (F.col("user_id") == F.col("u")) & (F.col("ts") >= F.col("t0")) & (F.col("ts") < F.col("t0") + F.expr("interval 1 hour"))).select("event_id", "purchase_id")
+    """Errors of a user in the hour after a purchase: an equi join of key and cell of time."""
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    pairs = followed_within(events.where("event_type = 'purchase'"), events.where("event_type = 'error'"), "user_id", "1 hour")
+    return pairs.select(F.col("second_id").alias("event_id"), F.col("first_id").alias("purchase_id"))
 
 
 def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.intervals import followed_within
 from ..tables import read
 from .event_time import LATE, instants
 
@@ -18,11 +19,9 @@ def followed_by(first: DataFrame, second: DataFrame, key: str = "user_id", withi
 
     For streams both sides have watermarks and the time bound lets Spark drop
     state that nothing can meet any more. Columns: ``key``, ts, event_id.
+    Within a key only rows of near times meet; a null key or time meets nothing.
     """
-    a = first.withWatermark("ts", LATE).select(F.col(key).alias("a_key"), F.col("ts").alias("a_ts"), F.col("event_id").alias("first_id"))
-    b = second.withWatermark("ts", LATE).select(F.col(key).alias("b_key"), F.col("ts").alias("b_ts"), F.col("event_id").alias("second_id"))
-    near = (F.col("b_ts") >= F.col("a_ts")) & (F.col("b_ts") < F.col("a_ts") + F.expr(f"interval {within}"))
-    return a.join(b, (F.col("a_key") == F.col("b_key")) & near).select("first_id", "second_id")
+    return followed_within(first.withWatermark("ts", LATE), second.withWatermark("ts", LATE), key, within)
 
 
 def streaks(events: DataFrame, length: int = 3) -> DataFrame:
