@@ -10,9 +10,11 @@ The second factor is a chain of softmaxes (:class:`Chain`): the commonest words
 of a class or a rarer one; of the rarer ones the commonest or a still rarer one;
 and so on. Each decision starts from the counts and adds hashed features of the
 history: the word before (n-gram) and the word before that (skip), each with the
-class and the place in the chain. The words at its end share what is left by
-their counts, and one place among them is kept for all that training has not
-seen, so that probabilities of a history add up to one.
+class and the place in the chain. The words that are left, however many, are
+dealt to groups by hash, and the chain ends with such a decision between the
+groups. Words of a group share what is left by their counts, and one place in
+each group is kept for all that training has not seen, so that probabilities of
+a history add up to one.
 
 Counts come from all training texts. Feature weights are trained by gradient
 updates that cover all training texts once: each round's gradients are added up
@@ -53,7 +55,7 @@ DAMPING = 5.0
 BATCH, HELD = 500_000, 2_000_000
 #: Words whose counts are sent to all executors, at most; 16 bytes each.
 FREQUENT = 1 << 19
-#: Outcomes of a decision about a word, the last being any rarer one, and decisions at most.
+#: Outcomes of a decision about a word, the last being any rarer one, and decisions about single words; groups of the words that are left.
 FAN, LEVELS = 16, 3
 #: Bits of the number of rows of the decisions' features: one row for so many training tokens, within limits.
 ROW_BITS, TOKENS_A_ROW = (10, 16), 64
@@ -115,21 +117,27 @@ def contexts(hash_: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Chain:
-    """Words within their classes: ``FAN - 1`` of them to a decision, the commonest first.
+    """Words within their classes: ``FAN - 1`` of them to a decision, the commonest first, and the others by group.
 
-    ``top`` has (word, class, place among the words of the class, count);
-    ``mass`` is for each class the number of its tokens, and one more for each
-    of its words and for what is unknown.
+    Words come with their class, place among the words of the class, and count;
+    ``mass`` has for each class and group (the last bits of a word's hash) the
+    number of tokens and one more for each word. What is unknown adds one to a
+    class, an equal part to each of its groups.
     """
 
     def __init__(self, word: np.ndarray, class_: np.ndarray, place: np.ndarray, count: np.ndarray, mass: np.ndarray, levels: int, bits: int):
         order = np.argsort(word)
-        self.word, self.place, self.levels, self.bits = word[order], place[order], levels, bits
-        shares = np.zeros((CLASSES, levels, FAN))
+        self.word, self.place, self.levels, self.bits = word[order], place[order], levels + 1, bits
+        shares = np.zeros((CLASSES, levels + 1, FAN))
         shares[class_, place // (FAN - 1), place % (FAN - 1)] = count + 1.0
-        left = mass - np.cumsum(shares.sum(axis=2), axis=1).T  # after each decision
-        shares[:, :, -1] = np.maximum(left.T, 0)
-        self.decides = (shares[:, :, :-1].sum(axis=2) > 0).ravel() & (np.arange(CLASSES * levels) >= levels)  # the end is alone in its class
+        left = mass.sum(axis=1) + 1 - np.cumsum(shares[:, :-1].sum(axis=2), axis=1).T  # after each decision
+        shares[:, :-1, -1] = np.maximum(left.T, 0)
+        groups = mass + 1 / FAN
+        np.subtract.at(groups, (class_, (word % np.uint64(FAN)).astype(np.int64)), count + 1.0)
+        shares[:, -1] = np.maximum(groups, 1 / FAN)
+        some = shares[:, :, :-1].sum(axis=2) > 0
+        some[0] = False  # the end is alone in its class
+        self.decides = some.ravel()
         self.shares = (shares / np.maximum(shares.sum(axis=2, keepdims=True), 1)).reshape(-1, FAN).astype(np.float32)
 
     @staticmethod
@@ -142,7 +150,7 @@ class Chain:
         for a in range(0, len(hash_), PART):
             h, c = hash_[a : a + PART], class_[a : a + PART]
             history = mix(before[a : a + PART] + np.uint64(1)), mix(skip[a : a + PART] + np.uint64(2))
-            place = np.full(len(h), self.levels * (FAN - 1))
+            place = np.full(len(h), (self.levels - 1) * (FAN - 1))
             if len(self.word):
                 near = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
                 place = np.where(self.word[near] == h, self.place[near], place)
@@ -151,7 +159,7 @@ class Chain:
                 (at,) = np.nonzero(self.decides[node] & (place >= k * (FAN - 1)))
                 if not len(at):
                     continue
-                outcome = np.minimum(place[at] - k * (FAN - 1), FAN - 1)
+                outcome = np.minimum(place[at] - k * (FAN - 1), FAN - 1) if k < self.levels - 1 else (h[at] % np.uint64(FAN)).astype(np.int64)
                 own = mix(node[at].astype(np.uint64) + np.uint64(1))
                 rows = [(((x[at] ^ own) * odd) >> shift).astype(np.int64) for x in history]
                 total = np.take(weights, rows[0], axis=0)  # much faster than brackets, for whole rows
@@ -180,12 +188,15 @@ class Chain:
                 out[0].ravel()[cell] += times
 
 
-def chain(words: DataFrame, mass: np.ndarray, tokens: int, levels: int = LEVELS) -> Chain:
-    """The chain of ``words(word, class, c)``; a bounded number of words of each class comes to the driver."""
+def chain(words: DataFrame, tokens: int, levels: int = LEVELS) -> Chain:
+    """The chain of ``words(word, class, c)``; a bounded number of words of each class, and sums by group, come to the driver."""
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("c"), "word"))
-    top = words.withColumn("place", rank - 1).where(F.col("place") < levels * (FAN - 1)).toArrow()
+    top = words.withColumn("place", rank).where(F.col("place") <= levels * (FAN - 1)).toArrow()
+    mass = np.zeros((CLASSES, FAN))
+    for r in words.groupBy("class", F.col("word").bitwiseAND(F.lit(FAN - 1)).alias("group")).agg(F.sum(F.col("c") + 1).alias("n")).collect():
+        mass[r["class"], r["group"]] = r["n"]
     word, class_, place, count = (top[k].to_numpy() for k in ("word", "class", "place", "c"))
-    return Chain(word.astype(np.int64).view(np.uint64), class_.astype(np.int64), place.astype(np.int64), count, mass, levels, Chain.bits_of(tokens))
+    return Chain(word.astype(np.int64).view(np.uint64), class_.astype(np.int64), place.astype(np.int64) - 1, count, mass, levels, Chain.bits_of(tokens))
 
 
 def _batches(texts: pa.Array) -> Iterator[tuple[int, list]]:
@@ -329,7 +340,7 @@ def fit(training: DataFrame, rounds: int = ROUNDS, epochs: int = 1, levels: int
         n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
     total = int(n_class.sum())
     bias = np.log((n_class + 1) / (total + CLASSES)).astype(np.float32)
-    links = training.sparkSession.sparkContext.broadcast(chain(words, n_class + v_class + 1, total, levels))
+    links = training.sparkSession.sparkContext.broadcast(chain(words, total, levels))
     weights, inner = train(training, bias, links, rounds, epochs)
     return Model(words, n_class, v_class, bias, weights, links, inner)
 
@@ -401,14 +412,16 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUE
     joined = rows.select("u", F.explode("rare").alias("word")).join(words.select("word", "c"), "word")
     extra = joined.groupBy("u").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more_gain"), F.count("*").alias("more_known"))
     gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
+    n_known = F.col("known") + F.coalesce("more_known", F.lit(0))
+    unseen = F.col("n_tokens") - n_known if total else F.col("n_tokens") - 1  # each has one of its group's places; an end has no group
     return rows.drop("rare").join(extra, "u", "left").select(
         "doc_id",
         in_fold(F.col("doc_id"), folds, held).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        n_known.alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (gain - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (gain + F.col("model")).alias("score"),
+        (gain + F.col("model") - unseen * math.log10(FAN)).alias("score"),
     )
 
 

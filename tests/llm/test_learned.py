@@ -203,8 +203,8 @@ def test_words_of_a_class_depend_on_the_history():
     """Two words of one class, of equal counts, that only the word before tells apart; probabilities over the class sum to one."""
     rng = np.random.default_rng(3)
     hashes = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    mass = np.zeros(lm_scoring.CLASSES)
-    mass[5] = 40 * 301 + 1
+    mass = np.zeros((lm_scoring.CLASSES, lm_scoring.FAN))
+    np.add.at(mass[5], (hashes % np.uint64(lm_scoring.FAN)).astype(int), 301)
     n = 2 * (lm_scoring.FAN - 1)  # of 40 words 30 are told apart
     own = lm_scoring.Chain(hashes[:n], np.full(n, 5), np.arange(n), np.full(n, 300), mass, 2, 12)
     a, b = hashes[3], hashes[n - 2]
@@ -214,13 +214,13 @@ def test_words_of_a_class_depend_on_the_history():
     for _ in range(3):
         g = np.zeros((2, *weights.shape), np.float32)
         own.gradients(weights, g, word, np.full(600, 5), before, skip)
-        assert np.allclose(g[0].sum(axis=1), g[1].sum(axis=1), atol=1e-2) and np.isclose(g[0].sum(), 2 * (600 + 300))
+        assert np.allclose(g[0].sum(axis=1), g[1].sum(axis=1), atol=1e-2) and np.isclose(g[0].sum(), 2 * (600 + 300))  # both words within two decisions
         weights += np.log((g[0] + 5) / (g[1] + 5)) / 2
-    everything = np.append(hashes, np.uint64(99))  # and an unknown word
-    asked = [own.lifts(weights, everything, np.full(41, 5), np.full(41, np.uint64(h)), np.zeros(41, np.uint64)) for h in (11, 22)]
+    everything = np.append(hashes, np.arange(96, 112, dtype=np.uint64))  # and an unknown word of each group
+    asked = [own.lifts(weights, everything, np.full(56, 5), np.full(56, np.uint64(h)), np.zeros(56, np.uint64)) for h in (11, 22)]
     assert asked[0][3] > asked[0][n - 2] + 0.3 and asked[1][n - 2] > asked[1][3] + 0.3
     for lift in asked:
-        assert np.isclose((10.0**lift * np.append(np.full(40, 301), 1)).sum() / mass[5], 1, atol=1e-4)
+        assert np.isclose((10.0**lift * np.append(np.full(40, 301), np.full(16, 1 / 16))).sum() / (40 * 301 + 1), 1, atol=1e-4)
 
 
 def test_model_scores_by_brute_force(documents):
@@ -242,21 +242,29 @@ def test_model_scores_by_brute_force(documents):
         x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
         return x ^ x >> 31
 
+    def lifted(class_, level, before, skip):
+        row = [((mix((h + k) % (1 << 64)) ^ mix(class_ * (m.LEVELS + 1) + level + 1)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - own.bits) for h, k in ((before, 1), (skip, 2))]
+        return np.exp(model.inner[row[0]].astype(float) + model.inner[row[1]])
+
     def within(word, class_, before, skip):
         mass, p = sum(counts[w][1] + 1 for w in ranked.get(class_, [])) + 1, 1.0
-        for level in range(m.LEVELS if class_ else 0):
+        if not class_:
+            return (counts.get(word, (0, 0))[1] + 1) / mass
+        for level in range(m.LEVELS):
             mine = ranked.get(class_, [])[level * (m.FAN - 1) : (level + 1) * (m.FAN - 1)]
             if not mine:
                 break
             weight = [counts[w][1] + 1 for w in mine]
-            rest = mass - sum(weight)
-            row = [((mix((h + k) % (1 << 64)) ^ mix(class_ * m.LEVELS + level + 1)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - own.bits) for h, k in ((before, 1), (skip, 2))]
-            up = np.exp(model.inner[row[0]].astype(float) + model.inner[row[1]])
+            rest, up = mass - sum(weight), lifted(class_, level, before, skip)
             e = [x * u for x, u in zip(weight, up, strict=False)] + [rest * up[-1]]
             if word in mine:
                 return p * e[mine.index(word)] / sum(e)
             p, mass = p * e[-1] / sum(e), rest
-        return p * (counts.get(word, (0, 0))[1] + 1) / mass
+        groups = np.full(m.FAN, 1 / m.FAN)
+        for w in ranked.get(class_, [])[m.LEVELS * (m.FAN - 1) :]:
+            groups[w % m.FAN] += counts[w][1] + 1
+        e, g = groups * lifted(class_, m.LEVELS, before, skip), word % m.FAN
+        return p * e[g] / e.sum() * (counts[word][1] + 1 if word in counts else 1 / m.FAN) / groups[g]
 
     for r in rows[:4]:
         data = np.frombuffer((r["text"] or "").encode(), np.uint8)
@@ -270,7 +278,7 @@ def test_model_scores_by_brute_force(documents):
             total += math.log10(z[class_[i]] / z.sum() * within(int(hash_[i]), int(class_[i]), int(before[i]), int(skip[i])))
         assert np.isclose(total, got[r["doc_id"]]["score"], rtol=1e-4)
     for class_ in (1, 7, 30):
-        assert np.isclose(sum(within(w, class_, 12345, 678) for w in [*ranked.get(class_, []), 1]), 1)
+        assert np.isclose(sum(within(w, class_, 12345, 678) for w in [*ranked.get(class_, []), *range(16)]), 1)
 
 
 def test_scores_tell_words_of_a_class_apart(spark):
