@@ -20,6 +20,8 @@ SYMBOLS = r"[#*$%&|<>]"
 MAX_SHARE = 0.05
 #: and at least so many documents, below which a share says nothing.
 MIN_DOCS = 20
+#: or, whatever the host's size, at least so many documents hold it and it has at least so many characters, normalised.
+ENOUGH_DOCS, MIN_LENGTH = 5, 20
 #: A document is depleted if less than this share of its words' characters remains.
 MIN_LEFT = 0.3
 
@@ -136,7 +138,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(table(spark, sf_dir, "documents")).drop("cleaned", "left_share")
+    return apply_rules(table(spark, sf_dir, "documents"), enough_docs=ENOUGH_DOCS, min_length=MIN_LENGTH).drop("cleaned", "left_share")
 
 
 ORACLE = r"""
@@ -158,7 +160,7 @@ l as (
 c as (select source, line, count(distinct rn) as n_docs from l group by 1, 2),
 h as (select source, count(*) as host_docs from d group by 1),
 freq as (
-  select c.source, line from c join h on c.source is not distinct from h.source where n_docs >= 20 and n_docs > 0.05 * host_docs),
+  select c.source, line from c join h on c.source is not distinct from h.source where n_docs >= 20 and n_docs > 0.05 * host_docs or n_docs >= 5 and length(line) >= 20),
 gone as (
   select rn, count(*) as n, sum(l.n) as chars from l join freq on l.line = freq.line and l.source is not distinct from freq.source group by rn)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(gone.n, 0)::bigint as n_removed_lines,
