@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import table
+from .common import cut, join_hot, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,8 +83,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = asked.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
     rank = F.struct(F.length("key").alias("n"), -F.col("path_length"), "rule", "verdict")
-    best = hits.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.verdict")
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    whole = F.concat(F.length("host").cast("string"), F.lit(" "), "host", "path").alias("whole")
+    best = cut(hits.groupBy("host", "path").agg(F.max(rank).alias("best"), F.count("*").alias("k")).select(whole, "best.rule", "best.verdict", "k"), "best")
+    rows = best.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    return join_hot(urls.select("*", whole), best, "whole", "k", rows, "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
