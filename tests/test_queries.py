@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -28,3 +29,12 @@ def test_queries_without_a_part_or_a_dependency(absent):
     code = f"import sys; sys.modules['{absent}'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], check=True)
     assert out.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))]
+
+
+def test_queries_with_a_broken_dependency(tmp_path):
+    """A library whose own parts cannot be loaded raises ImportError as it stands."""
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('libmissing.so: cannot open shared object file')")
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = Path(__file__).resolve().parents[1]
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{root}"}, check=True)
+    assert out.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))]
