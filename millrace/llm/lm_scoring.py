@@ -56,7 +56,7 @@ BATCH, HELD = 500_000, 2_000_000
 #: Words whose counts are sent to all executors, at most; 16 bytes each.
 FREQUENT = 1 << 19
 #: Outcomes of a decision about a word, the last being any rarer one, and decisions about single words; groups of the words that are left.
-FAN, LEVELS = 16, 3
+FAN, LEVELS = 16, 2
 #: Bits of the number of rows of the decisions' features: one row for so many training tokens, within limits.
 ROW_BITS, TOKENS_A_ROW = (10, 16), 64
 #: Tokens that decisions are made for together, and numbers that are added up together.
@@ -121,8 +121,8 @@ class Chain:
 
     Words come with their class, place among the words of the class, and count;
     ``mass`` has for each class and group (the last bits of a word's hash) the
-    number of tokens and one more for each word. What is unknown adds one to a
-    class, an equal part to each of its groups.
+    number of tokens and one more for each word. What is unknown adds one to
+    each group.
     """
 
     def __init__(self, word: np.ndarray, class_: np.ndarray, place: np.ndarray, count: np.ndarray, mass: np.ndarray, levels: int, bits: int):
@@ -130,11 +130,11 @@ class Chain:
         self.word, self.place, self.levels, self.bits = word[order], place[order], levels + 1, bits
         shares = np.zeros((CLASSES, levels + 1, FAN))
         shares[class_, place // (FAN - 1), place % (FAN - 1)] = count + 1.0
-        left = mass.sum(axis=1) + 1 - np.cumsum(shares[:, :-1].sum(axis=2), axis=1).T  # after each decision
+        left = mass.sum(axis=1) + FAN - np.cumsum(shares[:, :-1].sum(axis=2), axis=1).T  # after each decision
         shares[:, :-1, -1] = np.maximum(left.T, 0)
-        groups = mass + 1 / FAN
+        groups = mass + 1.0
         np.subtract.at(groups, (class_, (word % np.uint64(FAN)).astype(np.int64)), count + 1.0)
-        shares[:, -1] = np.maximum(groups, 1 / FAN)
+        shares[:, -1] = np.maximum(groups, 1.0)
         some = shares[:, :, :-1].sum(axis=2) > 0
         some[0] = False  # the end is alone in its class
         self.decides = some.ravel()
@@ -373,7 +373,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUE
     top = chosen.select("word", "c").toArrow()
     hashes = np.asarray(top["word"].to_numpy(), dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    sent = spark.sparkContext.broadcast((hashes[order], np.asarray(top["c"].to_numpy(), dtype=np.int64)[order], model.weights, model.bias, np.log10(model.n_class + model.v_class + 1), model.inner))
+    sent = spark.sparkContext.broadcast((hashes[order], np.asarray(top["c"].to_numpy(), dtype=np.int64)[order], model.weights, model.bias, np.log10(model.n_class + model.v_class + np.where(np.arange(CLASSES) > 0, FAN, 1)), model.inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, w, bias_, size, inner_ = sent.value
@@ -413,7 +413,6 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUE
     extra = joined.groupBy("u").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more_gain"), F.count("*").alias("more_known"))
     gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
     n_known = F.col("known") + F.coalesce("more_known", F.lit(0))
-    unseen = F.col("n_tokens") - n_known if total else F.col("n_tokens") - 1  # each has one of its group's places; an end has no group
     return rows.drop("rare").join(extra, "u", "left").select(
         "doc_id",
         in_fold(F.col("doc_id"), folds, held).alias("held_out"),
@@ -421,7 +420,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUE
         n_known.alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (gain - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (gain + F.col("model") - unseen * math.log10(FAN)).alias("score"),
+        (gain + F.col("model")).alias("score"),
     )
 
 

@@ -220,7 +220,7 @@ def test_words_of_a_class_depend_on_the_history():
     asked = [own.lifts(weights, everything, np.full(56, 5), np.full(56, np.uint64(h)), np.zeros(56, np.uint64)) for h in (11, 22)]
     assert asked[0][3] > asked[0][n - 2] + 0.3 and asked[1][n - 2] > asked[1][3] + 0.3
     for lift in asked:
-        assert np.isclose((10.0**lift * np.append(np.full(40, 301), np.full(16, 1 / 16))).sum() / (40 * 301 + 1), 1, atol=1e-4)
+        assert np.isclose((10.0**lift * np.append(np.full(40, 301), np.full(16, 1))).sum() / (40 * 301 + 16), 1, atol=1e-4)
 
 
 def test_model_scores_by_brute_force(documents):
@@ -247,7 +247,7 @@ def test_model_scores_by_brute_force(documents):
         return np.exp(model.inner[row[0]].astype(float) + model.inner[row[1]])
 
     def within(word, class_, before, skip):
-        mass, p = sum(counts[w][1] + 1 for w in ranked.get(class_, [])) + 1, 1.0
+        mass, p = sum(counts[w][1] + 1 for w in ranked.get(class_, [])) + (m.FAN if class_ else 1), 1.0
         if not class_:
             return (counts.get(word, (0, 0))[1] + 1) / mass
         for level in range(m.LEVELS):
@@ -260,11 +260,11 @@ def test_model_scores_by_brute_force(documents):
             if word in mine:
                 return p * e[mine.index(word)] / sum(e)
             p, mass = p * e[-1] / sum(e), rest
-        groups = np.full(m.FAN, 1 / m.FAN)
+        groups = np.ones(m.FAN)
         for w in ranked.get(class_, [])[m.LEVELS * (m.FAN - 1) :]:
             groups[w % m.FAN] += counts[w][1] + 1
         e, g = groups * lifted(class_, m.LEVELS, before, skip), word % m.FAN
-        return p * e[g] / e.sum() * (counts[word][1] + 1 if word in counts else 1 / m.FAN) / groups[g]
+        return p * e[g] / e.sum() * (counts.get(word, (0, 0))[1] + 1) / groups[g]
 
     for r in rows[:4]:
         data = np.frombuffer((r["text"] or "").encode(), np.uint8)
