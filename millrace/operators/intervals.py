@@ -73,20 +73,21 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return _meeting(points, ranges, (at, at), (low, high), on or [], width, meets)
 
 
-def followed_within(first: DataFrame, second: DataFrame, key: str, within: str) -> DataFrame:
+def followed_within(first: DataFrame, second: DataFrame, key: str, within: str, how: str = "inner") -> DataFrame:
     """``(first_id, second_id)`` of rows of a key where the second's ``ts`` comes at or after the first's, within a time.
 
     Works on tables and, with watermarks on ``ts``, on streams. Time is cut into
-    cells as long as ``within``: a first row is filed in its own cell and the
-    next one, so rows of a key meet only when they are near each other. A null
-    key or ``ts`` meets nothing. Columns: the key, ts (an instant), event_id.
+    cells as long as ``within``: a second row is filed in its own cell and the
+    one before, so rows of a key meet only when they are near each other. A null
+    key or ``ts`` meets nothing; with ``how`` left, first rows that meet nothing
+    come once with a null. Columns: the key, ts (an instant), event_id.
     """
     length = F.expr(f"cast(unix_micros(timestamp '1970-01-01 00:00:00 UTC' + interval {within}) as bigint)")
-    cell = lambda c: F.floor(F.unix_micros(c) / length)
-    a = first.select(F.col(key).alias("a_key"), F.col("ts").alias("a_ts"), F.col("event_id").alias("first_id"), F.explode(F.array(cell(F.col("ts")), cell(F.col("ts")) + 1)).alias("a_cell"))
-    b = second.select(F.col(key).alias("b_key"), F.col("ts").alias("b_ts"), F.col("event_id").alias("second_id"), cell(F.col("ts")).alias("b_cell"))
+    cell = F.floor(F.unix_micros("ts") / length)
+    a = first.select(F.col(key).alias("a_key"), F.col("ts").alias("a_ts"), F.col("event_id").alias("first_id"), cell.alias("a_cell"))
+    b = second.select(F.col(key).alias("b_key"), F.col("ts").alias("b_ts"), F.col("event_id").alias("second_id"), F.explode(F.array(cell - 1, cell)).alias("b_cell"))
     near = (F.col("b_ts") >= F.col("a_ts")) & (F.col("b_ts") < F.col("a_ts") + F.expr(f"interval {within}"))
-    return a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_cell") == F.col("b_cell")) & near).select("first_id", "second_id")
+    return a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_cell") == F.col("b_cell")) & near, how).select("first_id", "second_id", "a_ts")
 
 
 def error_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,9 +110,33 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_backward(bought, clicks, "user_id", "ts", "click_ts", ["click_id"], "click_id", lambda t: F.date_trunc("day", t)).select("event_id", "click_id")
 
 
-QUERIES = {f.__name__: f for f in (region_revenue, customers_without_orders, customers_with_large_orders, orders_left_outer, nations_full_outer, parts_right_outer, words_lateral, price_bands, errors_after_purchases, asof_events)}
+STRATEGIES = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl")
+
+
+def join_by(left: DataFrame, right: DataFrame, on: list[str], strategy: str, how: str = "inner", most: int = 10 << 20) -> DataFrame:
+    """An equi join whose strategy the caller knows better than the planner's estimates.
+
+    ``right`` is sent to all tasks only if its optimised plan says that it has
+    ``most`` bytes or fewer; else the join is left to the planner. A nested loop
+    over all pairs is refused.
+    """
+    if strategy not in STRATEGIES[:3]:
+        raise ValueError(f"no join by {strategy}")
+    small = right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
+    return left.join(right.hint(strategy) if strategy != "broadcast" or small else right, on, how)
+
+
+def join_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines joined with parts in three ways, which agree."""
+    lines, parts = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity"), read(spark, sf_dir, "part").select("p_partkey", "p_type")
+    one = lambda s: join_by(lines, parts, ["p_partkey"], s).groupBy("p_type").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")).withColumn("strategy", F.lit(s))
+    return one("broadcast").unionByName(one("merge")).unionByName(one("shuffle_hash"))
+
+
+QUERIES = {f.__name__: f for f in (join_strategies, region_revenue, customers_without_orders, customers_with_large_orders, orders_left_outer, nations_full_outer, parts_right_outer, words_lateral, price_bands, errors_after_purchases, asof_events)}
 
 ORACLES = {
+    "join_strategies": "select p_type, strategy, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem join part on l_partkey = p_partkey cross join (values ('broadcast'), ('merge'), ('shuffle_hash')) s(strategy) group by 1, 2",
     "region_revenue": """
         select r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n
         from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey

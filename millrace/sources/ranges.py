@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..tables import read
+
 #: Rows of an Arrow batch.
 BATCH = 65_536
 
@@ -55,10 +58,11 @@ def numbers(spark: SparkSession, start: int, end: int, partitions: int = 1) -> D
 
 
 def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of the data source, and the same from Spark's own table function, beside each other."""
-    own = spark.tvf.range(0, 5000).selectExpr("id as n", "id * 2 as twice")
-    return numbers(spark, 0, 5000, 4).join(own, "n").select("n", "square", "twice")
+    """Numbers of the data source up to the greatest part key, beside the parts that have them."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    most = parts.agg(F.coalesce(F.max("p_partkey"), F.lit(0))).first()[0]
+    return numbers(spark, 0, most + 1, max(1, most // 5000)).join(parts, F.col("n") == F.col("p_partkey")).select("n", "square", "p_size")
 
 
 QUERIES = {"squares": squares}
-ORACLES = {"squares": "select range as n, range * range as square, range * 2 as twice from range(5000)"}
+ORACLES = {"squares": "select p_partkey as n, p_partkey * p_partkey as square, p_size from part"}

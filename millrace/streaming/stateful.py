@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,16 @@ def followed_by(first: DataFrame, second: DataFrame, key: str = "user_id", withi
     state that nothing can meet any more. Columns: ``key``, ts, event_id.
     Within a key only rows of near times meet; a null key or time meets nothing.
     """
-    return followed_within(first.withWatermark("ts", LATE), second.withWatermark("ts", LATE), key, within)
+    return followed_within(first.withWatermark("ts", LATE), second.withWatermark("ts", LATE), key, within).select("first_id", "second_id")
+
+
+def answered(first: DataFrame, second: DataFrame, key: str = "user_id", within: str = "1 hour") -> DataFrame:
+    """Like :func:`followed_by`, with a null for a first event that nothing followed: a left outer join.
+
+    A stream gives such an event once the watermark says that nothing can
+    follow it any more, so the last ones of a stream that ends are held back.
+    """
+    return followed_within(first.withWatermark("ts", LATE), second.withWatermark("ts", LATE), key, within, "left").select("first_id", "second_id")
 
 
 def streaks(events: DataFrame, length: int = 3) -> DataFrame:
@@ -34,16 +44,16 @@ def streaks(events: DataFrame, length: int = 3) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, run, total = state.get if state.exists else ("", 0, 0)
-        found = []
-        for part in [pd.concat(list(parts)).sort_values(["ts", "event_id"])]:
-            for kind in part["event_type"]:
-                run = run + 1 if kind == last else 1
-                last = kind
-                if run == length:
-                    run, total = 0, total + 1
-                    found.append((key[0], kind, total))
-        state.update((last, run, total))
-        yield pd.DataFrame(found, columns=["user_id", "event_type", "n"])
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        kinds = rows["event_type"].to_numpy(dtype=object)
+        begins = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
+        ends = np.append(begins[1:], len(kinds))
+        sizes = ends - begins
+        sizes[0] += run if kinds[0] == last else 0  # the first stretch may go on with what the state holds
+        times = sizes // length
+        found = np.repeat(kinds[begins], times)
+        state.update((str(kinds[-1]), int(sizes[-1] % length), total + len(found)))
+        yield pd.DataFrame({"user_id": key[0], "event_type": found, "n": np.arange(total + 1, total + 1 + len(found))})
 
     return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, n long", "last string, run int, total long", "append", GroupStateTimeout.NoTimeout)
 
@@ -64,8 +74,18 @@ def clicks_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return followed_by(events.where("event_type = 'click'"), events.where("event_type = 'purchase'"))
 
 
-QUERIES = {"clicks_followed": clicks_followed}
+def errors_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with the purchases of its user in the three hours after it, or none."""
+    events = instants(read(spark, sf_dir, "events"))
+    return answered(events.where("event_type = 'error'"), events.where("event_type = 'purchase'"), within="3 hours")
+
+
+QUERIES = {"clicks_followed": clicks_followed, "errors_answered": errors_answered}
 ORACLES = {
+    "errors_answered": """
+        select a.event_id as first_id, b.event_id as second_id from (select * from events where event_type = 'error') a
+        left join (select * from events where event_type = 'purchase') b on a.user_id = b.user_id and b.ts >= a.ts and b.ts < a.ts + interval 3 hours
+    """,
     "clicks_followed": """
         select a.event_id as first_id, b.event_id as second_id from events a join events b
           on a.user_id = b.user_id and b.ts >= a.ts and b.ts < a.ts + interval 1 hour
