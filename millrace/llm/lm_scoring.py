@@ -230,7 +230,10 @@ def count_words(docs: DataFrame) -> DataFrame:
         for b in batches:
             for _, part in _batches(b.column(0)):
                 h, c = np.concatenate([t[0] for t in part]), np.concatenate([t[1] for t in part])
-                word, first, k = np.unique(h, return_index=True, return_counts=True)
+                order = np.argsort(h)  # any place of a word will do, and a sort that is not stable takes half the time
+                start = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])[: len(h)])
+                first, k = order[start], np.diff(np.append(start, len(h)))
+                word = h[first]
                 held.append((word, c[first], k))
                 size += len(word)
                 if size >= HELD:
