@@ -76,6 +76,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _roots(parent: np.ndarray) -> np.ndarray:
+    """The end of the way up from each place."""
+    while True:
+        above = parent[parent]
+        if (above == parent).all():
+            return above
+        parent = above
+
+
 def find_links(nodes: DataFrame, cosine: float = COSINE, width: float = WIDTH, missed: float = MISSED, block: int = BLOCK) -> DataFrame:
     """Links between ``nodes(node, label, embedding, copies)``: ``(node, other, links)``.
 
@@ -117,12 +126,6 @@ def find_links(nodes: DataFrame, cosine: float = COSINE, width: float = WIDTH, m
         codes = part["codes"].combine_chunks().flatten().to_numpy().reshape(len(node), t)
         links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
         for kind in np.unique(label):  # one, unless two buckets have one hash
             (at,) = np.nonzero(label == kind)
             x = _matrix(part["embedding"].take(pa.array(at)).combine_chunks())
@@ -146,13 +149,12 @@ def find_links(nodes: DataFrame, cosine: float = COSINE, width: float = WIDTH, m
                     np.add.at(links, c, copies[r])
                     # a forest needs no pair whose ends are joined already
                     while len(r):
-                        roots = np.array([root(v) for v in range(len(node))])
-                        apart = roots[r] != roots[c]
+                        parent = _roots(parent)
+                        apart = parent[r] != parent[c]
                         r, c = r[apart], c[apart]
-                        if len(r):
-                            parent[np.maximum(roots[r], roots[c])] = np.minimum(roots[r], roots[c])
+                        np.minimum.at(parent, np.maximum(parent[r], parent[c]), np.minimum(parent[r], parent[c]))
         (found,) = np.nonzero(links)
-        other = node[[root(v) for v in found]] if len(found) else node[:0]
+        other = node[_roots(parent)[found]]
         return pa.table({"node": pa.array(node[found]), "other": pa.array(other), "links": pa.array(links[found])})
 
     return full.groupBy("bucket", "t", "i", "j").applyInArrow(compare, "node long, other long, links long")
@@ -176,6 +178,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> Da
     sound = F.forall("embedding", lambda x: F.coalesce((x < limit) & (x > -limit), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     sound = F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))
     rows = rows.withColumn("key", F.when(sound, F.struct(F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding", "label").alias("h2"))))
+    keyed = cut(rows.select("vec_id", "key"), "vector-keys")
     distinct = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = cut(find_links(nodes, cosine, **options), "vector-links")
@@ -188,7 +191,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> Da
     known = names.join(sums, "node", "left").join(named, "node", "left").select(
         "key", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")
     )
-    out = join_hot(rows.select("vec_id", "key"), known, "key", "copies", size["rows"] or 0, "left")
+    out = join_hot(keyed, known, "key", "copies", size["rows"] or 0, "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
