@@ -54,8 +54,9 @@ SIMILAR = 90
 #: Shingles are put last if at least COMMON of the sampled texts hold them; one
 #: text in SAMPLED is sampled. That changes how much work is done, not its result.
 SAMPLED, COMMON = 16, 3
-#: Bits of the table of common shingles (2 MB); others may fall on its entries.
-COMMON_BITS = 24
+#: The table of common shingles has 2 ** COMMON_BITS bits (2 MB), on which others may fall. One bit of SPARSE is
+#: set at most: where more shingles are common, those with the highest counts, so the table fills up at no size.
+COMMON_BITS, SPARSE = 24, 32
 #: Ratio of the sizes at a ring's borders, at least; more where linked sizes differ more.
 RING = 1.3
 #: Bytes of sets that one task holds for each side of a comparison.
@@ -105,7 +106,7 @@ def beginning(s: np.ndarray, common: np.ndarray, similar: int = SIMILAR) -> np.n
     """The set's first shingles: as many as a linked set may lack, and ``least_shared`` more; common ones come last."""
     n = len(s)
     k = n - -(-similar * n // 100) + int(least_shared(n, similar))
-    at = s & _U((1 << COMMON_BITS) - 1)
+    at = s & _U(8 * len(common) - 1)
     late = (common[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
     first = s[~late][:k]
     return first if len(first) == k else np.concatenate((first, s[late][: k - len(first)]))
@@ -364,7 +365,7 @@ def _large_regions(sets: DataFrame, common: np.ndarray, similar: int, block_byte
     return first.unionByName(second)
 
 
-def _common(texts: DataFrame, words: int) -> np.ndarray:
+def _common(texts: DataFrame, words: int, bits: int = COMMON_BITS) -> np.ndarray:
     """Bits, eight to a byte, by the last bits of a shingle's hash: whether it is common in a sample of distinct texts."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,14 +376,22 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
 
     sample = texts.where(F.pmod("text_hash", F.lit(SAMPLED)) == 0).groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
     counts = sample.mapInArrow(found, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k")).where(F.col("k") >= COMMON)
-    slot = F.col("shingle").bitwiseAND(F.lit((1 << COMMON_BITS) - 1))
-    bits = counts.groupBy(F.shiftright(slot, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.expr("1L"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(1 << (COMMON_BITS - 5), dtype=np.uint32)
-    out[bits["at"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+    counts = cut(counts.select("shingle", F.floor(8 * F.log2("k")).cast("int").alias("level")), "common")
+    least, room = None, (1 << bits) // SPARSE
+    for level, n in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):
+        if n > room:
+            break
+        least, room = level, room - n
+    chosen = counts.where(F.col("level") >= least) if least is not None else counts.limit(0)
+    slot = F.col("shingle").bitwiseAND(F.lit((1 << bits) - 1))
+    filled = chosen.groupBy(F.shiftright(slot, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.expr("1L"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    out[filled["at"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint32)
+    release(counts)
     return out.view(np.uint8)
 
 
-def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, common_bits: int = COMMON_BITS) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, cluster, component_id)`` for each row of ``docs``.
 
     ``cluster`` is a number for the rows that links connect, null for a text
@@ -392,7 +401,7 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     keyed = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    common = _common(keyed, words)
+    common = _common(keyed, words, common_bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = TaskContext.get().partitionId() << 33
