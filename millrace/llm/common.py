@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,17 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: in
     return out
 
 
+def give_back() -> None:
+    """Return the memory that a task has freed to the system.
+
+    Workers of earlier stages stay alive, and what each of them keeps for later
+    adds up within an executor. Without glibc nothing happens.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

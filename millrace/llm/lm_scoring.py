@@ -38,7 +38,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_fold, table
+from .common import cut, give_back, in_fold, table
 from .words import Words, chunks, mix
 
 #: Classes; number 0 is the end of a text.
@@ -242,6 +242,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                     size = 0
         if held:
             yield from flush()
+            held.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(count, "word long, class int, c long").groupBy("word").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
 
@@ -281,6 +283,8 @@ def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, links: Br
                     part = both[k : k + WIDTH]
                     if part.any():
                         yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([TaskContext.get().partitionId() >> 10], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], ["at", "part", "v"])
+        del outer, within
+        give_back()
 
     def add(part: pa.Table) -> pa.Table:
         v = part["v"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).sum(axis=0, dtype=np.float64).astype(np.float32)
@@ -410,6 +414,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUE
                     ["u", "doc_id", "n_tokens", "gain", "known", "model", "rare"],
                 )
                 u += n
+        give_back()
 
     rows = cut(own.mapInArrow(run, f"u long, doc_id {kind}, n_tokens long, gain double, known long, model double, rare array<long>"), "scored")
     joined = rows.select("u", F.explode("rare").alias("word")).join(words.select("word", "c"), "word")
