@@ -24,5 +24,6 @@ ORACLES = {
     "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op6_jaccard_join": jaccard_join.ORACLE,
     "op11_suffix_dedup": suffix_dedup.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }

@@ -342,3 +342,55 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+def _sql() -> str:
+    """The same for DuckDB: a recursion over rows that keeps the least cost and audit for each state, and what it writes."""
+    made = {START: ("user:", "assistant:"), SYSTEM: ("user:", "assistant:"), USER: ("assistant:", "user:"), ASSISTANT: ("user:", "assistant:")}
+    inserted = lambda state, k: "".join(x + "~" for x in made[state][:k])
+    ways = []
+    for initial in ("s", "u", "a", ""):
+        for must_go in (False, True):
+            for off in (False, True):
+                for to, into in enumerate(_moves(initial, must_go, off)):
+                    for before, cost, place in into:
+                        code = _CODES[place]
+                        role = {USER: "user", ASSISTANT: "assistant"}.get(to, "") if code[-1] == "R" else ""
+                        ways.append(f"('{initial}', {must_go}, {off}, {before}, {to}, {cost}, '{code}', '{inserted(before, len(code) - 1)}', '{code[-1]}', '{role}')")
+    ends = ", ".join(f"({s}, {INSERT * len(t)}, '{t}', '{inserted(s, len(t))}')" for s, t in TAIL.items())
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split_regex(regexp_replace(hex(k::blob), '(..)', '\\1 ', 'g').trim(), ' '), lambda h: [('0x' || h)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295)"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+    with recursive c as (
+      select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce('1' || conv_id, '0') as key, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+    h as (select *, {crc} % 20 as hit from c),
+    d as (
+      select key, conv_id, turn, case when hit = 4 then 'user' else role end as role,
+        case when hit = 1 then '' when hit = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+      from (select *, unnest(case when hit = 0 then [] when hit = 3 then [0, 1] else [0] end) as copy from h)),
+    n as (select *, row_number() over (partition by key order by turn nulls first, role, text) as i, right(rtrim(text, {white}), 1) as last, left(role, 1) as initial from d),
+    f as (select *, last = '' as blank, last <> '' and row_number() over (partition by key, role, text order by i) > 1 as repeat from n),
+    g as (select *, not blank and not repeat and last not in ('.', '!', '?') as off, lag(initial) over (partition by key order by i) || initial as pair from f),
+    counts as (
+      select key, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank) as blank, count(*) filter (repeat) as duplicate,
+        count(*) filter (off) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, max(i) as size from g group by key),
+    ways(initial, must_go, off, before, state, cost, code, ins, op, role) as (values {", ".join(ways)}),
+    layer as (
+      select distinct key, 0::bigint as i, 0 as state, {{'cost': 0::bigint, 'audit': '', 'lines': ''}} as best from c
+      union all
+      select l.key, g.i, w.state, min({{'cost': l.best.cost + w.cost, 'audit': l.best.audit || w.code, 'lines': l.best.lines || replace(w.ins, '~', chr(10)) ||
+        case w.op when 'K' then g.role || ':' || g.text || chr(10) when 'R' then w.role || ':' || g.text || chr(10) else '' end}}) as best
+      from layer l join g on g.key = l.key and g.i = l.i + 1
+        join ways w on w.before = l.state and w.initial = case when g.initial in ('s', 'u', 'a') then g.initial else '' end and w.must_go = (g.blank or g.repeat) and w.off = g.off
+      group by l.key, g.i, w.state),
+    ends(state, cost, code, ins) as (values {ends}),
+    final as (
+      select l.key, min({{'cost': best.cost + e.cost, 'audit': best.audit || e.code, 'lines': best.lines || replace(e.ins, '~', chr(10))}}) as best
+      from layer l join ends e using (state) left join counts using (key) where l.i = coalesce(counts.size, 0) group by l.key)
+    select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+      best.cost as cost, best.audit as audit, sha256(case when best.lines = '' then '' else left(best.lines, -1) end) as repaired_sha256
+    from (select distinct key, conv_id from c) left join counts using (key) join final using (key)
+    """
+
+
+ORACLE = _sql()

@@ -104,3 +104,7 @@ def test_no_rows(spark):
 def test_all_rows_dropped(spark):
     conv = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
     assert result(table(spark, [(conv, 0, "user", "a.")])) == [(conv, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_conversations_and_sql(same):
+    same(repair.query, repair.ORACLE)
