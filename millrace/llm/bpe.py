@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Entries held by the new and by the old half of each of a worker's caches.
-CACHE = 450_000
+CACHE = 300_000
 #: Longest tokens that fit in the text that one search for longest tokens gets.
 WINDOW = 4
 
