@@ -152,13 +152,14 @@ def _runs(key: tuple, rows: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
     rows["repeat"] = ~rows["blank"] & ~rows["rn"].isin(firsts["rn"])
     keys, out = rows["key"].to_numpy(), []
     edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    ghost, *faults = (rows[c].tolist() for c in ("ghost", "blank", "repeat", "off", "initial", "turn"))
+    at = rows["rn"].to_numpy()
     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        part = rows.iloc[a:b]
-        part, is_open = part[~part["ghost"]], i == 0 or b == len(keys)
-        blank, repeat, off, initials = (part[c].tolist() for c in ("blank", "repeat", "off", "initial"))
+        is_open = i == 0 or b == len(keys)
+        blank, repeat, off, initials, turns = ([x for x, g in zip(c[a:b], ghost[a:b], strict=True) if not g] for c in faults)
         off = [o and not x and not r for o, x, r in zip(off, blank, repeat, strict=True)]
         ways = [_ways_of(t, x or r, o) for t, x, r, o in zip(initials, blank, repeat, off, strict=True)]
-        turns = part["turn"].dropna()
+        turns = [int(t) for t in turns if t == t and t is not None]
         illegal = sum(x + y not in ("su", "ua", "au") for x, y in zip(initials, initials[1:], strict=False))
         text, cost, tables = None, None, (None, None, None)
         if is_open:
@@ -169,8 +170,8 @@ def _runs(key: tuple, rows: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
             costs, ranks, layers = solve(ways, START)
             state, cost = ending(costs, ranks)
             text = audit(layers, state) + TAIL[state]
-        low, high = (int(turns.iloc[0]), int(turns.iloc[-1])) if len(turns) else (None, None)
-        out.append((keys[a], int(rows["rn"].iloc[a]), key[0], is_open, text, cost, sum(blank), sum(repeat), sum(off), illegal, *((initials[0], initials[-1]) if initials else (None, None)), low, high, int(turns.nunique()), *tables))
+        low, high = (turns[0], turns[-1]) if turns else (None, None)
+        out.append((keys[a], int(at[a]), key[0], is_open, text, cost, sum(blank), sum(repeat), sum(off), illegal, *((initials[0], initials[-1]) if initials else (None, None)), low, high, len(set(turns)), *tables))
     frame = pd.DataFrame(out, columns=_COLUMNS)
     return frame.astype({"cost": "Int64", "low": "Int64", "high": "Int64"})
 
