@@ -11,37 +11,71 @@ from ..tables import read
 from .intervals import followed_within, range_join
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], tie: str, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Each left row with the values of the latest right row of its key at or before its time.
+DIRECTIONS = ("backward", "forward", "nearest")
 
-    Both sides are put in one stream and the last right row is carried forward:
-    no pair of rows is made. ``slice_of`` cuts time into slices (a function of a
-    time that never falls, such as its day): a key's slices are then worked on
-    by different tasks, and what was last in the slices before is handed on as
-    one row for each key and slice, so that a key with most of the rows is no
-    single task. Without it a key is one slice.
 
-    Of right rows at one time the one with the greatest ``tie`` counts. Left
-    rows without such a row have nulls. A value whose name ``left`` has too gets
-    ``_right`` behind its name.
+def asof(
+    left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], tie: str,
+    direction: str = "backward", slice_of: Callable[[Column], Column] | None = None, within: Column | None = None,
+) -> DataFrame:
+    """Each left row with the values of one right row of its key.
+
+    ``backward`` takes the latest right row at or before the left row's time,
+    ``forward`` the earliest at or after it, ``nearest`` the nearer of the two
+    and the earlier of two as near. ``within`` (an interval, or a number for
+    times that are numbers) is the greatest distance that counts.
+
+    Both sides are put in one stream and the last right row is carried on: no
+    pair of rows is made. ``slice_of`` cuts time into slices (a function of a
+    time that never falls, such as its day): a key's slices are then worked on
+    by different tasks, and what stands at their ends is handed on as one row
+    for each key and slice, so that a key with most of the rows is no single
+    task. Without it a key is one slice, and nothing is handed on.
+
+    Of right rows at one time the one with the greatest ``tie`` (an integer,
+    null the least) counts. Left rows without such a row, or with a null key or
+    time, have nulls; right rows with a null key or time are never taken. A
+    value whose name ``left`` has too gets ``_right`` behind its name.
     """
-    slice_of = slice_of or (lambda _: F.lit(0))
-    packed = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
-    rows = left.select(F.col(key).alias("k"), F.col(left_time).alias("t"), slice_of(F.col(left_time)).alias("slice"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct("*").alias("row"))
-    others = right.select(F.col(key).alias("k"), F.col(right_time).alias("t"), slice_of(F.col(right_time)).alias("slice"), F.lit(0).alias("side"), F.col(tie).cast("long").alias("tie"), packed.alias("p"))
-    last = F.max_by("p", F.struct("t", "tie"))
-    ends = others.where("k is not null and t is not null").groupBy("k", "slice").agg(last.alias("p"))
-    order = Window.partitionBy("k", "slice").orderBy("t", "side", F.col("tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if direction not in DIRECTIONS:
+        raise ValueError(f"no direction {direction}")
+    ways = [d for d in DIRECTIONS[:2] if direction in (d, "nearest")]
+    cut_time = slice_of or (lambda _: F.lit(0))
+    rows = left.select(F.col(key).alias("k"), F.col(left_time).alias("t"), cut_time(F.col(left_time)).alias("slice"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct("*").alias("row"))
+    packed = F.struct(F.col(right_time).alias("t"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    others = right.select(F.col(key).alias("k"), F.col(right_time).alias("t"), cut_time(F.col(right_time)).alias("slice"), F.lit(0).alias("side"), F.col(tie).cast("long").alias("tie"), packed.alias("p")).where("k is not null and t is not null")
+    by_slice, up_to = Window.partitionBy("k", "slice"), (Window.unboundedPreceding, Window.currentRow)
+    time = {"backward": F.col("t").asc(), "forward": F.col("t").desc()}
     both = rows.unionByName(others, allowMissingColumns=True)
-    carried = both.withColumn("last", F.last("p", ignorenulls=True).over(order)).where("side = 1").select("k", "slice", "row", "last")
-    # the last right row of all slices before, for each slice that has left rows
-    wanted = rows.where("k is not null").select("k", "slice").distinct()
-    by_slice = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    handed = wanted.join(ends, ["k", "slice"], "full").select("k", "slice", F.last("p", ignorenulls=True).over(by_slice).alias("handed")).where("handed is not null")
-    out = carried.join(handed, ["k", "slice"], "left").select("row.*", F.coalesce("last", "handed").alias("found"))
+    seen = both.select("*", *[F.last("p", ignorenulls=True).over(by_slice.orderBy(time[d], "side", F.col("tie").asc_nulls_first()).rowsBetween(*up_to)).alias(d) for d in ways]).where("side = 1")
+    if slice_of:
+        ends = {"backward": F.max_by("p", F.struct("t", "tie")), "forward": F.min_by("p", F.struct("t", F.coalesce(F.bitwise_not("tie"), F.lit(2**63 - 1))))}
+        edges = rows.where("k is not null").select("k", "slice").distinct().join(others.groupBy("k", "slice").agg(*[ends[d].alias(d) for d in ways]), ["k", "slice"], "full")
+        along = Window.partitionBy("k").orderBy("slice")
+        beyond = {"backward": F.last("backward", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)), "forward": F.first("forward", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))}
+        handed = edges.select("k", "slice", *[beyond[d].alias(f"{d}_handed") for d in ways]).where(" or ".join(f"{d}_handed is not null" for d in ways))
+        seen = seen.join(handed, ["k", "slice"], "left")
+    far = {"backward": lambda p: F.col("t") - p["t"], "forward": lambda p: p["t"] - F.col("t")}
+    found = {}
+    for d in ways:
+        p = F.coalesce(d, f"{d}_handed") if slice_of else F.col(d)
+        counts = F.col("t").isNotNull() if within is None else far[d](p) <= within
+        found[d] = F.when(counts, p)
+    seen = seen.select("row", "t", *[p.alias(d) for d, p in found.items()])
+    if direction == "nearest":
+        b, f = F.col("backward"), F.col("forward")
+        best = F.when(f.isNull() | (far["backward"](b) <= far["forward"](f)), b).otherwise(f)
+    else:
+        best = F.col(direction)
+    out = seen.select("row.*", best.alias("found"))
     return out.select(*left.columns, *[F.col(f"found.v{i}").alias(f"{v}_right" if v in left.columns else v) for i, v in enumerate(values)])
 
 
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], tie: str, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """:func:`asof` with the latest right row at or before each left row's time."""
+    return asof(left, right, key, left_time, right_time, values, tie, "backward", slice_of)
+
+
 def region_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue of 1996 by region: filter on orders first, then the fact table, then dimensions."""
     orders = read(spark, sf_dir, "orders").where((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1997-01-01"))
@@ -110,6 +144,14 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_backward(bought, clicks, "user_id", "ts", "click_ts", ["click_id"], "click_id", lambda t: F.date_trunc("day", t)).select("event_id", "click_id")
 
 
+def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's click that is nearest in time, before or after, within two hours."""
+    events = read(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return asof(bought, clicks, "user_id", "ts", "click_ts", ["click_id"], "click_id", "nearest", lambda t: F.date_trunc("day", t), F.expr("interval 2 hours")).select("event_id", "click_id")
+
+
 STRATEGIES = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl")
 
 
@@ -133,7 +175,7 @@ def join_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("broadcast").unionByName(one("merge")).unionByName(one("shuffle_hash"))
 
 
-QUERIES = {f.__name__: f for f in (join_strategies, region_revenue, customers_without_orders, customers_with_large_orders, orders_left_outer, nations_full_outer, parts_right_outer, words_lateral, price_bands, errors_after_purchases, asof_events)}
+QUERIES = {f.__name__: f for f in (join_strategies, region_revenue, customers_without_orders, customers_with_large_orders, orders_left_outer, nations_full_outer, parts_right_outer, words_lateral, price_bands, errors_after_purchases, asof_events, asof_nearest)}
 
 ORACLES = {
     "join_strategies": "select p_type, strategy, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem join part on l_partkey = p_partkey cross join (values ('broadcast'), ('merge'), ('shuffle_hash')) s(strategy) group by 1, 2",
@@ -172,4 +214,10 @@ ORACLES = {
         from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c
           on p.user_id = c.user_id and p.ts >= c.ts
     """,
+    "asof_nearest": """
+        select p.event_id, c.event_id as click_id
+        from (select * from events where event_type = 'purchase') p left join (select * from events where event_type = 'click') c
+          on p.user_id = c.user_id and abs(epoch_us(p.ts) - epoch_us(c.ts)) <= 7200000000
+        qualify row_number() over (partition by p.event_id order by abs(epoch_us(p.ts) - epoch_us(c.ts)), c.ts, c.event_id desc) = 1
+    """,
 }

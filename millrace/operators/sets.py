@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read
@@ -21,9 +21,9 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each user and type: the earliest."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", "event_id")
+    """One row for each user and type: the earliest, by an aggregate that is begun before rows are exchanged."""
+    first = F.min(F.struct("ts", "event_id"))
+    return read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(first.alias("first")).select("user_id", "event_type", "first.event_id")
 
 
 QUERIES = {f.__name__: f for f in (set_operations, first_per_key)}

@@ -1,4 +1,9 @@
-"""Event-time windows, the same code for tables and streams."""
+"""Event-time windows, the same code for tables and streams.
+
+In all of them a row without a time is in no window; a null type, user or value
+is a type or user like others, or adds nothing; a window without rows is not
+given. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
