@@ -1,7 +1,7 @@
 """Functions of one's own: scalar, aggregate, table, and over whole batches.
 
-Values cross into Python as Arrow batches, never row by row. The aggregate is
-built from partial sums, so that a group of any size is never held by one task.
+Values cross into Python as Arrow batches; those of the table function as rows,
+which its ``eval`` takes one by one in any case. The aggregate is built from partial sums, so that a group of any size is never held by one task.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def geometric_mean(df: DataFrame, key: str, value: str) -> DataFrame:
     return sums.groupBy("key").agg(F.exp(F.try_divide(F.sum("sum"), F.sum("count"))).alias("gmean")).withColumnRenamed("key", key)
 
 
-@F.udtf(useArrow=True)
+@F.udtf(useArrow=False)
 class Streaks:
     """Stretches of rows of a table argument that have one value after another of a key: key, value, first, last, n.
 

@@ -226,3 +226,9 @@ def test_join_strategies(spark, small):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     with pytest.raises(ValueError):
         join_by(a, b, ["id"], "shuffle_replicate_nl")
+
+
+def test_streaks_make_no_frame_of_each_row(spark, small):
+    """With Arrow, every call of a row-wise table function gives a pandas frame of its own, at several times the cost."""
+    text = plan(udfs.event_streaks(spark, small))
+    assert "BatchEvalPythonUDTF" in text and "ArrowEvalPythonUDTF" not in text
