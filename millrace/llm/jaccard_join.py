@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import again, cut, join_hot, release, table
+from .common import again, cut, giving_back, join_hot, release, table
 from .components import components
 from .words import Words, chunks, mix
 
@@ -368,6 +368,7 @@ def _large_regions(sets: DataFrame, common: np.ndarray, similar: int, block_byte
 def _common(texts: DataFrame, words: int, bits: int = COMMON_BITS) -> np.ndarray:
     """Bits, eight to a byte, by the last bits of a shingle's hash: whether it is common in a sample of distinct texts."""
 
+    @giving_back
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, data, offsets in chunks(b.column(0)):
@@ -403,6 +404,7 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     keyed = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     common = _common(keyed, words, common_bits)
 
+    @giving_back
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -452,6 +454,7 @@ def clusters(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS, id_col
     log2 = bloom.log2_blocks(members.count())
     wanted = own.where(F.coalesce(bloom.may_hold(bloom.build(ids, "id", log2), F.col("doc_id").cast("string"), log2), F.lit(True)))
 
+    @giving_back
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, offsets in chunks(b.column(1)):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, giving_back, table
 
 CAPACITY = 2048
 #: Pieces and sequences of a shard, expected: as many as needed for both.
@@ -104,15 +104,17 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Encoder:
-    """The worker's encoder for a file, built once for each worker."""
+    """The worker's encoder for a file, built once until the cache is cleared."""
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(path, pattern)
+        give_back()
     return _encoders[path, pattern]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, u)``; u is a number of its own for each piece."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         u = TaskContext.get().partitionId() << 33
@@ -140,6 +142,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
             numbers = np.arange(u, u + len(row), dtype=np.int64)
             u += len(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(numbers)], names)
+        _encoders.clear()  # workers live on idle, several to an executor; half a second makes it anew
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "u"]
     kind = docs.schema[id_col].dataType.simpleString()

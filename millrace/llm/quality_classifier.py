@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import in_fold, table
+from .common import give_back, in_fold, table
 from .words import Words, chunks
 
 #: Weight of the target in a shrunk covariance.
@@ -89,6 +89,7 @@ class Discriminant:
         @F.arrow_udf("double")
         def scored(texts: pa.Array) -> pa.Array:
             parts = [model.score(statistics(data, offsets)) for _, data, offsets in chunks(texts)]
+            give_back()
             return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
         return scored(text)
@@ -107,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: f
     @F.arrow_udf("array<double>")
     def stats(texts: pa.Array) -> pa.Array:
         rows = [statistics(data, offsets) for _, data, offsets in chunks(texts)]
+        give_back()
         flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, N_STATISTICS, dtype=np.int32)), pa.array(flat))
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_fold, release, table
+from .common import cut, give_back, giving_back, in_fold, release, table
 from .words import NOT_ALNUM, Words, chunks, mix
 
 #: Expected number of sampled training rows of each label. The classifier is
@@ -103,7 +103,9 @@ class Linear:
 
         @F.arrow_udf("double")
         def scored(texts: pa.Array) -> pa.Array:
-            return pa.array(model.score(texts))
+            scores = model.score(texts)
+            give_back()
+            return pa.array(scores)
 
         return scored(text)
 
@@ -152,6 +154,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]
 def _choose(texts: DataFrame, n: dict[int, int]) -> np.ndarray:
     """The significant features of a sample, sorted by hash."""
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = b.column(1).to_numpy()
@@ -190,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTIT
     hashes = np.union1d(_choose(texts, n), named)
     chosen = Linear(hashes, np.zeros(len(hashes)), 0.0)
 
+    @giving_back
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text its label and the chosen features with their counts."""
         for b in batches:
@@ -201,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", groups=IDENTIT
                 lists = [pa.ListArray.from_arrays(pa.array(start), pa.array(v)) for v in (pairs % len(hashes), np.log2(1 + k))]
                 yield pa.RecordBatch.from_arrays([pa.array(y[first : first + len(offsets) - 1], pa.int32()), *lists], ["y", "at", "x"])
 
+    @giving_back
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each swap the chosen features whose value changes, and by how much, with the number of swaps alike."""
         for b in batches:

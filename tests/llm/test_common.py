@@ -43,3 +43,24 @@ def test_cut_tables_are_read_again_and_released(spark):
     common.release(df)
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.parquet(df._millrace_path).count()
+
+
+def test_a_step_holds_nothing_when_it_gives_memory_back(monkeypatch):
+    import gc
+    import weakref
+
+    from millrace.llm import common
+
+    alive, seen = weakref.WeakSet(), []
+
+    class Held:
+        pass
+
+    def step(batches):
+        for b in batches:
+            held = Held()
+            alive.add(held)
+            yield b
+
+    monkeypatch.setattr(common, "give_back", lambda: (gc.collect(), seen.append(len(alive))))
+    assert list(common.giving_back(step)(iter([1, 2, 3]))) == [1, 2, 3] and seen == [0]
