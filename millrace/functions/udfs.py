@@ -1,7 +1,8 @@
 """Functions of one's own: scalar, aggregate, table, and over whole batches.
 
 Values cross into Python as Arrow batches; those of the table function as rows,
-which its ``eval`` takes one by one in any case. The aggregate is built from partial sums, so that a group of any size is never held by one task.
+which its ``eval`` takes one by one in any case. The aggregate is built from
+partial sums, so that a group of any size is never held by one task.
 """
 
 from __future__ import annotations

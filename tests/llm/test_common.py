@@ -49,8 +49,6 @@ def test_a_step_holds_nothing_when_it_gives_memory_back(monkeypatch):
     import gc
     import weakref
 
-    from millrace.llm import common
-
     alive, seen = weakref.WeakSet(), []
 
     class Held:
