@@ -61,24 +61,28 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        model, self.added = file["model"], [t["content"] for t in file.get("added_tokens") or []]
-        vocab = model["vocab"]
-        made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+        self.path, self.tokenizer = path, None
+        ranks, self.added = _ranks(path)
+        give_back()  # the parsed file is larger than what follows
         self.ranks = None
-        if made == sorted(made) and len(made) + 256 <= len(vocab):
-            alphabet = _byte_alphabet()
-            ranks = {bytes([alphabet[c] for c in t]): i for t, i in vocab.items() if i < len(made) + 256}
+        if ranks is not None:
+            import tiktoken
+
             self.ranks = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def reference(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def compared(self) -> None:
+        """Let go of the tokenizers library's copy; where a text needs it, it is read again."""
+        if self.ranks is not None:
+            self.tokenizer = None
+            give_back()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -93,6 +97,19 @@ class Encoder:
         return np.array(ids, dtype="<u4").tobytes()
 
 
+def _ranks(path: str) -> tuple[dict[bytes, int] | None, list[str]]:
+    """Ranks of the byte strings of a file, if its ids are in the order of its merges, and its added tokens."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, added = file["model"], [t["content"] for t in file.get("added_tokens") or []]
+    vocab = model["vocab"]
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+    if made != sorted(made) or len(made) + 256 > len(vocab):
+        return None, added
+    alphabet = _byte_alphabet()
+    return {bytes([alphabet[c] for c in t]): i for t, i in vocab.items() if i < len(made) + 256}, added
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte in a byte-level file: itself if it can be seen, else one from U+0100 on."""
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -128,6 +145,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                     compared += 1
                     if ids != enc.reference(text):
                         raise ValueError(f"{path} has other ids than its ranks give")
+                    if compared == COMPARED:
+                        enc.compared()
                 ids += END
                 n = len(ids) // 4
                 at, k = 0, 0
