@@ -43,8 +43,10 @@ def load_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
-#: Stands for a chunk that cannot be encoded by itself; cannot be added up or joined.
-CROSSED = (None, None, None)
+#: Below this character all libraries agree on what a letter is.
+LETTERS = "\u0250"
+#: Stands for a chunk that cannot be encoded by itself.
+CROSSED = None
 
 
 class Cache(dict):
@@ -78,7 +80,9 @@ class Merges:
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = [self._longest_proper_prefix(t) for t in tokens]
-        self.fits: dict[int, bool] = {}
+        #: By the left token, known results of ``_compatible`` by the right one; ``known`` of them in all.
+        self.fits: list[dict[int, bool]] = [{} for _ in tokens]
+        self.known = 0
         self._derive_merges()
 
     def _longest_proper_prefix(self, token: bytes) -> int:
@@ -123,13 +127,15 @@ class Merges:
 
     def compatible(self, a: int, b: int) -> bool:
         """Memoised ``_compatible``."""
-        key = a << 32 | b
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) >= 4 * CACHE:
-                self.fits.clear()
-            known = self.fits[key] = self._compatible(a, b)
-        return known
+        fit = self.fits[a].get(b)
+        if fit is None:
+            if self.known >= 4 * CACHE:
+                for row in self.fits:
+                    row.clear()
+                self.known = 0
+            self.known += 1
+            fit = self.fits[a][b] = self._compatible(a, b)
+        return fit
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ids.get(piece)
@@ -142,15 +148,30 @@ class Merges:
         reach = WINDOW * most
         ahead, full = longest(mapped[:reach]), reach - most if reach < n else n
         out: list[int] = []
+        last, pos, token, aligned = -1, 0, -1, True
+        if full == n:
+            # most pieces are their longest tokens, or are up to the first two neighbours that do not fit
+            out = [t for _, t in ahead]
+            for k, token in enumerate(out):
+                if last >= 0:
+                    fit = fits[last].get(token)
+                    if not (compatible(last, token) if fit is None else fit):
+                        del out[k:]
+                        break
+                last = token
+                pos += lengths[token]
+            else:
+                return out
+        else:
+            token = next(ahead)[1]
         dead = set()  # positions from which no compatible rest exists
-        last, pos, token, aligned = -1, 0, next(ahead)[1], True
         while True:
             while token >= 0:
                 end = pos + lengths[token]
                 if end not in dead:
                     if last < 0:
                         break
-                    fit = fits.get(last << 32 | token)
+                    fit = fits[last].get(token)
                     if compatible(last, token) if fit is None else fit:
                         break
                 token, aligned = shorter[token], False
@@ -190,10 +211,10 @@ class Tokenizer:
             out += self.pieces[piece]
         return out
 
-    def _result(self, text: str) -> tuple[int, str, bytes]:
+    def _result(self, text: str) -> tuple[str, bytes]:
         ids = self._ids(text)
         names = self.names
-        return len(ids), " ".join([names[i] for i in ids]), self.merges.decode(ids)
+        return " ".join([names[i] for i in ids]), self.merges.decode(ids)
 
     def _chunk(self, chunk: str) -> tuple:
         """Result of a chunk with the space before it; CROSSED where white space meets that space.
@@ -202,20 +223,33 @@ class Tokenizer:
         begins a match, so text may be cut before it; beside other white space
         it may not.
         """
-        if not chunk or self.space.match(chunk[0]) or self.space.match(chunk[-1]):
+        # a word is one match, and one character of ASCII that is no letter, digit or white space after it another
+        word, end = (chunk, "") if chunk.isalpha() else (chunk[:-1], chunk[-1:])
+        if word.isalpha() and max(word) < LETTERS and (not end or "!" <= end <= "~" and not end.isalnum()):
+            ids = self.merges.encode((" " + word).encode())
+            if end:
+                ids = [*ids, *self.pieces[end]]
+            return " ".join([self.names[i] for i in ids]), self.merges.decode(ids)
+        if not chunk or self._white(chunk[0]) or self._white(chunk[-1]):
             return CROSSED
         return self._result(" " + chunk)
 
+    def _white(self, character: str) -> bool:
+        return not "!" <= character <= "~" and self.space.match(character) is not None
+
     def result(self, text: str) -> tuple[int, str, bytes]:
         """Number of ids, ids joined by spaces, and the bytes decoded from them."""
+        ids, decoded = self._joined(text)
+        return ids.count(" ") + 1 if ids else 0, ids, decoded
+
+    def _joined(self, text: str) -> tuple[str, bytes]:
         first, *rest = text.split(" ")
-        if not rest or not first or self.space.match(first[-1]):
+        if not rest or not first or self._white(first[-1]):
             return self._result(text)
-        counts, ids, decoded = zip(self._result(first), *map(self.chunks.__getitem__, rest), strict=True)
-        try:
-            return sum(counts), " ".join(ids), b"".join(decoded)
-        except TypeError:  # some chunk is CROSSED
+        found = [self._result(first), *map(self.chunks.__getitem__, rest)]
+        if CROSSED in found:
             return self._result(text)
+        return " ".join([ids for ids, _ in found]), b"".join([decoded for _, decoded in found])
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.result(text)[1].split()]
