@@ -177,15 +177,18 @@ class Chain:
 
     def gradients(self, weights: np.ndarray, out: np.ndarray, *tokens: np.ndarray) -> None:
         """Adds counts of outcomes to ``out``, of (found or expected, row, outcome)."""
+        n = len(weights)
+        expected, cells = np.zeros((FAN, n)), []
         for _, rows, outcome, _, e in self.decisions(weights, *tokens):
             e /= np.einsum("nk->n", e)[:, None]
-            for row in rows:
-                order = np.argsort(row.astype(np.uint16), kind="stable")  # a radix sort for numbers of 16 bits
-                found = row[order]
-                start = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-                out[1][found[start]] += np.add.reduceat(np.take(e, order, axis=0), start, axis=0)
-                cell, times = np.unique(found * FAN + outcome[order], return_counts=True)
-                out[0].ravel()[cell] += times
+            row = np.concatenate(rows)
+            cells.append(row * FAN + np.tile(outcome, len(rows)))
+            by_outcome = np.tile(e.T.astype(np.float64, order="C"), len(rows))
+            for k in range(FAN):  # a row's numbers come in any order, so each outcome is counted by itself, without a sort
+                expected[k] += np.bincount(row, by_outcome[k], n)
+        if cells:
+            out[0] += np.bincount(np.concatenate(cells), minlength=n * FAN).reshape(n, FAN)
+            out[1] += expected.T
 
 
 def chain(words: DataFrame, tokens: int, levels: int = LEVELS) -> Chain:
@@ -248,6 +251,28 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, class int, c long").groupBy("word").agg(F.max("class").alias("class"), F.sum("c").alias("c"))
 
 
+def add_classes(out: np.ndarray, used: np.ndarray, at: np.ndarray, class_: np.ndarray, p: np.ndarray) -> None:
+    """Adds counts of classes to ``out``, of (found or expected, row, class).
+
+    ``used`` are histories in ascending order, ``p`` the expected counts of each,
+    ``at`` the place in ``used`` of each token's history.
+    """
+    features = _features(used)
+    found = np.zeros(_ROWS * CLASSES, dtype=np.int64)
+    for f in features:
+        found += np.bincount(f[at] * CLASSES + class_, minlength=len(found))
+    out[0] += found.reshape(_ROWS, CLASSES)
+    by_word = np.zeros((CLASSES * BUCKETS, CLASSES), dtype=np.float32)
+    start = np.flatnonzero(np.concatenate(([True], features[0][1:] != features[0][:-1])))
+    by_word[features[0][start] - _WORD] = np.add.reduceat(p, start, axis=0)  # those of a word lie together
+    out[1, _WORD:_CLASS] += by_word
+    out[1, _CLASS:_SKIP] += by_word.reshape(CLASSES, BUCKETS, CLASSES).sum(axis=1)
+    for f in features[2:]:
+        order = np.argsort(f.astype(np.uint16), kind="stable")
+        rows, start = np.unique(f[order], return_index=True)
+        out[1, rows] += np.add.reduceat(np.take(p, order, axis=0), start, axis=0)
+
+
 def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, links: Broadcast, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts in ``docs(text)``, as found and as the weights expect them: (both, feature, class) and (both, row, outcome).
 
@@ -271,12 +296,7 @@ def _gradients(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, links: Br
                 place = np.zeros(_CONTEXTS, dtype=np.int64)
                 place[used] = np.arange(len(used))
                 p = class_probabilities(weights_, bias_, used) * times[used, None].astype(np.float32)
-                seen = np.bincount(place[history] * CLASSES + class_, minlength=len(used) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
-                for f in _features(used):
-                    order = np.argsort(f.astype(np.uint16), kind="stable")
-                    rows, start = np.unique(f[order], return_index=True)
-                    outer[0, rows] += np.add.reduceat(np.take(seen, order, axis=0), start, axis=0)
-                    outer[1, rows] += np.add.reduceat(np.take(p, order, axis=0), start, axis=0)
+                add_classes(outer, used, place[history], class_, p)
         if some:
             for first, both in ((0, outer.ravel()), (outer_size, within.ravel())):
                 for k in range(0, len(both), WIDTH):
@@ -395,7 +415,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUE
                 (used,) = np.nonzero(times)
                 place = np.zeros(_CONTEXTS, dtype=np.int64)
                 place[used] = np.arange(len(used))
-                log_p = np.log10(class_probabilities(w, bias_, used))
+                log_p = np.log10(class_probabilities(w, bias_, used)[place[history], class_])
                 lift = links.value.lifts(inner_, h, class_, *contexts(h, lengths))
                 word, at = np.unique(h, return_inverse=True)
                 if len(known):
@@ -405,7 +425,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, frequent: int = FREQUE
                 else:
                     is_known, value = np.zeros(len(word), bool), np.zeros(len(word))
                 found = is_known[at]
-                value_model = np.bincount(doc, log_p[place[history], class_] - size[class_] + lift, n)
+                value_model = np.bincount(doc, log_p - size[class_] + lift, n)
                 rest = np.flatnonzero(~found)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc[rest], minlength=n)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rest].view(np.int64)))
