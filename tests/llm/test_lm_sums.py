@@ -48,3 +48,15 @@ def test_sums_of_decisions_equal_those_of_each_token_and_need_no_sort(monkeypatc
     monkeypatch.setattr(lm.np, "unique", None)
     chain.gradients(weights, out, *tokens)
     assert want[0].sum() > 100 and np.array_equal(out[0], want[0]) and np.allclose(out[1], want[1], rtol=1e-4)
+
+
+def test_borders_of_texts_cut_words_without_a_sort_of_all(monkeypatch):
+    from millrace.llm import words
+
+    texts = ["ab cd", "", "", "ef", " gh", "i ", "", "j", "kl\n", "mn", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    monkeypatch.setattr(words.np, "union1d", None)
+    w = words.Words(data, offsets)
+    got = [(int(d), data[s : s + n].tobytes().decode()) for d, s, n in zip(w.doc, w.start, w.length, strict=True)]
+    assert got == [(i, x) for i, text in enumerate(texts) for x in text.split()]
